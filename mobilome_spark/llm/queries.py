@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from mobilome_spark.llm.common import read_table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilome_spark.llm.simhash_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mobilome_spark.llm.mixing import mix
 
@@ -17,7 +23,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_mixing": op6_mixing}
+    return {"op2_simhash": op2_simhash, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
