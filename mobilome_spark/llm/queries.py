@@ -10,6 +10,61 @@ from pyspark.sql import functions as F
 from mobilome_spark.llm.common import read_table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilome_spark.llm.line_dedup import line_dedup
+
+    out = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("_kept", F.lit("")), 256)
+    return out.select("_row.doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (
+  SELECT doc_id, n, line, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+often AS (
+  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT k.*, o.key IS NOT NULL AND k.doc_id <> o.last AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+OP6_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size,
+         CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10)) AS BIGINT) AS place FROM documents),
+per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS cap,
+         [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM per),
+goal AS (
+  SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER () * weight, cap)) AS target FROM ranked),
+passes AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM goal),
+upto AS (
+  SELECT source, place, sum(words) OVER (PARTITION BY source ORDER BY place) AS upto, words
+  FROM (SELECT source, place, sum(size) AS words FROM sized GROUP BY source, place)),
+edge AS (
+  SELECT p.source, min({'place': u.place, 'upto': u.upto, 'words': u.words}) AS e
+  FROM upto u JOIN passes p ON u.source IS NOT DISTINCT FROM p.source WHERE u.upto > p.target - p.epochs * p.source_size GROUP BY p.source),
+bounds AS (
+  SELECT p.*, CASE WHEN e.e IS NULL THEN 1099511627776
+                   WHEN e.e.upto - (target - epochs * source_size) < (target - epochs * source_size) - (e.e.upto - e.e.words) THEN e.e.place + 1
+                   ELSE e.e.place END AS edge
+  FROM passes p LEFT JOIN edge e ON p.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (epochs + CASE WHEN place < edge AND epochs * source_size < target THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sized s JOIN bounds b ON s.source IS NOT DISTINCT FROM b.source"""
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mobilome_spark.llm.simhash_dedup import near_duplicates
 
@@ -23,8 +78,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op6_mixing": op6_mixing}
+    return {"op1_line_dedup": op1_line_dedup, "op2_simhash": op2_simhash, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": OP1_SQL, "op6_mixing": OP6_SQL}
