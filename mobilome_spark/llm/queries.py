@@ -37,7 +37,8 @@ FROM marked GROUP BY doc_id"""
 
 OP6_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size,
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS size,
          CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10)) AS BIGINT) AS place FROM documents),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS cap,
@@ -71,15 +72,43 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilome_spark.llm.ann import neighbours
+
+    return neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mobilome_spark.llm.mixing import mix
 
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilome_spark.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilome_spark.llm.warc import captures
+
+    return captures(read_table(spark, sf_dir, "pages"))
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+SELECT d.page_id, n AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN first IS NULL OR first = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> d.page_id THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.digest = f.digest"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_simhash": op2_simhash, "op6_mixing": op6_mixing}
+    return {"op1_line_dedup": op1_line_dedup, "op2_simhash": op2_simhash, "op5_ann": op5_ann, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op6_mixing": OP6_SQL, "op10_warc": OP10_SQL}
