@@ -115,7 +115,8 @@ def _search_dim(classes: DataFrame, queries: DataFrame, dim: int, k: int) -> Dat
         near = np.sort(-(asked @ known.T), axis=1)[:, : k + 1]
         at = -near[:, -1] / (np.linalg.norm(asked, axis=1) * longest)
         reach = max(reach, float(np.sqrt(np.maximum(0, 2 - 2 * np.quantile(at, 0.25)))))
-    shards = max(1, -(-n * TABLES // SHARD))
+    each = max(1, -(-n // SHARD))
+    shards = TABLES * each  # a shard is of one table, so it holds a vector once
 
     def cells(batches):
         for batch in batches:
@@ -142,7 +143,7 @@ def _search_dim(classes: DataFrame, queries: DataFrame, dim: int, k: int) -> Dat
     def shard_of(key, salt):
         with np.errstate(over="ignore"):
             h = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (salt.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % shards
+            return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % each + key // width * each
 
     def route(batches):
         for batch in batches:
