@@ -72,6 +72,24 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilome_spark.llm.substring_dedup import substring_dedup
+
+    out = substring_dedup(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM starts),
+judged AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) < doc_id AS again FROM windows),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM judged WHERE again) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(g.ps), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN g.ps IS NULL THEN w.w ELSE list_transform(list_filter(list_zip(w.w, range(1, len(w.w) + 1)), lambda x: NOT list_contains(g.ps, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id"""
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mobilome_spark.llm.ann import neighbours
 
@@ -107,8 +125,8 @@ FROM d LEFT JOIN f ON d.digest = f.digest"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_simhash": op2_simhash, "op5_ann": op5_ann, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op10_warc": op10_warc}
+    return {"op1_line_dedup": op1_line_dedup, "op2_simhash": op2_simhash, "op3_substring_dedup": op3_substring_dedup, "op5_ann": op5_ann, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op6_mixing": OP6_SQL, "op10_warc": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op10_warc": OP10_SQL}
