@@ -90,6 +90,19 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(g.ps), 0
 FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id"""
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilome_spark.llm.toxicity import toxicity
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, read_table(spark, sf_dir, "labels")).select("_row.doc_id", "held_out", "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilome_spark.llm.language_id import language_id
+
+    return language_id(read_table(spark, sf_dir, "documents"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mobilome_spark.llm.ann import neighbours
 
@@ -125,7 +138,7 @@ FROM d LEFT JOIN f ON d.digest = f.digest"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_simhash": op2_simhash, "op3_substring_dedup": op3_substring_dedup, "op5_ann": op5_ann, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op10_warc": op10_warc}
+    return {"op1_line_dedup": op1_line_dedup, "op2_simhash": op2_simhash, "op3_substring_dedup": op3_substring_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op8_language_id": op8_language_id, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
