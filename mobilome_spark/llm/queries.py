@@ -121,6 +121,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilome_spark.llm.media import media_columns
+
+    return media_columns(read_table(spark, sf_dir, "documents")).drop("clips")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mobilome_spark.llm.warc import captures
 
@@ -138,7 +144,7 @@ FROM d LEFT JOIN f ON d.digest = f.digest"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_simhash": op2_simhash, "op3_substring_dedup": op3_substring_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op8_language_id": op8_language_id, "op10_warc": op10_warc}
+    return {"op1_line_dedup": op1_line_dedup, "op2_simhash": op2_simhash, "op3_substring_dedup": op3_substring_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op8_language_id": op8_language_id, "op9_media": op9_media, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
