@@ -28,7 +28,7 @@ from mobilome_spark.llm.cuckoo import mix
 
 WIDTH = 13
 #: Bytes of text per bucket aimed at, per group of documents, and per step of the word hash.
-BUCKET_BYTES, GROUP_BYTES, STEP = 24 << 20, 8 << 20, 1 << 20
+BUCKET_BYTES, GROUP_BYTES, STEP = 12 << 20, 4 << 20, 1 << 20
 _MASK = (1 << 64) - 1
 #: Odd multipliers: of bytes in a word, of words in a window (two polynomials).
 _BASES = (0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
@@ -101,14 +101,15 @@ def encode(hashes: np.ndarray, docs: np.ndarray) -> bytes:
     known, which = np.unique(docs, return_inverse=True)
     kind = "<u2" if len(known) <= 1 << 16 else "<u4"
     steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8")
-    body = struct.pack("<II", len(hashes), len(known)) + known.astype("<i8").tobytes() + _planes(steps) + _planes(which.ravel().astype(kind))
+    body = struct.pack("<II", len(hashes), len(known)) + _planes(np.diff(known, prepend=0).astype("<i8")) + _planes(steps) + _planes(which.ravel().astype(kind))
     return zstandard.compress(body, 1)
 
 
 def decode(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     body = zstandard.decompress(blob)
     n, k = struct.unpack_from("<II", body)
-    known, at = np.frombuffer(body, "<i8", k, 8), 8 + 8 * k
+    at = 8 + 8 * k
+    known = np.cumsum(_values(body[8:at], "<i8", k))
     hashes = np.cumsum(_values(body[at : at + 8 * n], "<u8", n), dtype=np.uint64)
     return hashes, known[_values(body[at + 8 * n :], "<u2" if k <= 1 << 16 else "<u4", n)]
 
@@ -146,38 +147,55 @@ def _sent(rows: DataFrame, buckets: int, width: int) -> DataFrame:
     return rows.mapInArrow(emit, "bucket bigint, settled boolean, data binary")
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """(doc_id, hashes) of the windows of a bucket that start in a smaller document too."""
-    hashes, docs, marked_h, marked_d = [], [], [], []
-    for settled, data in zip(table.column("settled").to_pylist(), table.column("data"), strict=True):
-        h, d = decode(data.as_py())
-        (marked_h if settled else hashes).append(h)
-        (marked_d if settled else docs).append(d)
-    if hashes:
-        h, d = np.concatenate(hashes), np.concatenate(docs)
-        order = np.argsort(h, kind="stable")
-        h, d = h[order], d[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(h))))
-        again = d > least
-        marked_h.append(h[again])
-        marked_d.append(d[again])
-    h, d = np.concatenate(marked_h), np.concatenate(marked_d)
+def _pairs(blobs) -> tuple[np.ndarray, np.ndarray]:
+    found = [decode(b) for b in blobs]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _judge(parts: int):
+    """(part, data): the windows of a bucket that start in a smaller document too,
+    packed by the part of the documents that they belong to."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        settled = table.column("settled").to_numpy()
+        blobs = table.column("data").to_pylist()
+        h, d = _pairs(b for b, s in zip(blobs, settled, strict=True) if not s)
+        if len(h):
+            order = np.argsort(h, kind="stable")
+            h, d = h[order], d[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            again = d > np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(h))))
+            h, d = h[again], d[again]
+        more_h, more_d = _pairs(b for b, s in zip(blobs, settled, strict=True) if s)
+        h, d = np.concatenate([h, more_h]), np.concatenate([d, more_d])
+        part = (mix(d.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((h, part))
+        h, d, edges = h[order], d[order], np.searchsorted(part[order], np.arange(parts + 1))
+        own = np.flatnonzero(np.diff(edges))
+        return pa.table({"part": pa.array(own, pa.int64()), "data": pa.array([encode(h[edges[p] : edges[p + 1]], d[edges[p] : edges[p + 1]]) for p in own], pa.binary())})
+
+    return judge
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """(_id, hashes): a row for each document of a part that has marked windows."""
+    h, d = _pairs(table.column("data").to_pylist())
     order = np.argsort(d, kind="stable")
     h, d = h[order], d[order]
-    first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
-    ends = np.append(first, len(d))
-    parts = [h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return pa.table({"_id": pa.array(d[first], pa.int64()), "hashes": pa.array(parts, pa.binary())})
+    edges = np.append(np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])), len(d)) if len(d) else np.zeros(1, np.int64)
+    hashes = [h[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({"_id": pa.array(d[edges[:-1]], pa.int64()), "hashes": pa.array(hashes, pa.binary())})
 
 
 def repeated_windows(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """(_id, hashes): per document the hashes of its repeated windows, 8 bytes each."""
     rows = documents.select(F.coalesce("doc_id", F.lit(_NO_ID)).cast("bigint").alias("_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sent = _sent(rows, max(8, -(-size // BUCKET_BYTES)), width)
-    marked = sent.groupBy("bucket").applyInArrow(_judge, "_id bigint, hashes binary")
-    return marked.groupBy("_id").agg(F.collect_list("hashes").alias("hashes"))
+    buckets = max(8, -(-size // BUCKET_BYTES))
+    marked = _sent(rows, buckets, width).groupBy("bucket").applyInArrow(_judge(buckets), "part bigint, data binary")
+    return marked.groupBy("part").applyInArrow(_by_document, "_id bigint, hashes binary")
 
 
 def substring_dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -215,7 +233,7 @@ def substring_dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                 if lost.is_valid:
                     data = np.frombuffer(text, np.uint8)
                     *_, at, h, _ = windows_of(data, np.array([0, len(data)]), width)
-                    hit = at[np.isin(h, np.frombuffer(b"".join(lost.as_py()), np.uint64))]
+                    hit = at[np.isin(h, np.frombuffer(lost.as_py(), np.uint64))]
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, hit, 1)
                     np.add.at(edge, hit + width, -1)
