@@ -8,27 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mobilome_spark.operators.cluster import gap_clusters
-from mobilome_spark.plans.projections import evidence
-
-
-def q_gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = evidence(spark, sf_dir)
-    return (
-        gap_clusters(ev, "chrom", "pos", 600)
-        .groupBy("chrom", "cluster_id")
-        .agg(
-            F.min("pos").alias("start_pos"),
-            F.max("pos").alias("end_pos"),
-            F.count(F.lit(1)).alias("n_rows"),
-            F.countDistinct("read_name").alias("n_reads"),
-        )
-        .drop("cluster_id")
-    )
-
+from mobilome_spark.functions import seq
+from mobilome_spark.operators import aggregates, cluster, intervals, rules
+from mobilome_spark.plans.projections import evidence, hits, spans, table
 
 EV_SQL = """ev AS (
   SELECT event_id, event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS pos,
@@ -38,17 +23,366 @@ EV_SQL = """ev AS (
          CAST(event_id % 61 AS BIGINT) AS mapq, value
   FROM events)"""
 
-Q_GAP_CLUSTERS = f"""
+IV_SQL = """iv AS (
+  SELECT CAST(o_orderkey AS BIGINT) AS iv_id, CAST(o_custkey % 10 AS VARCHAR) AS chrom, CAST(o_orderkey * 3 AS BIGINT) AS start_pos,
+         CAST(o_orderkey * 3 + 20 + o_orderkey % 97 AS BIGINT) AS end_pos FROM orders),
+tr AS (
+  SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS tr_id, CAST(l_suppkey % 10 AS VARCHAR) AS chrom, CAST(l_orderkey * 3 + l_linenumber * 7 AS BIGINT) AS tr_start,
+         CAST(l_orderkey * 3 + l_linenumber * 7 + 5 + l_partkey % 40 AS BIGINT) AS tr_end FROM lineitem WHERE l_linenumber <= 2)"""
+
+HITS_SQL = """hits AS (
+  SELECT CAST(l_suppkey AS BIGINT) AS locus, CAST(l_orderkey AS BIGINT) AS read_name, l_returnflag || l_linestatus AS target, l_quantity AS score,
+         CASE WHEN l_linenumber % 2 = 0 THEN 'L' ELSE 'R' END AS side, CAST(l_partkey % 50 AS BIGINT) AS pos, l_linenumber AS line,
+         CAST(l_orderkey % 1000 AS BIGINT) AS anchor, CAST(l_partkey % 700 AS BIGINT) AS target_mid, l_extendedprice AS price, l_shipdate
+  FROM lineitem)"""
+
+SEQ_SQL = """s AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)"""
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None):
+    """Register a query under its function's name, with its DuckDB text."""
+
+    def add(build):
+        _QUERIES[build.__name__] = build
+        if sql is not None:
+            _ORACLES[build.__name__] = sql
+        return build
+
+    return add
+
+
+def _seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+
+
+@_query(f"""
 WITH {EV_SQL},
 g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) <= 600 THEN 0 ELSE 1 END AS brk FROM ev),
 c AS (SELECT *, sum(brk) OVER (PARTITION BY chrom ORDER BY pos) AS cid FROM g)
 SELECT chrom, min(pos) AS start_pos, max(pos) AS end_pos, count(*) AS n_rows, count(DISTINCT read_name) AS n_reads
-FROM c GROUP BY chrom, cid"""
+FROM c GROUP BY chrom, cid""")
+def q_gap_clusters(spark, sf_dir):
+    ev = cluster.gap_clusters(evidence(spark, sf_dir), "chrom", "pos", 600)
+    return ev.groupBy("chrom", "cluster_id").agg(
+        F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("read_name").alias("n_reads")
+    ).drop("cluster_id")
+
+
+@_query(f"""
+WITH RECURSIVE {EV_SQL},
+p AS (SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS i FROM (SELECT DISTINCT chrom, pos FROM ev)),
+w AS (SELECT chrom, pos, i, pos AS s FROM p WHERE i = 1
+      UNION ALL
+      SELECT p.chrom, p.pos, p.i, CASE WHEN p.pos - w.pos > 900 OR p.pos - w.s > 3000 THEN p.pos ELSE w.s END
+      FROM w JOIN p ON p.chrom = w.chrom AND p.i = w.i + 1)
+SELECT chrom, s AS start_pos, max(pos) AS end_pos, count(*) AS n_positions FROM w GROUP BY chrom, s""")
+def q_greedy_span_clusters(spark, sf_dir):
+    return cluster.greedy_segments(evidence(spark, sf_dir), "chrom", "pos", 900, 3000)
+
+
+@_query(f"""
+WITH {IV_SQL},
+m AS (SELECT *, CASE WHEN start_pos <= max(end_pos) OVER (PARTITION BY chrom ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM iv),
+g AS (SELECT *, sum(n) OVER (PARTITION BY chrom ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS g FROM m)
+SELECT chrom, min(start_pos) AS start_pos, max(end_pos) AS end_pos, count(*) AS n_merged FROM g GROUP BY chrom, g""")
+def q_interval_merge(spark, sf_dir):
+    return cluster.merge_intervals(spans(spark, sf_dir)[0], "chrom", "start_pos", "end_pos")
+
+
+@_query(f"""
+WITH {IV_SQL},
+j AS (SELECT tr_id, tr_start, iv_id, start_pos, end_pos,
+      row_number() OVER (PARTITION BY tr_id ORDER BY end_pos - start_pos, abs(CAST(floor((start_pos + end_pos + 1) / 2) AS BIGINT) - tr_start), start_pos) AS n
+      FROM tr JOIN iv ON tr.chrom = iv.chrom AND tr_start BETWEEN start_pos AND end_pos)
+SELECT tr_id, iv_id, start_pos, end_pos FROM j WHERE n = 1""")
+def q_tightest_interval(spark, sf_dir):
+    iv, tr = spans(spark, sf_dir)
+    return intervals.tightest_interval(tr, iv, "chrom", "tr_start", "start_pos", "end_pos", ["tr_id"]).select("tr_id", "iv_id", "start_pos", "end_pos")
+
+
+@_query(f"""
+WITH {IV_SQL},
+j AS (SELECT tr_id, start_pos, end_pos, greatest(start_pos - tr_start, tr_start - end_pos, 0) AS distance
+      FROM tr JOIN iv ON tr.chrom = iv.chrom AND tr_start BETWEEN start_pos - 15 AND end_pos + 15),
+k AS (SELECT *, row_number() OVER (PARTITION BY tr_id ORDER BY distance, start_pos, end_pos) AS n FROM j)
+SELECT tr.tr_id, k.start_pos AS start_pos, k.distance AS distance FROM tr LEFT JOIN k ON tr.tr_id = k.tr_id AND n = 1""")
+def q_nearest_seed(spark, sf_dir):
+    iv, tr = spans(spark, sf_dir)
+    return intervals.nearest_seed(tr, iv, "chrom", "tr_start", "start_pos", "end_pos", 15, ["tr_id"]).select("tr_id", "start_pos", "distance")
+
+
+@_query(f"WITH {IV_SQL} SELECT iv_id FROM iv WHERE EXISTS (SELECT 1 FROM tr WHERE tr.chrom = iv.chrom AND tr_start <= end_pos AND tr_end >= start_pos)")
+def q_overlap_semi(spark, sf_dir):
+    iv, tr = spans(spark, sf_dir)
+    return intervals.overlapping(iv, tr, "chrom", "start_pos", "end_pos", "tr_start", "tr_end", ["iv_id"]).select("iv_id")
+
+
+@_query(f"WITH {IV_SQL} SELECT iv_id FROM iv WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.chrom = iv.chrom AND tr_start <= end_pos AND tr_end >= start_pos)")
+def q_overlap_anti(spark, sf_dir):
+    iv, tr = spans(spark, sf_dir)
+    return intervals.overlapping(iv, tr, "chrom", "start_pos", "end_pos", "tr_start", "tr_end", ["iv_id"], inverse=True).select("iv_id")
+
+
+@_query(f"""
+WITH {IV_SQL} SELECT iv_id FROM iv WHERE EXISTS (SELECT 1 FROM tr WHERE tr.chrom = iv.chrom AND tr_start <= end_pos AND tr_end >= start_pos
+  AND least(tr_end, end_pos) - greatest(tr_start, start_pos) + 1 >= 0.3::DOUBLE * (end_pos - start_pos + 1))""")
+def q_overlap_fraction_semi(spark, sf_dir):
+    iv, tr = spans(spark, sf_dir)
+    return intervals.overlapping(iv, tr, "chrom", "start_pos", "end_pos", "tr_start", "tr_end", ["iv_id"], 0.3).select("iv_id")
+
+
+@_query(f"""
+WITH {IV_SQL},
+j AS (SELECT iv_id, tr_id, least(tr_end, end_pos) - greatest(tr_start, start_pos) + 1 AS overlap_bp,
+      row_number() OVER (PARTITION BY iv_id ORDER BY least(tr_end, end_pos) - greatest(tr_start, start_pos) DESC, tr_start, tr_id) AS n
+      FROM iv JOIN tr ON tr.chrom = iv.chrom AND tr_start <= end_pos AND tr_end >= start_pos)
+SELECT iv.iv_id, j.tr_id AS tr_id, j.overlap_bp AS overlap_bp FROM iv LEFT JOIN j ON iv.iv_id = j.iv_id AND n = 1""")
+def q_best_overlap(spark, sf_dir):
+    iv, tr = spans(spark, sf_dir)
+    return intervals.best_overlap(iv, tr, "chrom", "start_pos", "end_pos", "tr_start", "tr_end", ["iv_id"], "tr_id").select("iv_id", "tr_id", "overlap_bp")
+
+
+@_query(f"""
+WITH {IV_SQL},
+e AS (SELECT chrom, p, sum(d) AS d FROM (SELECT chrom, start_pos AS p, 1 AS d FROM iv UNION ALL SELECT chrom, end_pos + 1, -1 FROM iv) GROUP BY chrom, p),
+r AS (SELECT chrom, p AS from_pos, lead(p) OVER w - 1 AS to_pos, CAST(sum(d) OVER w AS BIGINT) AS depth FROM e WINDOW w AS (PARTITION BY chrom ORDER BY p))
+SELECT * FROM r WHERE depth > 0""")
+def q_depth_pileup(spark, sf_dir):
+    return aggregates.depth(spans(spark, sf_dir)[0], "chrom", "start_pos", "end_pos")
+
+
+@_query(f"""
+WITH {HITS_SQL},
+s AS (SELECT locus, target, sum(score) AS s FROM hits GROUP BY locus, target),
+r AS (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY s DESC, target) AS n, sum(s) OVER (PARTITION BY locus) AS t FROM s)
+SELECT locus, target AS top_label, s AS top_score, round(s / t, 6) AS purity FROM r WHERE n = 1""")
+def q_top_label_purity(spark, sf_dir):
+    return aggregates.top_label(hits(spark, sf_dir), ["locus"], "target", "score").withColumn("purity", F.round("purity", 6))
+
+
+@_query(f"""
+WITH {HITS_SQL},
+p AS (SELECT locus, side, pos, count(DISTINCT read_name) AS c FROM hits GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY locus, side ORDER BY c DESC, pos) AS n, CAST(sum(c) OVER (PARTITION BY locus, side) AS BIGINT) AS total_reads,
+      count(*) OVER (PARTITION BY locus, side) AS unique_positions FROM p)
+SELECT locus, side, pos AS mode_pos, c AS mode_reads, total_reads, unique_positions FROM r WHERE n = 1""")
+def q_breakpoint_mode(spark, sf_dir):
+    return aggregates.breakpoint_mode(hits(spark, sf_dir), ["locus", "side"], "pos", "read_name")
+
+
+@_query(f"""
+WITH {HITS_SQL}, b AS (SELECT locus, side, pos // 10 AS bin, count(DISTINCT read_name) AS c FROM hits GROUP BY ALL)
+SELECT locus, side, round(max(c) / sum(c), 6) AS bin_mode_fraction FROM b GROUP BY locus, side""")
+def q_bin_mode_fraction(spark, sf_dir):
+    return aggregates.bin_mode_fraction(hits(spark, sf_dir), ["locus", "side"], "pos", 10, "read_name").withColumn("bin_mode_fraction", F.round("bin_mode_fraction", 6))
+
+
+@_query(f"""
+WITH {HITS_SQL}
+SELECT locus, count(DISTINCT CASE WHEN side = 'L' THEN read_name END) AS left_reads, count(DISTINCT CASE WHEN side = 'R' THEN read_name END) AS right_reads,
+       round(quantile_cont(target_mid, 0.5), 6) AS median_mid, greatest(CAST(floor(quantile_cont(price, 0.995)) AS BIGINT), 1000) AS size_threshold
+FROM hits GROUP BY locus""")
+def q_side_distinct_quantile(spark, sf_dir):
+    side = lambda s: F.countDistinct(F.when(F.col("side") == s, F.col("read_name")))
+    return hits(spark, sf_dir).groupBy("locus").agg(
+        side("L").alias("left_reads"), side("R").alias("right_reads"), F.round(F.percentile("target_mid", 0.5), 6).alias("median_mid"),
+        F.greatest(F.floor(F.percentile("price", 0.995)), F.lit(1000)).cast("bigint").alias("size_threshold"),
+    )
+
+
+@_query(f"""
+WITH {HITS_SQL},
+r AS (SELECT locus, rank() OVER (PARTITION BY locus ORDER BY anchor) + (count(*) OVER (PARTITION BY locus, anchor) - 1) / 2.0::DOUBLE AS x,
+             rank() OVER (PARTITION BY locus ORDER BY target_mid) + (count(*) OVER (PARTITION BY locus, target_mid) - 1) / 2.0::DOUBLE AS y FROM hits)
+SELECT locus, count(*) AS n, round(CASE WHEN count(*) < 3 THEN 1.0 WHEN var_pop(x) * var_pop(y) <= 1e-9 THEN 0.0 ELSE abs(corr(x, y)) END, 6) AS spearman FROM r GROUP BY locus""")
+def q_spearman(spark, sf_dir):
+    return aggregates.abs_spearman(hits(spark, sf_dir), ["locus"], "anchor", "target_mid").withColumn("spearman", F.round("spearman", 6))
+
+
+@_query(f"""
+WITH {EV_SQL},
+a AS (SELECT chrom, mapq, count(*) FILTER (sample = 'disease') AS disease_rows, count(DISTINCT CASE WHEN sample = 'disease' THEN read_name END) AS disease_reads,
+      count(*) FILTER (sample = 'control') AS control_rows, count(DISTINCT CASE WHEN sample = 'control' THEN read_name END) AS control_reads FROM ev GROUP BY chrom, mapq),
+c AS (SELECT *, disease_rows * 1e6::DOUBLE / 50000 AS d, control_rows * 1e6::DOUBLE / 40000 AS c FROM a)
+SELECT chrom, mapq, disease_rows, disease_reads, control_rows, control_reads, round(d, 6) AS disease_cpm, round(c, 6) AS control_cpm,
+       round((d + 0.1) / (c + 0.1), 6) AS enrichment_ratio, round(d - c, 6) AS delta_cpm FROM c""")
+def q_case_control_enrichment(spark, sf_dir):
+    out = aggregates.case_control(evidence(spark, sf_dir), ["chrom", "mapq"], "sample", "read_name", {"disease": 50000, "control": 40000})
+    return out.withColumns({c: F.round(c, 6) for c in ("disease_cpm", "control_cpm", "enrichment_ratio", "delta_cpm")})
+
+
+@_query(f"""
+WITH {HITS_SQL},
+d AS (SELECT DISTINCT locus, anchor, target_mid FROM hits),
+s AS (SELECT locus, anchor, target_mid, least(abs((target_mid - lag(target_mid) OVER w) - (anchor - lag(anchor) OVER w)), abs((target_mid - lag(target_mid) OVER w) + (anchor - lag(anchor) OVER w))) AS s
+      FROM d WINDOW w AS (PARTITION BY locus ORDER BY anchor, target_mid)),
+b AS (SELECT *, coalesce(max(CASE WHEN s > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY locus ORDER BY anchor, target_mid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM s)
+SELECT locus, coalesce(max(CASE WHEN over = 0 THEN s END), 0) AS max_swing, max(CASE WHEN s > 600 THEN 1 ELSE 0 END) AS violates FROM b GROUP BY locus""")
+def q_jump_violation(spark, sf_dir):
+    return aggregates.jump_violation(hits(spark, sf_dir), ["locus"], "anchor", "target_mid", 600)
+
+
+@_query(f"""
+WITH {EV_SQL},
+bg AS (SELECT chrom, value AS v FROM ev WHERE event_id % 2 = 0), q AS (SELECT event_id, chrom, value AS v FROM ev WHERE event_id % 20 = 1),
+n AS (SELECT chrom, count(*) AS n FROM bg GROUP BY chrom)
+SELECT q.event_id, round((count(b.v) FILTER (b.v >= q.v) + 1) / (count(b.v) + 1), 9) AS p_high
+FROM q LEFT JOIN n ON q.chrom = n.chrom JOIN bg b ON coalesce(n.n, 0) < 50 OR b.chrom = q.chrom GROUP BY q.event_id""")
+def q_empirical_tail(spark, sf_dir):
+    ev = evidence(spark, sf_dir)
+    asked, background = ev.filter("event_id % 20 = 1"), ev.filter("event_id % 2 = 0")
+    return aggregates.empirical_tail(asked, background, ["event_id"], "chrom", "value").withColumn("p_high", F.round("p_high", 9))
+
+
+@_query(f"""
+WITH {SEQ_SQL}, r AS (SELECT doc_id, seq, regexp_extract_all(seq, '(A+|T+)') AS runs FROM s),
+m AS (SELECT *, coalesce(list_max(list_transform(runs, lambda x: length(x))), 0) AS run FROM r)
+SELECT doc_id, CAST(run AS INTEGER) AS run, coalesce(left(list_filter(runs, lambda x: length(x) = run)[1], 1), '') AS base,
+       round(CASE WHEN length(seq) = 0 THEN 0.0 ELSE (length(seq) - length(regexp_replace(seq, '[AT]', '', 'g'))) / length(seq) END, 6) AS fraction FROM m""")
+def q_poly_run(spark, sf_dir):
+    s = F.col("seq")
+    return _seqs(spark, sf_dir).select("doc_id", seq.poly_at_run(s).alias("run"), seq.poly_at_base(s).alias("base"), F.round(seq.poly_at_fraction(s), 6).alias("fraction"))
+
+
+@_query(f"""
+WITH {SEQ_SQL}, c AS (SELECT doc_id, left(seq, 80) AS c FROM s),
+n AS (SELECT *, length(c) AS n, [length(c) - length(replace(c, b, '')) FOR b IN ['A', 'C', 'G', 'T']] AS k FROM c),
+e AS (SELECT *, coalesce(list_sum([CASE WHEN x > 0 THEN -(x / n) * log2(x / n) ELSE 0.0 END FOR x IN k]), 0.0) AS e FROM n)
+SELECT doc_id, c AS clip, round(e, 6) AS entropy, n >= 20 AND (k[2] + k[3]) / greatest(n, 1) >= 0.15 AND e >= 1.2 AS informative FROM e""")
+def q_entropy_informative(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").select("doc_id", seq.normalized_clip(F.col("text")).alias("clip"))
+    return c.select("doc_id", "clip", F.round(seq.entropy(F.col("clip")), 6).alias("entropy"), seq.informative_clip(F.col("clip")).alias("informative"))
+
+
+@_query(f"WITH {SEQ_SQL} SELECT doc_id, reverse(translate(left(seq, 60), 'ACGT', 'TGCA')) AS rc FROM s")
+def q_revcomp(spark, sf_dir):
+    return _seqs(spark, sf_dir).select("doc_id", seq.revcomp(F.left("seq", F.lit(60))).alias("rc"))
+
+
+@_query(f"""
+WITH {SEQ_SQL}, t AS (SELECT doc_id, left(seq, 6) AS six FROM s)
+SELECT doc_id, round(CASE WHEN length(six) = 6 THEN list_sum([log2(CASE WHEN contains(CASE WHEN k <= 2 THEN 'CT' ELSE 'AG' END, substr(six, k, 1)) THEN 0.45 ELSE 0.05 END / 0.25) FOR k IN range(1, 7)]) ELSE 0.0 END, 6) AS logodds FROM t""")
+def q_motif_logodds(spark, sf_dir):
+    return _seqs(spark, sf_dir).select("doc_id", F.round(seq.motif_logodds(F.left("seq", F.lit(6))), 6).alias("logodds"))
+
+
+@_query(f"""
+WITH {SEQ_SQL}, t AS (SELECT doc_id, left(seq, 6) AS six FROM s)
+SELECT doc_id, CAST(CASE WHEN length(six) <> 6 THEN greatest(length(six), 6) ELSE hamming(six, 'TTAAAA') END AS INTEGER) AS distance FROM t""")
+def q_hamming_motif(spark, sf_dir):
+    return _seqs(spark, sf_dir).select("doc_id", seq.hamming(F.left("seq", F.lit(6)), F.lit("TTAAAA")).alias("distance"))
+
+
+_CIGAR = "CAST(10 + l_partkey % 40 AS VARCHAR) || 'M' || CAST(1 + l_suppkey % 30 AS VARCHAR) || CASE WHEN l_linenumber % 2 = 0 THEN 'I' ELSE 'D' END || CAST(5 + l_linenumber AS VARCHAR) || 'M3S'"
+
+
+@_query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'I' ELSE 'D' END AS kind, CAST(1 + l_suppkey % 30 AS BIGINT) AS len,
+       CAST(1000 + 10 + l_partkey % 40 + CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE (1 + l_suppkey % 30) // 2 END AS BIGINT) AS ref_pos FROM lineitem""")
+def q_cigar_events(spark, sf_dir):
+    reads = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_CIGAR.replace("VARCHAR", "STRING")).alias("cigar"))
+    return reads.select("l_orderkey", "l_linenumber", F.inline(rules.cigar_events(F.col("cigar"), F.lit(1000))))
+
+
+@_query("""
+SELECT event_id, array_to_string(list_sort(list_filter([CASE WHEN event_id % 7 = 0 THEN 'mate_unmapped' END, CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 0 THEN 'interchrom' END,
+  CASE WHEN event_id % 7 <> 0 AND event_id % 5 <> 0 AND abs(value) >= 50 THEN 'large_insert' END, CASE WHEN event_id % 7 <> 0 AND event_id % 3 = 0 THEN 'same_strand' END,
+  CASE WHEN event_id % 2 = 0 THEN 'improper_pair' END, CASE WHEN event_id % 11 = 0 THEN 'poly_tail_anchor_rescue' END], lambda x: x IS NOT NULL)), ',') AS reasons,
+  event_id % 7 = 0 OR event_id % 5 = 0 OR abs(value) >= 50 AS strong FROM events""")
+def q_discordant_reasons(spark, sf_dir):
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    reasons = rules.discordant_reasons(i % 7 == 0, i % 5 == 0, F.col("value"), 50, i % 3 == 0, i % 2 != 0, i % 11 == 0)
+    return e.select("event_id", reasons.alias("reasons")).withColumn("strong", rules.has_strong_reason(F.col("reasons")))
+
+
+@_query("""
+WITH k AS (SELECT o_orderkey, CAST(o_orderkey % 400 + 100 AS BIGINT) AS s, CAST(o_orderkey % 400 + 160 AS BIGINT) AS e,
+  list_filter([CAST(CASE WHEN o_custkey % 3 = 0 THEN o_orderkey % 400 + 90 + o_custkey % 50 ELSE 0 END AS BIGINT), CAST(CASE WHEN o_custkey % 5 = 0 THEN o_orderkey % 400 + 120 + o_custkey % 30 ELSE 0 END AS BIGINT)], lambda x: x > 0) AS c,
+  CAST(CASE WHEN o_custkey % 2 = 0 THEN o_orderkey % 400 + 130 ELSE 0 END AS BIGINT) AS p FROM orders),
+f AS (SELECT *, CASE WHEN p > 0 THEN p ELSE CAST(floor((s + e) / 2) AS BIGINT) END AS one FROM k),
+b AS (SELECT o_orderkey, greatest(s, least(e, coalesce(list_min(c), one))) AS bp_left, greatest(s, least(e, coalesce(list_max(c), one))) AS bp_right FROM f)
+SELECT *, bp_right - bp_left + 1 AS bp_width, CASE WHEN bp_right - bp_left < 3 THEN 'high' WHEN bp_right - bp_left < 15 THEN 'medium' ELSE 'low' END AS bp_tier,
+       CAST(round_even((bp_left + bp_right) / 2, 0) AS BIGINT) AS bp_pos FROM b""")
+def q_breakpoint_interval(spark, sf_dir):
+    base, c = F.col("o_orderkey") % 400, F.col("o_custkey")
+    found = [F.when(c % 3 == 0, base + 90 + c % 50).otherwise(0), F.when(c % 5 == 0, base + 120 + c % 30).otherwise(0)]
+    return table(spark, sf_dir, "orders").select("o_orderkey", *rules.breakpoint_interval(found, F.when(c % 2 == 0, base + 130).otherwise(0), base + 100, base + 160))
+
+
+@_query("""
+WITH k AS (SELECT l_orderkey, l_linenumber, l_quantity + 0.5 * l_linenumber AS alt, CAST(l_partkey % 60 AS DOUBLE) AS ref FROM lineitem), p AS (SELECT *, alt / (alt + ref) AS p FROM k)
+SELECT l_orderkey, l_linenumber, round(p, 6) AS vaf, round(greatest(0.0, p - 1.96 * sqrt(p * (1 - p) / (alt + ref))), 6) AS vaf_low, round(least(1.0, p + 1.96 * sqrt(p * (1 - p) / (alt + ref))), 6) AS vaf_high FROM p""")
+def q_vaf_ci(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *rules.vaf_bounds(F.col("l_quantity") + 0.5 * F.col("l_linenumber"), (F.col("l_partkey") % 60).cast("double")))
+    return rows.withColumns({c: F.round(c, 6) for c in ("vaf", "vaf_low", "vaf_high")})
+
+
+@_query(f"""
+WITH {HITS_SQL}, c AS (SELECT locus, count(DISTINCT CASE WHEN side = 'L' AND line < 4 THEN read_name END) AS a, count(DISTINCT CASE WHEN side = 'R' AND line < 4 THEN read_name END) AS b,
+  count(DISTINCT CASE WHEN side = 'L' AND line >= 4 THEN read_name END) AS c, count(DISTINCT CASE WHEN side = 'R' AND line >= 4 THEN read_name END) AS d, count(DISTINCT read_name) AS m FROM hits GROUP BY locus)
+SELECT locus, 'SR_L=' || a || ',SR_R=' || b || ',DPE_L=' || c || ',DPE_R=' || d || ',MEI_MAPPED=' || m AS support, m AS mapped FROM c""")
+def q_support_string(spark, sf_dir):
+    n = lambda m: F.countDistinct(F.when(m, F.col("read_name")))
+    left, split = F.col("side") == "L", F.col("line") < 4
+    g = hits(spark, sf_dir).groupBy("locus").agg(n(left & split).alias("a"), n(~left & split).alias("b"), n(left & ~split).alias("c"), n(~left & ~split).alias("d"), F.countDistinct("read_name").alias("m"))
+    text = rules.support_string({"SR_L": F.col("a"), "SR_R": F.col("b"), "DPE_L": F.col("c"), "DPE_R": F.col("d"), "MEI_MAPPED": F.col("m")})
+    return g.select("locus", text.alias("support")).withColumn("mapped", rules.support_field(F.col("support"), "MEI_MAPPED"))
+
+
+@_query("""
+SELECT o_orderkey, CASE WHEN silver AND NOT z THEN 'gold' WHEN silver THEN 'silver' ELSE 'bronze' END AS stage,
+       concat_ws(';', CASE WHEN j > 0 THEN 'junk_region_flagged' END, CASE WHEN NOT m THEN 'no_mei_support' END, CASE WHEN NOT (s OR r) THEN 'weak_support' END, CASE WHEN NOT (c OR r) THEN 'inconsistent' END, CASE WHEN z THEN 'depth_pileup_artifact' END) AS reasons
+FROM (SELECT *, j = 0 AND m AND (s OR r) AND (c OR r) AS silver FROM
+  (SELECT o_orderkey, o_orderkey % 4 % 3 AS j, o_custkey % 5 <> 0 AS m, o_orderkey % 7 < 5 AS s, o_custkey % 11 = 0 AS r, o_orderkey % 3 <> 1 AS c, o_custkey % 13 = 0 AS z FROM orders))""")
+def q_stage_tiers(spark, sf_dir):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    tier, why = rules.stage(o % 4 % 3, c % 5 != 0, o % 7 < 5, c % 11 == 0, o % 3 != 1, c % 13 == 0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", tier.alias("stage"), why.alias("reasons"))
+
+
+@_query("""
+WITH a AS (SELECT c_nationkey, c_custkey, round(0.50 * ln(1 + c_custkey % 30) + 0.35 * ln(1 + c_nationkey) + 0.15 * coalesce(least(1.0, (c_custkey % 17) / nullif(c_custkey % 30 + c_nationkey, 0)), 0.0), 6) AS score,
+  c_custkey % 3 AS stage FROM customer)
+SELECT c_custkey, score, row_number() OVER (PARTITION BY c_nationkey ORDER BY stage DESC, score DESC, c_custkey) AS rank FROM a""")
+def q_priority_rank(spark, sf_dir):
+    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", rules.priority(c % 30, n, c % 17).alias("score"), (c % 3).alias("stage"))
+    order = Window.partitionBy("c_nationkey").orderBy(F.desc("stage"), F.desc("score"), "c_custkey")
+    return rows.select("c_custkey", "score", F.row_number().over(order).cast("bigint").alias("rank"))
+
+
+@_query("""
+WITH d AS (SELECT CAST(l_suppkey AS BIGINT) AS locus, count(*) AS depth FROM lineitem GROUP BY 1), s AS (SELECT avg(depth) AS m, stddev_pop(depth) AS sd FROM d)
+SELECT locus, depth, round((depth - m) / sd, 6) AS z, (depth - m) / sd >= 2 AS outlier FROM d, s""")
+def q_depth_outlier(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("bigint").alias("locus")).agg(F.count(F.lit(1)).alias("depth"))
+    s = d.agg(F.avg("depth").alias("m"), F.stddev_pop("depth").alias("sd"))  # one row
+    z = (F.col("depth") - F.col("m")) / F.nullif(F.col("sd"), F.lit(0.0))
+    return d.join(F.broadcast(s)).select("locus", "depth", F.round(z, 6).alias("z"), (z >= 2).alias("outlier"))
+
+
+@_query(f"""
+WITH {HITS_SQL}, r AS (SELECT locus, read_name, line, row_number() OVER (PARTITION BY locus ORDER BY CASE WHEN side = 'L' THEN 0 ELSE 1 END, pos, read_name, line) AS n FROM hits)
+SELECT locus, read_name, line FROM r WHERE n <= 25""")
+def q_read_cap_priority(spark, sf_dir):
+    order = Window.partitionBy("locus").orderBy(F.when(F.col("side") == "L", 0).otherwise(1), "pos", "read_name", "line")
+    return hits(spark, sf_dir).withColumn("_n", F.row_number().over(order)).filter("_n <= 25").select("locus", "read_name", "line")
+
+
+@_query("""
+SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, coalesce(TRY_CAST(regexp_extract(url, '[?&]page=([0-9]+)', 1) AS BIGINT), 0) AS page, contains(url, '#') AS anchored FROM pages""")
+def q_catalog_parse(spark, sf_dir):
+    u = F.col("url")
+    page = F.coalesce(F.regexp_extract(u, "[?&]page=([0-9]+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, "^[a-z]+://([^/?#]+)", 1).alias("host"), page.alias("page"), u.contains("#").alias("anchored"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"q_gap_clusters": q_gap_clusters}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"q_gap_clusters": Q_GAP_CLUSTERS}
+    return dict(_ORACLES)
