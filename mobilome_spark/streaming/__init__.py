@@ -1 +1 @@
-"""streaming subpackage."""
+"""Structured Streaming operators: none yet, the domain has batch inputs only."""
