@@ -17,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mobilome_spark.llm.common import materialize
+
 FOLDS, HELD_OUT, UNKNOWN = 5, 0, "und"
 #: Documents of each language, hashed n-gram classes, rounds of fitting, and the lead below which a choice is ambiguous.
 SAMPLE, SIZE, ROUNDS, LEAD = 600, 2048, 120, 0.2
+#: Rows of ids or languages that may be sent to every task.
+MANY = 100_000
 _CLASS = np.full(256, 32, np.uint32)
 _CLASS[97:123] = np.arange(97, 123)
 _CLASS[65:91] = np.arange(97, 123)
@@ -108,7 +112,9 @@ def fit(documents: DataFrame) -> Model | None:
     counts = known.groupBy("lang").count()
     place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
     share = counts.select(F.col("lang"), (F.lit(float(SAMPLE)) / F.col("count")).alias("_share"))
-    sample = known.select("doc_id", "lang", "text").join(share, "lang").filter(place < F.col("_share"))
+    ids = materialize(known.select("doc_id", "lang").join(F.broadcast(share) if counts.count() <= MANY else share, "lang").filter(place < F.col("_share")).select("doc_id").distinct(), "language-sample")
+    # a small sample goes to the texts; otherwise Spark chooses how to join
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids) if ids.count() <= MANY else ids, "doc_id")
 
     def dense(batches):
         for batch in batches:
