@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mobilome_spark.functions import seq
-from mobilome_spark.operators import aggregates, cluster, intervals, rules
+from mobilome_spark.operators import aggregates, cluster, intervals, loci, rules
 from mobilome_spark.plans.projections import evidence, hits, spans, table
 
 EV_SQL = """ev AS (
@@ -380,6 +380,73 @@ def q_catalog_parse(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, "^[a-z]+://([^/?#]+)", 1).alias("host"), page.alias("page"), u.contains("#").alias("anchored"))
 
 
+_LOCI_SQL = """
+sp AS (SELECT DISTINCT chrom, pos FROM ev WHERE kind = 'split'),
+sg AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) <= 300 THEN 0 ELSE 1 END AS b FROM sp),
+sc AS (SELECT chrom, pos, sum(b) OVER (PARTITION BY chrom ORDER BY pos) AS c FROM sg),
+seed AS (SELECT chrom, min(pos) AS s, max(pos) AS e FROM sc GROUP BY chrom, c),
+dj AS (SELECT d.chrom, d.pos, s, row_number() OVER (PARTITION BY d.chrom, d.pos ORDER BY greatest(s - d.pos, d.pos - e, 0), s, e) AS n
+       FROM (SELECT DISTINCT chrom, pos FROM ev WHERE kind = 'discordant') d LEFT JOIN seed ON d.chrom = seed.chrom AND d.pos BETWEEN s - 600 AND e + 600),
+rg AS (SELECT chrom, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) <= 600 THEN 0 ELSE 1 END AS b FROM dj WHERE n = 1 AND s IS NULL),
+rc AS (SELECT chrom, pos, sum(b) OVER (PARTITION BY chrom ORDER BY pos) AS c FROM rg),
+m AS (SELECT chrom, 300 AS flank, min(pos) OVER (PARTITION BY chrom, c) AS id, pos FROM sc UNION SELECT chrom, 300, s, pos FROM dj WHERE n = 1 AND s IS NOT NULL
+      UNION SELECT chrom, 600, min(pos) OVER (PARTITION BY chrom, c), pos FROM rc),
+p AS (SELECT *, row_number() OVER (PARTITION BY chrom, flank, id ORDER BY pos) AS i FROM m),
+w AS (SELECT chrom, flank, id, pos, i, pos AS s FROM p WHERE i = 1 UNION ALL
+      SELECT p.chrom, p.flank, p.id, p.pos, p.i, CASE WHEN p.pos - w.pos > 600 OR p.pos - w.s > 1500 THEN p.pos ELSE w.s END
+      FROM w JOIN p ON p.chrom = w.chrom AND p.flank = w.flank AND p.id = w.id AND p.i = w.i + 1),
+loci AS (SELECT DISTINCT chrom, CAST(greatest(1, s - flank) AS BIGINT) AS window_start, CAST(max(pos) + flank AS BIGINT) AS window_end FROM w GROUP BY chrom, flank, id, s),
+aj AS (SELECT ev.*, window_start, window_end, row_number() OVER (PARTITION BY event_id ORDER BY window_end - window_start, abs(CAST(floor((window_start + window_end + 1) / 2) AS BIGINT) - pos), window_start) AS n
+       FROM ev JOIN loci ON ev.chrom = loci.chrom AND ev.pos BETWEEN window_start AND window_end),
+a AS (SELECT * FROM aj WHERE n = 1)"""
+
+
+def _evidence_tables(spark, sf_dir):
+    ev, e = evidence(spark, sf_dir), F.col("event_id")
+    ev = ev.withColumns({"nm": (e % 4).cast("int"), "rescued": e % 9 == 0, "poly_fraction": (e % 10) / 10, "poly_run": (e % 17).cast("int")})
+    split = ev.filter("kind = 'split'").withColumns({"clip_len": (e % 80).cast("int"), "has_sa": e % 5 == 0})
+    # a read's mate lies elsewhere on the same contig, if it has one
+    mate = {"template_len": (e % 3000).cast("int"), "discordant_reasons": F.when(e % 2 == 0, "interchrom").otherwise("improper_pair,large_insert"), "mate_chrom": F.when(e % 7 == 0, "*").otherwise(F.col("chrom")), "mate_pos": F.col("pos") + e % 5000}
+    return split, ev.filter("kind = 'discordant'").withColumns(mate)
+
+
+@_query(f"""
+WITH RECURSIVE {EV_SQL}, {_LOCI_SQL}
+SELECT chrom, window_start, window_end, count(*) FILTER (kind = 'split' AND sample = 'disease') AS split_disease_rows,
+  count(DISTINCT CASE WHEN kind = 'split' AND sample = 'disease' THEN read_name END) AS split_disease_unique_reads,
+  round(coalesce(avg(mapq) FILTER (kind = 'split' AND sample = 'disease'), 0.0), 6) AS split_disease_mapq_mean,
+  coalesce(max(event_id % 80) FILTER (kind = 'split' AND sample = 'control'), 0) AS split_control_clip_len_max,
+  coalesce(min(mapq) FILTER (kind = 'discordant' AND sample = 'control'), 0) AS discordant_control_mapq_min,
+  round(coalesce(avg(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.0 END) FILTER (kind = 'discordant' AND sample = 'control'), 0.0), 6) AS discordant_control_interchrom_fraction,
+  count(DISTINCT CASE WHEN kind = 'discordant' AND sample = 'disease' AND event_id % 9 = 0 THEN read_name END) AS discordant_disease_poly_tail_rescued_unique_reads,
+  round((count(*) FILTER (sample = 'disease') * 1e6::DOUBLE / 50000 + 0.1) / (count(*) FILTER (sample = 'control') * 1e6::DOUBLE / 40000 + 0.1), 6) AS enrichment_ratio
+FROM a GROUP BY chrom, window_start, window_end""")
+def q_candidate_loci(spark, sf_dir):
+    out = loci.candidate_loci(*_evidence_tables(spark, sf_dir), {"disease": 50000, "control": 40000}, 300, 600, 1500)
+    means = ("split_disease_mapq_mean", "discordant_control_interchrom_fraction", "enrichment_ratio")
+    counts = ("split_disease_rows", "split_disease_unique_reads", "discordant_disease_poly_tail_rescued_unique_reads")
+    return out.select(*loci.KEY, *counts, F.col("split_control_clip_len_max").cast("bigint"), "discordant_control_mapq_min", *[F.round(c, 6).alias(c) for c in means])
+
+
+@_query(f"""
+WITH RECURSIVE {EV_SQL}, {_LOCI_SQL},
+t AS (SELECT o_orderkey % 3 AS k, list_value('purchase', 'click', 'view', 'error', 'signup')[o_custkey % 5 + 1] AS chrom, CAST(o_orderkey * 40 AS BIGINT) AS start_pos, CAST(o_orderkey * 40 + 50 + o_custkey % 900 AS BIGINT) AS end_pos FROM orders),
+l AS (SELECT DISTINCT chrom, window_start, window_end FROM a),
+h AS (SELECT l.*, k, least(window_end, end_pos) - greatest(window_start, start_pos) + 1 AS o FROM l JOIN t ON t.chrom = l.chrom AND start_pos <= window_end AND end_pos >= window_start),
+f AS (SELECT chrom, window_start, window_end, bool_or(k = 0 AND o >= 0.1 * (window_end - window_start + 1)) AS segdup, bool_or(k = 1 AND o >= 0.5 * (window_end - window_start + 1)) AS gap, bool_or(k = 2) AS trusted FROM h GROUP BY ALL),
+e AS (SELECT a.chrom, window_start, window_end, bool_or(k = 0) AS mate FROM a JOIN t ON t.chrom = a.chrom AND a.pos + event_id % 5000 BETWEEN start_pos AND end_pos WHERE kind = 'discordant' AND event_id % 7 <> 0 AND a.pos + event_id % 5000 > 0 GROUP BY ALL)
+SELECT l.chrom, l.window_start, l.window_end, coalesce(segdup, false) AS flag_segdup, coalesce(gap, false) AS flag_gap_region, NOT coalesce(trusted, false) AS flag_outside_giab_highconf, coalesce(mate, false) AS flag_mate_in_segdup,
+  CAST(coalesce(segdup, false) AS INTEGER) + CAST(coalesce(gap, false) AS INTEGER) + CAST(NOT coalesce(trusted, false) AS INTEGER) AS junk_flag_count
+FROM l LEFT JOIN f USING (chrom, window_start, window_end) LEFT JOIN e USING (chrom, window_start, window_end)""")
+def q_junk_flags(spark, sf_dir):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    names = F.array(*[F.lit(n) for n in ("purchase", "click", "view", "error", "signup")])
+    t = table(spark, sf_dir, "orders").select((o % 3).alias("k"), F.get(names, (c % 5).cast("int")).alias("chrom"), (o * 40).alias("start_pos"), (o * 40 + 50 + c % 900).alias("end_pos"))
+    tracks = {"segdup": (t.filter("k = 0"), 0.1), "gap_region": (t.filter("k = 1"), 0.5)}
+    out = loci.candidate_loci(*_evidence_tables(spark, sf_dir), {"disease": 50000, "control": 40000}, 300, 600, 1500, tracks, t.filter("k = 2"))
+    return out.select(*loci.KEY, "flag_segdup", "flag_gap_region", "flag_outside_giab_highconf", "flag_mate_in_segdup", "junk_flag_count")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
