@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mobilome_spark.operators import cluster, intervals
+from mobilome_spark.sources.scratch import written
 
 KEY = ["chrom", "window_start", "window_end"]
 #: Evidence kinds and samples; a metric is named kind_sample_metric.
@@ -14,7 +15,7 @@ REASONS = ("mate_unmapped", "interchrom", "large_insert", "same_strand", "improp
 TRACKS = ("segdup", "low_mappability", "gap_region", "encode_blacklist")
 
 
-def build_loci(split: DataFrame, discordant: DataFrame, split_gap: int, discordant_gap: int, max_span: int) -> DataFrame:
+def build_loci(split: DataFrame, discordant: DataFrame, split_gap: int = 30, discordant_gap: int = 400, max_span: int = 2000) -> DataFrame:
     """Distinct windows (``KEY``) around clusters of evidence positions.
 
     Split positions form seeds by ``split_gap``. A discordant position joins the
@@ -22,10 +23,11 @@ def build_loci(split: DataFrame, discordant: DataFrame, split_gap: int, discorda
     form clusters of their own. Clusters are cut greedily at ``max_span`` and
     widened by the gap they were built with. Seeds do not grow as positions join.
     """
-    own = cluster.gap_clusters(split.select("chrom", "pos").filter("pos IS NOT NULL").distinct(), "chrom", "pos", split_gap)
+    own = written(cluster.gap_clusters(split.select("chrom", "pos").filter("pos IS NOT NULL").distinct(), "chrom", "pos", split_gap), "loci-split")
     seeds = own.groupBy("chrom", "cluster_id").agg(F.min("pos").alias("seed_start"), F.max("pos").alias("seed_end"))
     pairs = discordant.select("chrom", "pos").filter("pos IS NOT NULL").distinct()
     near = intervals.nearest_seed(pairs, seeds.drop("cluster_id"), "chrom", "pos", "seed_start", "seed_end", discordant_gap, ["chrom", "pos"])
+    near = written(near, "loci-discordant")
     alone = cluster.gap_clusters(near.filter("distance IS NULL").select("chrom", "pos"), "chrom", "pos", discordant_gap)
     named = lambda seeded, at: F.struct("chrom", F.lit(seeded).alias("seeded"), F.col(at).cast("bigint").alias("at")).alias("_locus")
     members = own.join(seeds.select("chrom", "cluster_id", "seed_start"), ["chrom", "cluster_id"]).select(named(True, "seed_start"), "pos")
@@ -84,7 +86,7 @@ def locus_metrics(assigned: dict[str, DataFrame]) -> DataFrame:
     return per_read.groupBy(*KEY).agg(*out)
 
 
-def enrichment(metrics: DataFrame, passing: dict[str, int], pseudo: float = 0.1) -> DataFrame:
+def enrichment(metrics: DataFrame, passing: dict[str, int], pseudo: float = 1.0) -> DataFrame:
     """Totals, counts per million of the passing reads, their ratio and difference."""
     for s in SAMPLES:
         metrics = metrics.withColumn(f"{s}_total_rows", F.col(f"split_{s}_rows") + F.col(f"discordant_{s}_rows"))
@@ -127,7 +129,7 @@ def track_flags(loci: DataFrame, discordant: DataFrame, tracks: dict[str, tuple[
     return loci.withColumn("junk_flag_count", total(own)).withColumn("mate_junk_flag_count", total(mates))
 
 
-def candidate_loci(split: DataFrame, discordant: DataFrame, passing: dict[str, int], split_gap: int, discordant_gap: int, max_span: int, tracks: dict | None = None, trusted: DataFrame | None = None, pseudo: float = 0.1) -> DataFrame:
+def candidate_loci(split: DataFrame, discordant: DataFrame, passing: dict[str, int], split_gap: int = 30, discordant_gap: int = 400, max_span: int = 2000, tracks: dict | None = None, trusted: DataFrame | None = None, pseudo: float = 1.0) -> DataFrame:
     """The whole stage: loci with metrics of both samples, enrichment and flags.
 
     Loci that no row chooses disappear. ``split`` and ``discordant`` are the
@@ -135,7 +137,9 @@ def candidate_loci(split: DataFrame, discordant: DataFrame, passing: dict[str, i
     """
     split = split.withColumnsRenamed({"poly_tail_rescued": "rescued", "clip_poly_at_fraction": "poly_fraction", "clip_poly_at_run": "poly_run"})
     discordant = discordant.withColumnsRenamed({"poly_tail_anchor_rescued": "rescued", "anchor_poly_at_fraction": "poly_fraction", "anchor_poly_at_run": "poly_run"})
-    loci = build_loci(split, discordant, split_gap, discordant_gap, max_span)
+    loci = written(build_loci(split, discordant, split_gap, discordant_gap, max_span), "loci")
     assigned = {"split": assign(split, loci), "discordant": assign(discordant, loci)}
+    if tracks or trusted is not None:
+        assigned = {k: written(v, f"loci-{k}-rows") for k, v in assigned.items()}
     out = enrichment(locus_metrics(assigned), passing, pseudo)
     return track_flags(out, assigned["discordant"], tracks or {}, trusted)
