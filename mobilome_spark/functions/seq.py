@@ -34,6 +34,15 @@ def poly_at_fraction(seq: Column) -> Column:
     return F.coalesce(base_count(seq, "AT") / F.nullif(F.length(seq), F.lit(0)), F.lit(0.0))
 
 
+def poly_at_end(seq: Column, window: int) -> Column:
+    """(run, fraction, base, side) of the end, of ``window`` bases, with the longer run,
+    then the larger fraction; L for equal ones. Null and empty: 0, 0, '' and ''."""
+    upper = F.upper(F.coalesce(seq, F.lit("")))
+    ends = [(F.left(upper, F.lit(window)), 1, "L"), (F.right(upper, F.lit(window)), 0, "R")]
+    found = [F.struct(poly_at_run(e).alias("run"), poly_at_fraction(e).alias("fraction"), F.lit(first).alias("first"), poly_at_base(e).alias("base"), F.when(upper == "", "").otherwise(side).alias("side")) for e, first, side in ends]
+    return F.array_max(F.array(*found))
+
+
 def normalized_clip(seq: Column, most: int = 80) -> Column:
     """Upper case, A, C, G and T only, the first ``most`` of them."""
     return F.left(F.regexp_replace(F.upper(F.coalesce(seq, F.lit(""))), "[^ACGT]", ""), F.lit(most))
@@ -72,3 +81,46 @@ def significant(value: Column, digits: int) -> Column:
     """Round half to even at ``digits`` significant digits; 0 and null stay."""
     power = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(value))))
     return F.when(value == 0, value).otherwise(F.rint(value * power) / power)
+
+
+#: Insertion-site motifs of the L1 endonuclease, their class and the mismatches allowed.
+MOTIFS = (
+    ("TTAAAA", "l1_en_canonical", 1),
+    ("TTTAAA", "l1_en_canonical", 1),
+    ("TTTTAA", "l1_en_canonical", 1),
+    ("AAACTT", "l1_en_alternative", 1),
+    ("CTGGG", "l1_en_alternative", 2),
+    ("CCATT", "nested_novel_like", 2),
+)
+
+
+def endonuclease_motif(context: Column) -> Column:
+    """(like, motif, kind, mismatches, allowed, seq, offset) of the motif nearest to the
+    six bases at the breakpoint (second to seventh of 11); five-base motifs slide by
+    one. Ties go to the earlier motif, then the earlier slice; under 8 bases: null."""
+    six = F.substring(F.upper(context), 2, 6)
+    tried, n = [], 0
+    for motif, kind, allowed in MOTIFS:
+        for offset in range(7 - len(motif)):
+            window = F.substring(six, offset + 1, len(motif))
+            tried.append(F.struct(hamming(window, F.lit(motif)).alias("mismatches"), F.lit(n).alias("turn"), F.lit(motif).alias("motif"), F.lit(kind).alias("kind"), F.lit(allowed).alias("allowed"), window.alias("seq"), F.lit(offset).alias("offset")))
+            n += 1
+    best = F.array_min(F.array(*tried))
+    fields = [best[f].alias(f) for f in ("motif", "kind", "mismatches", "allowed", "seq", "offset")]
+    return F.when(F.length(context) >= 8, F.struct((best["mismatches"] <= best["allowed"]).alias("like"), *fields))
+
+
+def shifted_logodds(context: Column) -> Column:
+    """(strict, best, shift) of ``motif_logodds`` at shifts -1, 0 and 1 of an 11-base
+    context; the first of equal ones counts. Under 8 bases all are 0."""
+    scores = F.array(*[F.struct(motif_logodds(F.substring(context, k + 1, 6)).alias("s"), F.lit(-k).alias("turn")) for k in range(3)])
+    best = F.array_max(scores)
+    long = F.length(context) >= 8
+    return F.struct(F.when(long, scores[1]["s"]).otherwise(0.0).alias("strict"), F.when(long, best["s"]).otherwise(0.0).alias("best"), F.when(long, -best["turn"] - 1).otherwise(0).alias("shift"))
+
+
+def clip_identity(a: Column, b: Column) -> Column:
+    """Share of equal bases over the common length of two clips' beginnings; empty: 0."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y).cast("int"))
+    n = F.least(F.length(a), F.length(b))
+    return F.coalesce(F.aggregate(same, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))) / F.nullif(n, F.lit(0)), F.lit(0.0))

@@ -40,16 +40,27 @@ def insert_threshold(alignments: DataFrame, quantile: float = 0.995, least: int
     return alignments.groupBy("sample").agg(F.greatest(F.floor(F.coalesce(size, F.lit(0.0))), F.lit(least)).cast("int").alias("threshold"))
 
 
-def discordant_evidence(alignments: DataFrame, min_mapq: int = 20, quantile: float = 0.995, least: int = 1000) -> DataFrame:
-    """Reads of pairs with a strong discordant reason, with all of their reasons."""
+def discordant_evidence(
+    alignments: DataFrame, min_mapq: int = 20, quantile: float = 0.995, least: int = 1000, rescue_window: int = 25, rescue_run: int = 10, rescue_fraction: float = 0.8, rescue_tlen: int = 500, require_strong: bool = True
+) -> DataFrame:
+    """Reads of pairs with a discordant reason, strong unless told otherwise, with all of their reasons.
+
+    A poly-A/T tail at an end of the read is a strong reason where anything else
+    about the pair is unusual.
+    """
     limits = insert_threshold(alignments, quantile, least)
     rows = alignments.filter(F.col("is_paired") & passing(min_mapq)).join(limits, "sample")
     other = ~F.coalesce(F.col("mate_chrom") == F.col("chrom"), F.lit(False))
-    why = rules.discordant_reasons(F.col("mate_is_unmapped"), other, F.col("template_len"), F.col("threshold"), F.col("is_reverse") == F.col("mate_is_reverse"), F.col("is_proper_pair"), F.lit(False))
-    rows = rows.withColumn("discordant_reasons", why).filter(rules.has_strong_reason(F.col("discordant_reasons")))
+    same = F.col("is_reverse") == F.col("mate_is_reverse")
+    unusual = F.col("mate_is_unmapped") | other | (F.abs("template_len") >= rescue_tlen) | same | ~F.col("is_proper_pair")
+    rows = rows.withColumn("_end", seq.poly_at_end(F.col("seq"), rescue_window))
+    rows = rows.withColumn("_rescued", (F.col("_end.run") >= rescue_run) & (F.col("_end.fraction") >= rescue_fraction) & unusual)
+    why = rules.discordant_reasons(F.col("mate_is_unmapped"), other, F.col("template_len"), F.col("threshold"), same, F.col("is_proper_pair"), F.col("_rescued"))
+    rows = rows.withColumn("discordant_reasons", why).filter(rules.has_strong_reason(F.col("discordant_reasons")) if require_strong else F.col("discordant_reasons") != "")
     return rows.select(
         "sample", "chrom", F.col("pos").cast("int"), F.coalesce("mate_chrom", F.lit("*")).alias("mate_chrom"), F.coalesce("mate_pos", F.lit(0)).cast("int").alias("mate_pos"), F.col("mapq").cast("int"),
         F.col("template_len").cast("int"), "is_reverse", "mate_is_reverse", "is_proper_pair", "is_read1", "read_name", "discordant_reasons", F.coalesce("nm", F.lit(-1)).alias("nm"), F.col("seq").alias("read_seq"),
+        F.col("_end.run").alias("anchor_poly_at_run"), F.col("_end.fraction").alias("anchor_poly_at_fraction"), F.col("_end.base").alias("anchor_poly_base"), F.col("_end.side").alias("anchor_poly_side"), F.col("_rescued").alias("poly_tail_anchor_rescued"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Reasons that suffice alone; the others are weak.
-STRONG = ("interchrom", "large_insert", "mate_unmapped")
+STRONG = ("interchrom", "large_insert", "mate_unmapped", "poly_tail_anchor_rescue")
 
 
 def discordant_reasons(mate_unmapped: Column, other_chrom: Column, tlen: Column, threshold: Column | int, same_strand: Column, proper: Column, poly: Column) -> Column:
@@ -14,7 +14,7 @@ def discordant_reasons(mate_unmapped: Column, other_chrom: Column, tlen: Column,
     size = ~mate_unmapped & ~other_chrom & (F.abs(tlen) >= threshold)
     reasons = (
         (mate_unmapped, "mate_unmapped"), (~mate_unmapped & other_chrom, "interchrom"), (size, "large_insert"),
-        (~mate_unmapped & same_strand, "same_strand"), (~proper, "improper_pair"), (poly, "poly_tail_anchor_rescue"),
+        (same_strand, "same_strand"), (~proper, "improper_pair"), (poly, "poly_tail_anchor_rescue"),
     )
     return F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in reasons]))), ",")
 

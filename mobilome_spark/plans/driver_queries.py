@@ -289,9 +289,9 @@ def q_cigar_events(spark, sf_dir):
 
 @_query("""
 SELECT event_id, array_to_string(list_sort(list_filter([CASE WHEN event_id % 7 = 0 THEN 'mate_unmapped' END, CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 0 THEN 'interchrom' END,
-  CASE WHEN event_id % 7 <> 0 AND event_id % 5 <> 0 AND abs(value) >= 50 THEN 'large_insert' END, CASE WHEN event_id % 7 <> 0 AND event_id % 3 = 0 THEN 'same_strand' END,
+  CASE WHEN event_id % 7 <> 0 AND event_id % 5 <> 0 AND abs(value) >= 50 THEN 'large_insert' END, CASE WHEN event_id % 3 = 0 THEN 'same_strand' END,
   CASE WHEN event_id % 2 = 0 THEN 'improper_pair' END, CASE WHEN event_id % 11 = 0 THEN 'poly_tail_anchor_rescue' END], lambda x: x IS NOT NULL)), ',') AS reasons,
-  event_id % 7 = 0 OR event_id % 5 = 0 OR abs(value) >= 50 AS strong FROM events""")
+  event_id % 7 = 0 OR event_id % 5 = 0 OR abs(value) >= 50 OR event_id % 11 = 0 AS strong FROM events""")
 def q_discordant_reasons(spark, sf_dir):
     e, i = table(spark, sf_dir, "events"), F.col("event_id")
     reasons = rules.discordant_reasons(i % 7 == 0, i % 5 == 0, F.col("value"), 50, i % 3 == 0, i % 2 != 0, i % 11 == 0)
@@ -422,7 +422,7 @@ SELECT chrom, window_start, window_end, count(*) FILTER (kind = 'split' AND samp
   round((count(*) FILTER (sample = 'disease') * 1e6::DOUBLE / 50000 + 0.1) / (count(*) FILTER (sample = 'control') * 1e6::DOUBLE / 40000 + 0.1), 6) AS enrichment_ratio
 FROM a GROUP BY chrom, window_start, window_end""")
 def q_candidate_loci(spark, sf_dir):
-    out = loci.candidate_loci(*_evidence_tables(spark, sf_dir), {"disease": 50000, "control": 40000}, 300, 600, 1500)
+    out = loci.candidate_loci(*_evidence_tables(spark, sf_dir), {"disease": 50000, "control": 40000}, 300, 600, 1500, pseudo=0.1)
     means = ("split_disease_mapq_mean", "discordant_control_interchrom_fraction", "enrichment_ratio")
     counts = ("split_disease_rows", "split_disease_unique_reads", "discordant_disease_poly_tail_rescued_unique_reads")
     return out.select(*loci.KEY, *counts, F.col("split_control_clip_len_max").cast("bigint"), "discordant_control_mapq_min", *[F.round(c, 6).alias(c) for c in means])
