@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mobilome_spark.functions import seq
+
 
 def top_label(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """Per group the label with the largest summed score (ties: the smaller label)
@@ -102,3 +104,30 @@ def depth(intervals: DataFrame, chrom: str, start: str, end: str) -> DataFrame:
     order = Window.partitionBy(chrom).orderBy("_p")
     runs = steps.withColumn("depth", F.sum("_d").over(order)).withColumn("to_pos", F.lead("_p").over(order) - 1)
     return runs.filter("depth > 0").select(chrom, F.col("_p").alias("from_pos"), "to_pos", "depth")
+
+
+def clip_overlap(clips: DataFrame, keys: list[str], most: int = 40) -> DataFrame:
+    """(informative_reads, overlap_median, overlap_share) of a group's soft clips.
+
+    Each read gives its clip of the largest ``score``, and the ``most`` best reads
+    count (ties: read name). Informative clips are compared pairwise near the
+    breakpoint, scaled above chance: the median similarity times the share of the
+    commonest position, and the share of pairs of at least 0.2. Below two clips 0.
+    A group holds at most ``most`` clips, so its pairs stay within one expression.
+    """
+    best = F.max_by(F.struct("pos", "clip_side", "clip_seq"), F.struct("score", -F.col("pos"), "clip_side", "clip_seq")).alias("_b")
+    reads = clips.groupBy(*keys, "read_name").agg(F.max("score").alias("score"), best)
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "read_name")
+    kept = reads.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).select(*keys, "_n", "_b.*")
+    near = F.when(F.col("clip_side") == "L", F.right(seq.normalized_clip(F.col("clip_seq"), 200), F.lit(40))).otherwise(seq.normalized_clip(F.col("clip_seq"), 40))
+    kept = kept.withColumn("_near", F.when(seq.informative_clip(seq.normalized_clip(F.col("clip_seq"))) & (F.length(near) >= 12), near))
+    groups = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("_near").isNotNull(), F.struct("_n", "pos", "_near")))).alias("_c"))
+    c = F.col("_c")
+    above = lambda a, b: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (seq.clip_identity(a["_near"], b["_near"]) - 0.25) / 0.75))
+    pairs = F.flatten(F.transform(c, lambda a, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda b: above(a, b))))
+    groups = groups.withColumn("_s", F.sort_array(pairs)).withColumn("_m", F.size("_s"))
+    at = lambda k: F.get("_s", k.cast("int"))
+    median = (at(F.floor((F.col("_m") - 1) / 2)) + at(F.floor(F.col("_m") / 2))) / 2
+    mode = F.array_max(F.transform(c, lambda a: F.size(F.filter(c, lambda b: b["pos"] == a["pos"])))) / F.nullif(F.size(c), F.lit(0))
+    share = F.size(F.filter("_s", lambda x: x >= 0.2)) / F.nullif(F.col("_m"), F.lit(0))
+    return groups.select(*keys, F.size(c).cast("bigint").alias("informative_reads"), F.coalesce(median * mode, F.lit(0.0)).alias("overlap_median"), F.coalesce(share, F.lit(0.0)).alias("overlap_share"))

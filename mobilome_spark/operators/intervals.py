@@ -65,3 +65,17 @@ def best_overlap(a: DataFrame, b: DataFrame, chrom: str, a_start: str, a_end: st
     best = Window.partitionBy(*keys).orderBy(F.desc("overlap_bp"), b_start, b_id)
     kept = overlaps(a, b, chrom, a_start, a_end, b_start, b_end).withColumn("_n", F.row_number().over(best)).filter("_n = 1")
     return a.join(kept.select(*keys, b_start, b_end, b_id, "overlap_bp"), keys, "left")
+
+
+def nested_repeat(points: DataFrame, repeats: DataFrame, chrom: str, pos: str, start: str, end: str, keys: list[str]) -> DataFrame:
+    """Left join of each point to the repeat of its own family that holds it.
+
+    ``points`` carry ``family`` and ``orientation``, ``repeats`` ``rep_family`` and
+    ``rep_strand``. A repeat in the same orientation goes first, then the longest,
+    then the smallest start; ``nesting`` is nested, unnested or '' (none).
+    """
+    found = points_in_intervals(points, repeats, chrom, pos, start, end).filter((F.col("family") != "") & (F.col("family") == F.col("rep_family")))
+    same = F.col("rep_strand").isin("+", "-") & (F.col("rep_strand") == F.col("orientation"))
+    best = F.max_by(F.struct(F.col(start), F.col(end), "rep_strand", same.alias("same")), F.struct(same.cast("int"), F.col(end) - F.col(start), -F.col(start))).alias("_r")
+    kept = found.groupBy(*keys).agg(best).select(*keys, F.col(f"_r.{start}").alias("repeat_start"), F.col(f"_r.{end}").alias("repeat_end"), F.when(F.col("_r.same"), "nested").otherwise("unnested").alias("nesting"))
+    return points.join(kept, keys, "left").withColumn("nesting", F.coalesce("nesting", F.lit("")))

@@ -104,3 +104,42 @@ def cigar_events(cigar: Column, pos: Column) -> Column:
         )
 
     return F.aggregate(ops, seed, step, lambda s: s["out"])
+
+
+def tsd_pair(left: dict[str, Column], right: dict[str, Column], support: dict[str, Column]) -> Column:
+    """(left, right, length, source) of the target-site duplication between the breakpoints of a sample.
+
+    Duplications of 2 to 30 bases count: the best supported, then the longest, then
+    disease. Without one, ends may move by up to two bases: the least movement,
+    then support, disease, and the smaller ends. Nothing found: zeros and ''.
+    """
+    names = ("disease", "control")
+    samples = F.array(*[F.struct(left[s].cast("bigint").alias("l"), right[s].cast("bigint").alias("r"), support[s].cast("bigint").alias("n"), F.lit(k).alias("turn"), F.lit(f"tsd_{s}").alias("source")) for k, s in enumerate(names)])
+    shifts = F.array(*[F.struct(F.lit(dl).alias("l"), F.lit(dr).alias("r")) for dl in range(-2, 3) for dr in range(-2, 3)])
+
+    def at(s, d):
+        moved = F.abs(d["l"]) + F.abs(d["r"])
+        l, r = s["l"] + d["l"], s["r"] + d["r"]
+        # unmoved pairs come first; only among them does the longer one win
+        return F.struct(moved.alias("moved"), (-s["n"]).alias("n"), F.when(moved == 0, l - r).otherwise(0).alias("span"), s["turn"].alias("turn"), l.alias("l"), r.alias("r"), s["source"].alias("source"))
+
+    known = F.filter(samples, lambda s: (s["l"] > 0) & (s["r"] > 0))
+    tried = F.flatten(F.transform(known, lambda s: F.transform(shifts, lambda d: at(s, d))))
+    found = F.array_min(F.filter(tried, lambda x: (x["l"] > 0) & (x["r"] > 0) & (x["r"] - x["l"] + 1).between(2, 30)))
+    zero = F.lit(0).cast("bigint")
+    render = lambda x: F.struct(F.coalesce(x["l"], zero).alias("left"), F.coalesce(x["r"], zero).alias("right"), F.coalesce(x["r"] - x["l"] + 1, zero).alias("length"), F.coalesce(x["source"], F.lit("")).alias("source"))
+    return F.get(F.transform(F.array(found), render), F.lit(0))
+
+
+def known_insertion(short_id: Column, short_sub: Column, long_id: Column, long_sub: Column) -> list[Column]:
+    """(known, source, family, subfamily, id) from a short-read and a long-read catalog hit ('' without one)."""
+    a, b = F.trim(short_id) != "", F.trim(long_id) != ""
+    order = ("ALU", "SVA", "LINE1", "ERV")
+
+    def merged(x: Column, y: Column, differ: str) -> Column:
+        return F.when(a & b, F.when((x == y) & (x != ""), x).otherwise(differ)).when(a, x).when(b, y).otherwise("")
+
+    source = F.concat_ws(",", F.when(a, "melt_1kg"), F.when(b, "long_read_1kg_ont_vienna"))
+    ids = F.when(a & b, F.concat(F.lit("g1k:"), F.trim(short_id), F.lit("|lr:"), F.trim(long_id))).when(a, F.trim(short_id)).when(b, F.trim(long_id)).otherwise("")
+    families = merged(mei_family(short_sub, order, ""), mei_family(long_sub, order, ""), "MIXED")
+    return [(a | b).alias("known"), source.alias("source"), families.alias("family"), merged(F.trim(short_sub), F.trim(long_sub), "MULTI_SOURCE").alias("subfamily"), ids.alias("id")]

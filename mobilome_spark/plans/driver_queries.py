@@ -447,6 +447,95 @@ def q_junk_flags(spark, sf_dir):
     return out.select(*loci.KEY, "flag_segdup", "flag_gap_region", "flag_outside_giab_highconf", "flag_mate_in_segdup", "junk_flag_count")
 
 
+@_query("""
+WITH s AS (SELECT doc_id % 20 AS locus, doc_id, CAST(doc_id % 7 AS BIGINT) AS pos, doc_id % 2 = 0 AS l, n_chars AS score, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS q FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY score DESC, doc_id) AS n FROM s),
+c AS (SELECT locus, pos, n, left(q, 80) AS c, CASE WHEN l THEN right(left(q, 200), 40) ELSE left(q, 40) END AS x FROM r WHERE n <= 40),
+e AS (SELECT *, length(c) AS m, [length(c) - length(replace(c, b, '')) FOR b IN ['A', 'C', 'G', 'T']] AS k FROM c),
+i AS (SELECT * FROM e WHERE m >= 20 AND length(x) >= 12 AND (k[2] + k[3]) / m >= 0.15 AND list_sum([CASE WHEN y > 0 THEN -(y / m) * log2(y / m) ELSE 0.0 END FOR y IN k]) >= 1.2),
+p AS (SELECT a.locus, greatest(0.0, least(1.0, (list_sum([CASE WHEN substr(a.x, y, 1) = substr(b.x, y, 1) THEN 1 ELSE 0 END FOR y IN range(1, 1 + least(length(a.x), length(b.x)))]) / least(length(a.x), length(b.x)) - 0.25) / 0.75))::DOUBLE AS sim
+      FROM i a JOIN i b ON a.locus = b.locus AND a.n < b.n),
+o AS (SELECT locus, max(c) / sum(c) AS mode, CAST(sum(c) AS BIGINT) AS n FROM (SELECT locus, pos, count(*) AS c FROM i GROUP BY ALL) GROUP BY locus),
+q AS (SELECT locus, quantile_cont(sim, 0.5) AS med, avg(CASE WHEN sim >= 0.2 THEN 1.0 ELSE 0.0 END) AS share FROM p GROUP BY locus)
+SELECT g.locus, coalesce(n, 0) AS informative_reads, round(coalesce(med * mode, 0.0), 6) AS overlap_median, round(coalesce(share, 0.0), 6) AS overlap_share
+FROM (SELECT DISTINCT locus FROM s) g LEFT JOIN o ON g.locus = o.locus LEFT JOIN q ON g.locus = q.locus""")
+def q_clip_overlap(spark, sf_dir):
+    d = F.col("doc_id")
+    clips = table(spark, sf_dir, "documents").select((d % 20).alias("locus"), d.alias("read_name"), (d % 7).alias("pos"), F.when(d % 2 == 0, "L").otherwise("R").alias("clip_side"), F.col("text").alias("clip_seq"), F.col("n_chars").alias("score"))
+    return aggregates.clip_overlap(clips, ["locus"]).withColumns({c: F.round(c, 6) for c in ("overlap_median", "overlap_share")})
+
+
+@_query(f"""
+WITH {IV_SQL}, f AS (SELECT ['ALU', 'SVA', 'LINE1'] AS n),
+r AS (SELECT chrom, start_pos, end_pos, n[iv_id % 3 + 1] AS rf, CASE WHEN iv_id % 2 = 0 THEN '+' ELSE '-' END AS rs FROM iv, f),
+q AS (SELECT tr_id, chrom, tr_start, n[tr_id // 10 % 3 + 1] AS fam, CASE WHEN tr_id % 2 = 0 THEN '+' ELSE '-' END AS ori FROM tr, f),
+j AS (SELECT tr_id, start_pos, end_pos, rs = ori AS same, row_number() OVER (PARTITION BY tr_id ORDER BY CASE WHEN rs = ori THEN 0 ELSE 1 END, end_pos - start_pos DESC, start_pos) AS n
+      FROM q JOIN r ON q.chrom = r.chrom AND tr_start BETWEEN start_pos AND end_pos AND rf = fam)
+SELECT q.tr_id, start_pos AS repeat_start, end_pos AS repeat_end, CASE WHEN same THEN 'nested' WHEN NOT same THEN 'unnested' ELSE '' END AS nesting FROM q LEFT JOIN j ON q.tr_id = j.tr_id AND n = 1""")
+def q_nested_repeat(spark, sf_dir):
+    iv, tr = spans(spark, sf_dir)
+    names = F.array(*[F.lit(n) for n in ("ALU", "SVA", "LINE1")])
+    sign = lambda c: F.when(F.col(c) % 2 == 0, "+").otherwise("-")
+    points = tr.select("tr_id", "chrom", "tr_start", F.get(names, F.expr("CAST(tr_id DIV 10 % 3 AS INT)")).alias("family"), sign("tr_id").alias("orientation"))
+    held = iv.select("chrom", "start_pos", "end_pos", F.get(names, (F.col("iv_id") % 3).cast("int")).alias("rep_family"), sign("iv_id").alias("rep_strand"))
+    return intervals.nested_repeat(points, held, "chrom", "tr_start", "start_pos", "end_pos", ["tr_id"]).select("tr_id", "repeat_start", "repeat_end", "nesting")
+
+
+_SITES_SQL = """k AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE o_orderkey % 300 + 1 END AS dl, o_orderkey % 300 + o_custkey % 45 - 6 AS dr, o_custkey % 9 AS ds,
+  CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_orderkey % 300 + 2 END AS cl, o_orderkey % 300 + o_orderkey % 40 - 5 AS cr, o_orderkey % 9 AS cs FROM orders)"""
+
+
+@_query(f"""
+WITH {_SITES_SQL}, c AS (SELECT id, dl AS l, dr AS r, ds AS n, 0 AS turn, 'tsd_disease' AS source FROM k UNION ALL SELECT id, cl, cr, cs, 1, 'tsd_control' FROM k),
+g AS (SELECT * FROM c WHERE l > 0 AND r > 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, r - l DESC, turn) AS k FROM g WHERE r - l + 1 BETWEEN 2 AND 30),
+v AS (SELECT id, l + a AS l, r + b AS r, source, row_number() OVER (PARTITION BY id ORDER BY abs(a) + abs(b), -n, turn, l + a, r + b) AS k
+      FROM g, (SELECT unnest(range(-2, 3)) AS a), (SELECT unnest(range(-2, 3)) AS b) WHERE l + a > 0 AND r + b > 0 AND r + b - l - a + 1 BETWEEN 2 AND 30)
+SELECT k.id, CAST(coalesce(s.l, v.l, 0) AS BIGINT) AS "left", CAST(coalesce(s.r, v.r, 0) AS BIGINT) AS "right", CAST(coalesce(s.r - s.l + 1, v.r - v.l + 1, 0) AS BIGINT) AS length, coalesce(s.source, v.source, '') AS source
+FROM k LEFT JOIN s ON k.id = s.id AND s.k = 1 LEFT JOIN v ON k.id = v.id AND v.k = 1""")
+def q_tsd_pair(spark, sf_dir):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    base = o % 300
+    pair = rules.tsd_pair(
+        {"disease": F.when(c % 4 == 0, 0).otherwise(base + 1), "control": F.when(c % 3 == 0, 0).otherwise(base + 2)}, {"disease": base + c % 45 - 6, "control": base + o % 40 - 5}, {"disease": c % 9, "control": o % 9}
+    )
+    return table(spark, sf_dir, "orders").select(o.alias("id"), pair.alias("p")).select("id", "p.*")
+
+
+@_query("""
+WITH k AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'g' || o_orderkey ELSE '' END AS a, CASE WHEN o_custkey % 4 = 0 THEN 'r' || o_orderkey ELSE '' END AS b,
+  ['AluYa5', 'L1HS', 'SVA_D', ''][o_custkey % 4 + 1] AS x, ['AluYa5', 'L1HS', 'L1PA2'][o_orderkey % 3 + 1] AS y FROM orders),
+f AS (SELECT *, CASE WHEN x LIKE 'Alu%' THEN 'ALU' WHEN x LIKE 'SVA%' THEN 'SVA' WHEN x LIKE 'L1%' THEN 'LINE1' ELSE '' END AS fx, CASE WHEN y LIKE 'Alu%' THEN 'ALU' ELSE 'LINE1' END AS fy FROM k)
+SELECT o_orderkey, a <> '' OR b <> '' AS known, concat_ws(',', CASE WHEN a <> '' THEN 'melt_1kg' END, CASE WHEN b <> '' THEN 'long_read_1kg_ont_vienna' END) AS source,
+  CASE WHEN a <> '' AND b <> '' THEN CASE WHEN fx = fy THEN fx ELSE 'MIXED' END WHEN a <> '' THEN fx WHEN b <> '' THEN fy ELSE '' END AS family,
+  CASE WHEN a <> '' AND b <> '' THEN CASE WHEN x = y THEN x ELSE 'MULTI_SOURCE' END WHEN a <> '' THEN x WHEN b <> '' THEN y ELSE '' END AS subfamily,
+  CASE WHEN a <> '' AND b <> '' THEN 'g1k:' || a || '|lr:' || b WHEN a <> '' THEN a ELSE b END AS id FROM f""")
+def q_consensus_source(spark, sf_dir):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    name = lambda m, letter: F.when(m, F.concat(F.lit(letter), o.cast("string"))).otherwise("")
+    one = lambda names, k: F.get(F.array(*[F.lit(n) for n in names]), k.cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", *rules.known_insertion(name(c % 3 == 0, "g"), one(("AluYa5", "L1HS", "SVA_D", ""), c % 4), name(c % 4 == 0, "r"), one(("AluYa5", "L1HS", "L1PA2"), o % 3)))
+
+
+@_query(f"""
+WITH {SEQ_SQL}, c AS (SELECT doc_id, left(seq, 11) AS c FROM s),
+m AS (SELECT * FROM (VALUES (0, 'TTAAAA', 1, 0), (1, 'TTTAAA', 1, 0), (2, 'TTTTAA', 1, 0), (3, 'AAACTT', 1, 0), (4, 'CTGGG', 2, 0), (5, 'CTGGG', 2, 1), (6, 'CCATT', 2, 0), (7, 'CCATT', 2, 1)) t(turn, motif, allowed, o)),
+d AS (SELECT doc_id, motif, allowed, turn, o, CASE WHEN length(substr(c, 2 + o, length(motif))) <> length(motif) THEN length(motif) ELSE hamming(substr(c, 2 + o, length(motif)), motif) END AS mm FROM c, m WHERE length(c) >= 8),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mm, turn) AS n FROM d)
+SELECT c.doc_id, motif, CAST(mm AS INTEGER) AS mismatches, mm <= allowed AS matched FROM c LEFT JOIN b ON c.doc_id = b.doc_id AND n = 1""")
+def q_motif_match(spark, sf_dir):
+    m = seq.endonuclease_motif(F.left("seq", F.lit(11)))
+    return _seqs(spark, sf_dir).select("doc_id", m.alias("m")).select("doc_id", "m.motif", "m.mismatches", F.col("m.like").alias("matched"))
+
+
+@_query("""
+WITH k AS (SELECT event_id, CAST(event_id * 7919 % 100003 AS DOUBLE) / 64 AS v FROM events)
+SELECT event_id, CASE WHEN v = 0 THEN v ELSE round(round_even(v * pow(10.0, 2 - floor(log10(abs(v)))), 0) / pow(10.0, 2 - floor(log10(abs(v)))), 6) END AS v3 FROM k""")
+def q_round_significant(spark, sf_dir):
+    v = (F.col("event_id") * 7919 % 100003).cast("double") / 64
+    return table(spark, sf_dir, "events").select("event_id", F.round(seq.significant(v, 3), 6).alias("v3"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

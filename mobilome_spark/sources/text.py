@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mobilome_spark.operators.rules import mei_family
+
 
 def _fields(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     return spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", sep).alias("f"))
@@ -108,3 +110,26 @@ def sam(spark: SparkSession, path: str, sample: str) -> DataFrame:
         F.when(_at(6) == "=", _at(2)).otherwise(none(_at(6))).alias("mate_chrom"), _int(7).alias("mate_pos"), _int(8).alias("template_len"), _at(9).alias("seq"),
         F.substring(tag("NM:i:"), 6, 12).try_cast("int").alias("nm"), F.regexp_replace(tag("SA:Z:"), "^SA:Z:", "").alias("sa"),
     )
+
+
+def repeats(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, start0, end0, rep_strand, rep_name, rep_class, rep_type, rep_family) of a repeat table.
+
+    Contigs stand in the sixth column of the full table or the first of a BED-like
+    one. ``rep_family`` is the mobile-element family named in it, or ''.
+    """
+    full, short = (F.size("f") >= 13) & _at(5).startswith("chr"), (F.size("f") >= 8) & _at(0).startswith("chr")
+    names = ("chrom", "start0", "end0", "rep_strand", "rep_name", "rep_class", "rep_type")
+    columns = [F.when(full, get(i)).when(short, get(k)).alias(n) for n, i, k, get in zip(names, (5, 6, 7, 9, 10, 11, 12), (0, 1, 2, 5, 6, 7, 8), (_at, _int, _int, _at, _at, _at, _at), strict=True)]
+    rows = _fields(spark, path).select(*columns).filter("chrom IS NOT NULL AND end0 > start0").withColumn("rep_type", F.coalesce("rep_type", F.lit("")))
+    return rows.withColumn("rep_family", mei_family(F.concat_ws(" ", "rep_name", "rep_class", "rep_type"), ("ALU", "SVA", "LINE1"), ""))
+
+
+def fastq_names(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct read names of FASTQ files: first words of headers without the last ``:suffix``.
+
+    A file is read whole; the files are per-locus extracts with a cap on reads.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("k", "line"))
+    word = F.regexp_extract(F.trim("line"), r"^@(\S+)", 1)
+    return lines.filter(F.col("k") % 4 == 0).select(F.regexp_replace(word, ":[^:]*$", "").alias("read_name")).filter("read_name <> ''").distinct()

@@ -2,8 +2,8 @@
 
 import gzip
 
-from mobilome_spark.operators import evidence
-from mobilome_spark.sources import text
+from mobilome_spark.operators import evidence, loci
+from mobilome_spark.sources import sinks, text
 
 
 def test_tracks(spark, tmp_path):
@@ -61,3 +61,43 @@ def test_evidence(spark, tmp_path):
     assert [(r.read_name, r.discordant_reasons) for r in got] == [("inter", "improper_pair,interchrom,same_strand")]
     total = evidence.summary(reads).first()
     assert (total.total_reads_scanned, total.passing_reads) == (6, 5)
+
+
+def test_discordant_poly_tail(spark, tmp_path):
+    p, s = tmp_path / "a.sam", "ACGT" * 10
+    row = "{}\t{}\tchr1\t100\t60\t40M\t=\t150\t90\t" + "{}\t*\n"
+    p.write_text(row.format("tail", 1 | 64, "A" * 25 + s[:15]) + row.format("plain", 1 | 64, s) + row.format("usual", 1 | 2 | 32 | 64, "A" * 25 + s[:15]))
+    reads = text.sam(spark, str(p), "disease")
+    got = evidence.discordant_evidence(reads).collect()
+    assert [(r.read_name, r.discordant_reasons, r.anchor_poly_side, r.anchor_poly_at_run) for r in got] == [("tail", "improper_pair,poly_tail_anchor_rescue,same_strand", "L", 25)]
+    assert {r.read_name for r in evidence.discordant_evidence(reads, require_strong=False).collect()} == {"tail", "plain"}
+
+
+def test_repeats_and_fastq_names(spark, tmp_path):
+    p = tmp_path / "r.txt"
+    full = "1\t2\t3\t4\t5\tchr1\t10\t20\t0\t+\tAluY\tSINE\tAlu\n"
+    p.write_text("#h\n" + full + "chr2\t1\t9\t.\t.\t-\tL1HS\tLINE\nchr3\t5\t5\t.\t.\t-\tL1HS\tLINE\nchr4\t1\t2\t.\t.\t-\tMIR\tSINE\tMIR\n")
+    got = sorted((r.chrom, r.start0, r.end0, r.rep_strand, r.rep_family) for r in text.repeats(spark, str(p)).collect())
+    assert got == [("chr1", 10, 20, "+", "ALU"), ("chr2", 1, 9, "-", "LINE1"), ("chr4", 1, 2, "-", "")]
+    f = tmp_path / "x.fastq.gz"
+    f.write_bytes(gzip.compress(b"@a:1 z\nAC\n+\n@@\n@b:x:2\nAC\n+\nII\n@a:2\nA\n+\nI\n"))
+    assert sorted(r.read_name for r in text.fastq_names(spark, str(f)).collect()) == ["a", "b:x"]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("chr1", 5, 9, None, True), ("chr1", 7, 7, "x", None)], "chrom string, window_start long, window_end long, note string, ok boolean")
+    sinks.write_table(df, str(tmp_path / "t"))
+    assert sorted(spark.read.parquet(str(tmp_path / "t.parquet")).collect()) == sorted(df.collect())
+    lines = [r.value for r in spark.read.text(str(tmp_path / "t.tsv")).collect()]
+    assert "chr1\t5\t9\t\t1" in lines and "chrom\twindow_start\twindow_end\tnote\tok" in lines
+    assert sorted(r.value for r in sinks.bed_lines(df).collect()) == ["chr1\t4\t9", "chr1\t6\t7"]
+
+
+def test_candidate_loci_without_evidence(spark, tmp_path):
+    p = tmp_path / "a.sam"
+    p.write_text("clip\t0\tchr1\t100\t60\t25S15M\t*\t0\t0\t" + "ACGT" * 10 + "\t*\n")
+    reads = text.sam(spark, str(p), "disease")
+    one = loci.candidate_loci(evidence.split_evidence(reads), evidence.discordant_evidence(reads), {"disease": 1}).first()
+    assert (one.window_start, one.window_end, one.split_disease_rows, one.discordant_control_rows, one.junk_flag_count) == (70, 130, 1, 0, 0)
+    none = reads.filter("mapq > 99")
+    assert loci.candidate_loci(evidence.split_evidence(none), evidence.discordant_evidence(none), {}).count() == 0
