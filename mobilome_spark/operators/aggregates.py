@@ -61,19 +61,28 @@ def case_control(df: DataFrame, keys: list[str], sample: str, read: str, totals:
     return out.withColumn("enrichment_ratio", ratio).withColumn("delta_cpm", F.col("disease_cpm") - F.col("control_cpm"))
 
 
-def jump_violation(df: DataFrame, keys: list[str], anchor: str, target: str, limit: float) -> DataFrame:
-    """Adjacent pairs by anchor: how far the target moves against the anchor.
-
-    A pair swings by the lesser of |dt - da| and |dt + da|; the group violates if
-    some swing is above ``limit``; the largest swing counts up to the first such
-    pair only.
-    """
+def pair_swings(df: DataFrame, keys: list[str], anchor: str, target: str) -> DataFrame:
+    """Distinct (anchor, target) rows with ``_s``: how far the target moves against the
+    anchor from the row before, the lesser of |dt - da| and |dt + da|."""
     order = Window.partitionBy(*keys).orderBy(anchor, target)
     da, dt = F.col(anchor) - F.lag(anchor).over(order), F.col(target) - F.lag(target).over(order)
-    pairs = df.select(*keys, anchor, target).distinct().withColumn("_s", F.least(F.abs(dt - da), F.abs(dt + da)))
-    before = F.max(F.when(F.col("_s") > limit, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    pairs = pairs.withColumn("_over", F.coalesce(before, F.lit(0)))
-    return pairs.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("_over") == 0, F.col("_s"))), F.lit(0)).alias("max_swing"), F.max(F.when(F.col("_s") > limit, 1).otherwise(0)).alias("violates"))
+    return df.select(*keys, anchor, target).distinct().withColumn("_s", F.least(F.abs(dt - da), F.abs(dt + da))).withColumn("_at", F.struct(anchor, target))
+
+
+def first_violation(swing: str, limit: Column | float) -> Column:
+    """Aggregate (max_swing, violates): the largest swing up to and with the first one
+    above ``limit``; a group without any swing has 0."""
+    s, limit = F.col(swing), F.lit(limit) if isinstance(limit, (int, float)) else limit
+    calm, first = F.max(F.when(s <= limit, s)), F.min(F.when(s > limit, F.struct("_at", s.alias("s"))))
+    # below the limit nothing can exceed the first violation, so its place settles the rest
+    return F.struct(F.coalesce(first["s"], calm, F.lit(0)).alias("max_swing"), first.isNotNull().cast("int").alias("violates"))
+
+
+def jump_violation(df: DataFrame, keys: list[str], anchor: str, target: str, limit: float) -> DataFrame:
+    """Adjacent pairs by anchor: the group violates if some pair swings by more than
+    ``limit``; the largest swing counts up to the first such pair only."""
+    out = pair_swings(df, keys, anchor, target).groupBy(*keys).agg(first_violation("_s", limit).alias("_v"))
+    return out.select(*keys, "_v.max_swing", "_v.violates")
 
 
 def empirical_tail(values: DataFrame, background: DataFrame, keys: list[str], chrom: str, value: str, least: int = 50) -> DataFrame:

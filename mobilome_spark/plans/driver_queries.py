@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mobilome_spark.functions import seq
 from mobilome_spark.operators import aggregates, cluster, intervals, loci, rules
+from mobilome_spark.plans import locus_queries
 from mobilome_spark.plans.projections import evidence, hits, spans, table
 
 EV_SQL = """ev AS (
@@ -537,8 +538,8 @@ def q_round_significant(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **locus_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {**_ORACLES, **locus_queries.oracle_sql()}
