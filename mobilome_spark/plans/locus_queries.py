@@ -140,6 +140,121 @@ def q_support_counts(spark, sf_dir):
     return support.support_counts(rows).select(*KEY, "disease_supporting_reads", "control_supporting_reads")
 
 
+#: Loci from ``orders``: the metrics that the score and the stages read, spread over all their cases.
+_LOCUS = {
+    "chrom": "o_orderpriority", "window_start": "CAST(o_orderkey * 10 AS BIGINT)", "window_end": "CAST(o_orderkey * 10 + 99 AS BIGINT)", "disease_L_mei_supported_reads": "o_orderkey % 4", "disease_R_mei_supported_reads": "o_custkey % 4",
+    "control_L_mei_supported_reads": "o_orderkey % 3", "control_R_mei_supported_reads": "CASE WHEN o_custkey % 5 = 0 THEN 2 ELSE 0 END", "disease_L_mei_family": "CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'ALU' ELSE 'SVA' END",
+    "disease_R_mei_family": "CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'ALU' ELSE 'SVA' END", "control_L_mei_family": "CASE WHEN o_custkey % 2 = 0 THEN 'ALU' ELSE '' END", "disease_L_mei_strand": "CASE o_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN '-' ELSE '+' END",
+    "disease_R_mei_strand": "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '-' ELSE '+' END", "disease_L_mei_subfamily_purity": "CAST(50 + o_orderkey % 51 AS DOUBLE) / 100", "disease_R_mei_subfamily_purity": "CAST(50 + o_custkey % 51 AS DOUBLE) / 100",
+    "disease_L_mei_breakpoint_mode_fraction": "CAST(40 + o_custkey % 61 AS DOUBLE) / 100", "disease_R_mei_breakpoint_mode_fraction": "CAST(40 + o_orderkey % 61 AS DOUBLE) / 100", "disease_discordant_mei_supported_reads": "o_orderkey % 6",
+    "disease_discordant_mei_left_supported_reads": "o_orderkey % 3", "disease_discordant_mei_right_supported_reads": "o_orderkey % 2", "disease_discordant_mei_family_purity": "CAST(50 + o_custkey % 50 AS DOUBLE) / 100",
+    "disease_discordant_mei_strand_purity": "CASE WHEN o_custkey % 3 = 0 THEN 0.5D0 ELSE 1.0D0 END", "disease_discordant_mei_geometry_consistent": "o_custkey % 4 > 0", "disease_discordant_mei_self_consistent": "o_orderkey % 7 > 0",
+    "disease_discordant_anchor_left_unique_reads": "o_custkey % 6", "disease_discordant_anchor_left_complex_reason_max_fraction": "CAST(o_orderkey % 11 AS DOUBLE) / 10", "discordant_disease_large_insert_fraction": "CAST(o_custkey % 11 AS DOUBLE) / 10",
+    "discordant_disease_mate_unmapped_fraction": "CAST(o_orderkey % 13 AS DOUBLE) / 13", "discordant_disease_same_strand_fraction": "CAST(o_custkey % 9 AS DOUBLE) / 9", "disease_total_rows": "o_custkey % 40", "disease_L_mei_score_sum": "CAST(o_custkey % 17 AS DOUBLE) / 4",
+    "split_disease_mapq_mean": "CAST(o_orderkey % 61 AS DOUBLE)", "tsd_detected": "o_custkey % 3 = 1", "breakpoint_l1_en_motif_like": "o_orderkey % 4 = 1", "breakpoint_yyrrrr_logodds_shift1_mt_adj": "CAST(o_custkey % 13 - 6 AS DOUBLE)",
+    "disease_R_poly_at_reads": "o_orderkey % 5", "disease_R_poly_at_fraction": "CAST(o_custkey % 6 AS DOUBLE) / 10", "disease_R_poly_at_max_run": "o_orderkey % 35", "disease_L_clip_overlap_informative_reads": "o_custkey % 5",
+    "disease_L_clip_overlap_jaccard_median": "CAST(o_orderkey % 10 AS DOUBLE) / 10", "junk_flag_count": "CASE WHEN o_custkey % 6 = 0 THEN 1 ELSE 0 END", "disease_L_mei_breakpoint_mode": "CASE WHEN o_orderkey % 10 = 1 THEN 5 ELSE 0 END",
+    "disease_local_bam_peak_depth": "CAST(CASE WHEN o_orderkey % 97 = 0 THEN 900 ELSE 20 + o_custkey % 30 END AS DOUBLE)", "known_mei_polymorphism": "o_custkey % 8 = 0", "disease_L_mei_start": "o_custkey % 90", "disease_L_mei_end": "40 + o_orderkey % 120",
+    "disease_R_mei_start": "100 + o_orderkey % 60 - 40 * (o_custkey % 4)", "disease_R_mei_end": "180 + o_custkey % 70", "disease_L_mei_anchor_bp_max": "8 + o_orderkey % 30", "disease_R_mei_anchor_bp_max": "8 + o_custkey % 30", "disease_R_mei_target_len": "CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 290 END",
+    "disease_supporting_reads": "concat('SR_L=', CAST(o_orderkey % 4 AS STRING), ',SR_R=0,DPE_L=', CAST(o_custkey % 2 AS STRING), ',DPE_R=0,MEI_MAPPED=', CAST(o_orderkey % 9 AS STRING))", "control_supporting_reads": "concat('SR_L=0,SR_R=', CAST(o_custkey % 2 AS STRING), ',DPE_L=0,DPE_R=0,MEI_MAPPED=1')",
+    "disease_discordant_mei_two_sided_support": "o_orderkey % 3 >= 1 AND o_orderkey % 2 >= 1", "disease_discordant_mei_left_target_pos_median": "CAST(o_custkey % 300 AS DOUBLE) + 0.5D0", "disease_discordant_mei_right_target_pos_median": "CAST(o_orderkey % 400 AS DOUBLE)", "disease_discordant_mei_strand": "CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END",
+}
+#: The same in the other dialect's literals and types.
+_LOCUS_SQL = "l AS (SELECT " + ", ".join(f"{e.replace('D0', '::DOUBLE').replace('AS STRING', 'AS VARCHAR')} AS {n}" for n, e in _LOCUS.items()) + " FROM orders)"
+
+
+def _loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr(*[f"{e.replace('D0', 'D')} AS {n}" for n, e in _LOCUS.items()])
+    return calls.insertion_spans(calls.totals(calls.conform(rows, calls.locus_defaults())))
+
+
+#: Totals, the span of the disease sample (the control has none) and the model's parts, step by step.
+_MODEL_SQL = f"""{_LOCUS_SQL},
+t AS (SELECT *, disease_L_mei_supported_reads + disease_R_mei_supported_reads AS ds, disease_L_mei_supported_reads + disease_R_mei_supported_reads + disease_discordant_mei_supported_reads AS dm,
+  control_L_mei_supported_reads + control_R_mei_supported_reads AS cm, disease_R_poly_at_fraction * disease_R_mei_supported_reads AS pw, least(1.0::DOUBLE, split_disease_mapq_mean / 60) AS mq FROM l),
+u AS (SELECT *, (disease_L_mei_breakpoint_mode_fraction * disease_L_mei_supported_reads + disease_R_mei_breakpoint_mode_fraction * disease_R_mei_supported_reads) / greatest(dm, 1) AS mw,
+  (disease_L_mei_subfamily_purity * disease_L_mei_supported_reads + disease_R_mei_subfamily_purity * disease_R_mei_supported_reads) / greatest(dm, 1) AS sw, pw / greatest(dm, 1) AS tw, (disease_L_mei_score_sum + 0.1::DOUBLE) / 0.1::DOUBLE AS en,
+  CASE WHEN disease_L_mei_family = '' AND disease_R_mei_family = '' THEN 0 WHEN disease_L_mei_family = '' OR disease_R_mei_family = '' THEN 1 ELSE (disease_L_mei_family = disease_R_mei_family)::INT END AS fd, (control_L_mei_family <> '')::INT AS fc,
+  CASE WHEN disease_L_mei_strand = '' AND disease_R_mei_strand = '' THEN 0 WHEN disease_L_mei_strand = '' OR disease_R_mei_strand = '' THEN 1 ELSE (disease_L_mei_strand = disease_R_mei_strand)::INT END AS sd FROM t),
+v AS (SELECT *, greatest(fd, fc) AS fa, 0.4::DOUBLE * mw + 0.4::DOUBLE * sw + 0.2::DOUBLE * mq AS coherence, CASE WHEN disease_L_clip_overlap_informative_reads >= 2 THEN disease_L_clip_overlap_jaccard_median ELSE 0.0 END AS ov,
+  greatest(0.0::DOUBLE, least(1.0::DOUBLE, breakpoint_yyrrrr_logodds_shift1_mt_adj / 6)) AS lo, greatest(disease_discordant_mei_left_supported_reads, 0) >= 1 AND disease_discordant_mei_right_supported_reads >= 1 AS two_d,
+  disease_L_mei_supported_reads >= 1 AND disease_R_mei_supported_reads >= 1 AS two_s, control_L_mei_supported_reads >= 1 AND control_R_mei_supported_reads >= 1 AS two_c FROM u),
+w AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.20 * sw + 0.16 * mw + 0.15 * en / (en + 1) + 0.10 * greatest(least(1.0::DOUBLE, dm / greatest(disease_total_rows, 1)), least(1.0::DOUBLE, cm / 1)) + 0.12 * fa + 0.06 * sd + 0.07 * tsd_detected::INT + 0.05 * tw
+    + 0.03 * breakpoint_l1_en_motif_like::INT + 0.02 * lo + 0.08 * ov + 0.05 * mq)) AS score,
+  two_d AND disease_discordant_mei_family_purity >= 0.6 AND disease_discordant_mei_strand_purity >= 0.6 AND disease_discordant_mei_geometry_consistent AND disease_discordant_mei_self_consistent AS firm,
+  disease_R_mei_supported_reads >= 2 AND disease_R_mei_subfamily_purity >= 0.7 AND disease_R_mei_breakpoint_mode_fraction >= 0.5 AND lc AS pair,
+  (disease_L_clip_overlap_informative_reads >= 3 AND ov >= 0.55) OR (disease_L_clip_overlap_informative_reads >= 2 AND ov >= 0.7) AS oa FROM (SELECT *, disease_discordant_anchor_left_unique_reads >= 2 AND disease_discordant_anchor_left_complex_reason_max_fraction >= 0.6 AND disease_discordant_mei_left_supported_reads <= 1 AS lc FROM v)),
+x AS (SELECT *, (least(disease_L_mei_supported_reads, disease_R_mei_supported_reads) >= 2) OR (greatest(disease_L_mei_supported_reads, disease_R_mei_supported_reads) >= 2 AND least(disease_L_mei_supported_reads, disease_R_mei_supported_reads) < 2 AND disease_discordant_mei_supported_reads >= 3) OR two_c OR firm AS tl,
+  tw >= 0.2 AS simple, oa AND (tsd_detected OR firm) AS resc, junk_flag_count = 0 AND mq >= 0.3 AS clean, greatest(discordant_disease_large_insert_fraction, discordant_disease_mate_unmapped_fraction) >= 0.6 AND dm >= 2 AS sig FROM w),
+y AS (SELECT *, score >= 0.60 AND coherence >= 0.55 AND tl AND fa = 1 AND sd = 1 AND least(disease_L_mei_breakpoint_mode_fraction, disease_R_mei_breakpoint_mode_fraction) >= 0.55 AND clean AND (tsd_detected OR tw >= 0.2 OR breakpoint_l1_en_motif_like OR lo >= 0.25) AND (NOT simple OR ov >= 0.2 OR resc) AS high FROM x),
+z AS (SELECT *, NOT high AND score >= 0.55 AND coherence >= 0.50 AND (tl OR dm >= 1 OR cm >= 1) AND fa = 1 AND (NOT simple OR ov >= 0.12 OR resc) AS prov FROM y)"""
+
+
+@_query(f"""
+WITH {_MODEL_SQL}
+SELECT {_K}, round(score, 9) AS insertion_model_score, round(coherence, 9) AS coherence_score, CASE WHEN high THEN 'high_conf_two_sided' WHEN pair THEN 'mei_with_complex' WHEN prov THEN 'provisional_one_sided' ELSE 'none' END AS insertion_call_tier,
+  NOT high AND NOT prov AND pair AND fa = 1 AND sd = 1 AND clean AND score >= 0.5 AND coherence >= 0.45 AS passes_insertion_model_complex, pair OR sig AS complex_mei_event,
+  CASE WHEN discordant_disease_large_insert_fraction >= 0.6 OR discordant_disease_mate_unmapped_fraction >= 0.6 THEN concat_ws('+', CASE WHEN discordant_disease_large_insert_fraction >= 0.6 THEN 'large_insert' END, CASE WHEN discordant_disease_mate_unmapped_fraction >= 0.6 THEN 'mate_unmapped' END)
+    WHEN discordant_disease_same_strand_fraction >= 0.5 THEN 'same_strand' ELSE 'none' END AS complex_sv_signature_label,
+  CASE WHEN disease_supporting_reads NOT LIKE 'SR_L=0,SR_R=0,DPE_L=0,%' AND control_supporting_reads LIKE '%SR_R=1%' THEN 'shared' WHEN disease_supporting_reads NOT LIKE 'SR_L=0,SR_R=0,DPE_L=0,%' THEN 'disease_only' WHEN control_supporting_reads LIKE '%SR_R=1%' THEN 'control_only' ELSE 'low_support' END AS sample_status_label
+FROM z""")
+def q_model_scores(spark, sf_dir):
+    out = calls.model_scores(_loci(spark, sf_dir))
+    names = ("insertion_call_tier", "passes_insertion_model_complex", "complex_mei_event", "complex_sv_signature_label", "sample_status_label")
+    return out.select(*KEY, *[F.round(c, 9).alias(c) for c in ("insertion_model_score", "coherence_score")], *names)
+
+
+_SPAN_SQL = """e AS (SELECT *, disease_L_mei_supported_reads >= 1 AND disease_L_mei_start > 0 AND disease_L_mei_end >= disease_L_mei_start AS lo, disease_R_mei_supported_reads >= 1 AND disease_R_mei_start > 0 AND disease_R_mei_end >= disease_R_mei_start AS ro FROM l),
+g AS (SELECT *, CASE WHEN lo AND ro AND disease_L_mei_anchor_bp_max >= 15 AND disease_R_mei_anchor_bp_max >= 15 THEN 1 WHEN lo AND disease_L_mei_anchor_bp_max >= 15 AND disease_R_poly_at_reads >= 1 AND disease_R_poly_at_max_run >= 12 AND disease_R_mei_target_len > 0 THEN 2
+  WHEN disease_discordant_mei_two_sided_support AND disease_discordant_mei_geometry_consistent AND disease_discordant_mei_right_target_pos_median > 0 AND floor(disease_discordant_mei_left_target_pos_median) > 0 THEN 3 ELSE 0 END AS way FROM e),
+sp AS (SELECT *, CAST(CASE way WHEN 1 THEN least(disease_L_mei_start, disease_R_mei_start) WHEN 2 THEN disease_L_mei_start WHEN 3 THEN floor(least(disease_discordant_mei_left_target_pos_median, disease_discordant_mei_right_target_pos_median)) ELSE 0 END AS BIGINT) AS low,
+  CAST(CASE way WHEN 1 THEN greatest(disease_L_mei_end, disease_R_mei_end) WHEN 2 THEN greatest(disease_L_mei_end, 290) WHEN 3 THEN floor(greatest(disease_discordant_mei_left_target_pos_median, disease_discordant_mei_right_target_pos_median)) ELSE 0 END AS BIGINT) AS high,
+  CASE WHEN disease_L_mei_strand = '' THEN disease_R_mei_strand WHEN disease_R_mei_strand IN ('', disease_L_mei_strand) THEN disease_L_mei_strand ELSE 'mixed' END AS so FROM g)"""
+
+
+@_query(f"""
+WITH {_LOCUS_SQL}, {_SPAN_SQL}
+SELECT {_K}, CASE WHEN so IN ('+', '-') THEN so ELSE disease_discordant_mei_strand END AS disease_insertion_orientation, high AS disease_insertion_mei_start, low AS disease_insertion_mei_end, CASE WHEN way = 0 THEN 0 ELSE high - low + 1 END AS disease_insertion_mei_span FROM sp""")
+def q_insertion_spans(spark, sf_dir):
+    return _loci(spark, sf_dir).select(*KEY, *[f"disease_insertion_{c}" for c in ("orientation", "mei_start", "mei_end", "mei_span")])
+
+
+_STAGE_SQL = f"""{_MODEL_SQL}, {_SPAN_SQL},
+k AS (SELECT z.*, sp.way, CASE WHEN so IN ('+', '-') THEN so ELSE sp.disease_discordant_mei_strand END AS ori FROM z JOIN sp USING ({_K})),
+s1 AS (SELECT *, disease_L_mei_supported_reads >= 1 OR disease_discordant_mei_left_supported_reads >= 1 AS dl, disease_R_mei_supported_reads >= 1 OR disease_discordant_mei_right_supported_reads >= 1 AS dr, disease_R_poly_at_reads >= 1 AS pr FROM k),
+s2 AS (SELECT *, (dl AND dr) OR two_c AS bi, dl AND pr AND ori = '+' AS side, (dl OR lc) AND (dr OR pr) AND ((dl AND pr) OR (dr AND lc)) AND (pair OR sig) AS cx,
+  (((dl AND (dr OR (ori = '+' AND pr))) OR (dr AND dl) OR ((dr AND dl))) AND (fd = 1 OR disease_discordant_mei_family_purity >= 0.95) AND disease_discordant_mei_self_consistent)
+    OR (two_c AND fc = 1) AS asym,
+  (disease_L_mei_supported_reads >= 1 AND disease_L_mei_breakpoint_mode > 0) OR way > 0 AS res, dm >= 1 OR cm >= 1 AS anym FROM s1),
+s3 AS (SELECT *, (two_s AND fd = 1 AND sd = 1) OR (two_d AND disease_discordant_mei_family_purity >= 0.95 AND disease_discordant_mei_strand_purity >= 0.95 AND disease_discordant_mei_geometry_consistent AND disease_discordant_mei_self_consistent)
+  OR (fa = 1 AND (sd = 1 OR side)) OR cx OR asym AS cons, bi OR side OR cx OR res OR asym AS sup FROM s2),
+s4 AS (SELECT *, junk_flag_count = 0 AND anym AND sup AND (cons OR res) AS silver FROM s3),
+m AS (SELECT avg(disease_local_bam_peak_depth) FILTER (silver) AS a, stddev_pop(disease_local_bam_peak_depth) FILTER (silver) AS sg FROM s4),
+s5 AS (SELECT s4.*, silver AND NOT known_mei_polymorphism AND disease_local_bam_peak_depth - a >= 3 * sg AND sg > 1e-6 AS deep FROM s4, m)"""
+
+
+@_query(f"""
+WITH {_STAGE_SQL}
+SELECT {_K}, CASE WHEN deep THEN 'silver' WHEN silver THEN 'gold' ELSE 'bronze' END AS analysis_stage_tier,
+  CASE WHEN deep THEN 'gold:depth_pileup_artifact' WHEN silver THEN '' ELSE concat_ws(';', CASE WHEN junk_flag_count > 0 THEN 'junk_region_flagged' END, CASE WHEN NOT anym THEN 'no_mei_signal' END, CASE WHEN NOT sup THEN 'no_bilateral_or_breakpoint_span_support' END, CASE WHEN NOT (cons OR res) THEN 'no_consistency_signal' END) END AS stage_fail_reason
+FROM s5""")
+def q_gold_stage(spark, sf_dir):
+    return calls.gold_stage(calls.silver_stage(calls.model_scores(_loci(spark, sf_dir)))).select(*KEY, "analysis_stage_tier", "stage_fail_reason")
+
+
+@_query(f"""
+WITH {_STAGE_SQL},
+fl AS (SELECT *, NOT known_mei_polymorphism AND coherence < 0.45 AND disease_R_poly_at_max_run >= 30 AND disease_R_poly_at_reads >= 8 AS art, greatest(ds, cm) AS sr, disease_discordant_mei_supported_reads AS dp, greatest(o_mapped, 1) AS mm
+  FROM (SELECT *, CAST(regexp_extract(disease_supporting_reads, 'MEI_MAPPED=([0-9]+)', 1) AS BIGINT) AS o_mapped FROM s5)),
+rk AS (SELECT *, round_even((0.50::DOUBLE * ln(1 + sr) + 0.35::DOUBLE * ln(1 + dp) + 0.15::DOUBLE * least(1.0::DOUBLE, mm / greatest(sr + dp, 1))) * 1e6, 0) / 1e6 AS pri FROM fl)
+SELECT {_K}, round(pri, 6) AS read_support_heuristic_score, row_number() OVER (ORDER BY (silver AND NOT deep) DESC, silver DESC, art, pri DESC, mm DESC, sr DESC, dp DESC, tsd_detected DESC, (disease_R_poly_at_reads > 0 OR disease_R_poly_at_max_run > 0) DESC, ov DESC, round(score, 9) DESC, {_K}) AS priority_rank FROM rk""")
+def q_prioritize(spark, sf_dir):
+    rows = calls.gold_stage(calls.silver_stage(calls.model_scores(_loci(spark, sf_dir))))
+    # sums of doubles may differ in their last digit between engines
+    out = calls.prioritize(rows.withColumn("insertion_model_score", F.round("insertion_model_score", 9)))
+    return out.select(*KEY, F.round("read_support_heuristic_score", 6).alias("read_support_heuristic_score"), "priority_rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
