@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobilome_spark.operators import calls, support
+from mobilome_spark.operators import breakpoints, calls, context, contigs, support
 from mobilome_spark.operators.loci import KEY
 from mobilome_spark.plans.projections import table
 
@@ -255,6 +255,116 @@ def q_prioritize(spark, sf_dir):
     return out.select(*KEY, F.round("read_support_heuristic_score", 6).alias("read_support_heuristic_score"), "priority_rank")
 
 
+_BP = {
+    "id": "o_orderkey", "window_start": "CAST(o_orderkey * 10 AS BIGINT)", "window_end": "CAST(o_orderkey * 10 + 99 AS BIGINT)", "tsd_len_estimate": "CASE WHEN o_orderkey % 5 = 0 THEN 12 ELSE 0 END", "tsd_left_breakpoint": "CASE WHEN o_orderkey % 5 = 0 THEN 700 ELSE 0 END", "tsd_right_breakpoint": "CASE WHEN o_orderkey % 5 = 0 THEN 711 ELSE 0 END",
+    "tsd_evidence_source": "CASE WHEN o_orderkey % 5 = 0 THEN 'tsd_disease' ELSE '' END",
+    **{f"{s}_{k}_split_breakpoint_mode": f"CASE WHEN {c} % 4 = 0 THEN 0 ELSE {500 if k == 'L' else 510} + {c} % {7 if k == 'L' else 40} END" for s, c in (("disease", "o_orderkey"), ("control", "o_custkey")) for k in "LR"},
+    **{f"{s}_{k}_split_breakpoint_support": f"({c} + {1 if k == 'L' else 3}) % 7" for s, c in (("disease", "o_orderkey"), ("control", "o_custkey")) for k in "LR"},
+    **{f"{s}_{k}_poly_breakpoint_mode": f"CASE WHEN {c} % 3 = 0 THEN 0 ELSE {495 if k == 'L' else 505} + {c} % 30 END" for s, c in (("disease", "o_custkey"), ("control", "o_orderkey")) for k in "LR"},
+    **{f"{s}_{k}_poly_breakpoint_support": f"({c} + {2 if k == 'L' else 0}) % 3" for s, c in (("disease", "o_custkey"), ("control", "o_orderkey")) for k in "LR"},
+    **{f"{s}_{k}_mei_breakpoint_mode": f"CASE WHEN {c} % 3 = {1 if k == 'L' else 2} THEN 0 ELSE {500 if k == 'L' else 512} + {c} % 11 END" for s, c in (("disease", "o_custkey"), ("control", "o_orderkey")) for k in "LR"},
+    **{f"{s}_{k}_mei_supported_reads": f"{c} % {3 if k == 'L' else 2}" for s, c in (("disease", "o_custkey"), ("control", "o_orderkey")) for k in "LR"},
+    **{f"{s}_mei_supported_reads": f"{c} % 2" for s, c in (("disease", "o_custkey"), ("control", "o_orderkey"))}, **{f"{s}_full_mei_supported_reads": "0" for s in ("disease", "control")},
+    **{f"{s}_{k}_poly_at_reads": f"CASE WHEN {c} % 6 = {0 if k == 'L' else 1} THEN 2 ELSE 0 END" for s, c in (("disease", "o_custkey"), ("control", "o_orderkey")) for k in "LR"},
+    **{f"{k}_{s}_poly_tail_rescued_unique_reads": "0" for s in ("disease", "control") for k in ("split", "discordant")}, **{f"{s}_poly_at_max_run": f"{c} % 12" for s, c in (("disease", "o_custkey"), ("control", "o_orderkey"))},
+    "insertion_breakpoint_pos": "CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_orderkey * 10 + 40 END", "disease_split_mei_supported_reads": "o_custkey % 3", "disease_discordant_mei_supported_reads": "o_orderkey % 2", "control_discordant_mei_supported_reads": "0",
+    "discordant_disease_abs_tlen_mean": "CAST(o_orderkey % 1200 AS DOUBLE)", "discordant_control_abs_tlen_mean": "CAST(o_custkey % 900 AS DOUBLE)",
+}
+_BP_SQL = "b AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _BP.items()) + " FROM orders)"
+
+
+def _gap_sql(s: str, turn: int) -> str:
+    p = f"{s}_"
+    return f"""SELECT id, {turn} AS t, 0 AS way, -({p}L_split_breakpoint_support + {p}R_split_breakpoint_support) AS a, -({p}L_poly_breakpoint_support + {p}R_poly_breakpoint_support) AS p, {p}L_split_breakpoint_mode AS l, {p}R_split_breakpoint_mode AS r, 'tsd_{s}_split_clip_gap_rescue' AS src
+  FROM b WHERE {p}L_split_breakpoint_mode > 0 AND {p}R_split_breakpoint_mode > 0 AND least({p}L_split_breakpoint_support, {p}R_split_breakpoint_support) >= 2 AND {p}L_split_breakpoint_support + {p}R_split_breakpoint_support >= 6 AND greatest(disease_mei_supported_reads, control_mei_supported_reads) >= 1"""
+
+
+def _bridge_sql(s: str, turn: int, k: str, o: str) -> str:
+    p, mine, theirs = f"{s}_", f"{s}_{k}_mei_breakpoint_mode", f"{s}_{o}_poly_breakpoint_mode"
+    l, r = (mine, theirs) if k == "L" else (theirs, mine)
+    return f"""SELECT id, {turn}, 1, -({p}{k}_mei_supported_reads + {p}{o}_poly_breakpoint_support), 0, {l}, {r}, 'tsd_{s}_{k}_poly_mode_bridge_rescue' FROM b
+  WHERE (greatest({p}L_poly_at_reads, {p}R_poly_at_reads) >= 1 OR {p}poly_at_max_run >= 8) AND {l} > 0 AND {r} > 0 AND {p}{k}_mei_supported_reads >= 1 AND {p}{o}_mei_supported_reads <= 1 AND {p}{o}_poly_breakpoint_support >= 1"""
+
+
+_RESCUES_SQL = " UNION ALL ".join([_gap_sql(s, t) for t, s in enumerate(("disease", "control"))] + [_bridge_sql(s, t, k, o) for t, s in enumerate(("disease", "control")) for k, o in (("L", "R"), ("R", "L"))])
+
+
+@_query(f"""
+WITH {_BP_SQL}, c AS ({_RESCUES_SQL}), d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY way, t, a, p, l - r, l, r) AS n FROM c WHERE r - l + 1 BETWEEN 4 AND 40),
+e AS (SELECT b.*, CASE WHEN tsd_len_estimate >= 4 THEN tsd_left_breakpoint ELSE coalesce(d.l, 0) END AS nl, CASE WHEN tsd_len_estimate >= 4 THEN tsd_right_breakpoint ELSE coalesce(d.r, 0) END AS nr, CASE WHEN tsd_len_estimate >= 4 THEN tsd_evidence_source ELSE coalesce(d.src, '') END AS ns FROM b LEFT JOIN d ON b.id = d.id AND d.n = 1)
+SELECT id, CAST(nl AS BIGINT) AS tsd_left_breakpoint, CAST(nr AS BIGINT) AS tsd_right_breakpoint, ns AS tsd_evidence_source,
+  CAST(CASE WHEN nl > 0 AND nr > 0 THEN (nl + nr) // 2 WHEN disease_L_mei_breakpoint_mode > 0 AND disease_R_mei_breakpoint_mode > 0 THEN (disease_L_mei_breakpoint_mode + disease_R_mei_breakpoint_mode) // 2
+    WHEN control_L_mei_breakpoint_mode > 0 AND control_R_mei_breakpoint_mode > 0 THEN (control_L_mei_breakpoint_mode + control_R_mei_breakpoint_mode) // 2 WHEN control_L_mei_breakpoint_mode > 0 THEN control_L_mei_breakpoint_mode ELSE control_R_mei_breakpoint_mode END AS BIGINT) AS pos,
+  CASE WHEN nl > 0 AND nr > 0 THEN ns WHEN disease_L_mei_breakpoint_mode > 0 AND disease_R_mei_breakpoint_mode > 0 THEN 'disease_split' WHEN control_L_mei_breakpoint_mode > 0 AND control_R_mei_breakpoint_mode > 0 THEN 'control_split' WHEN greatest(control_L_mei_breakpoint_mode, control_R_mei_breakpoint_mode) > 0 THEN 'control_single' ELSE '' END AS source FROM e""")
+def q_tsd_rescue(spark, sf_dir):
+    rows = breakpoints.rescue_tsd(table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in _BP.items()])).withColumn("_b", breakpoints.breakpoint_choice())
+    return rows.select("id", *[F.col(c).cast("bigint").alias(c) for c in ("tsd_left_breakpoint", "tsd_right_breakpoint")], "tsd_evidence_source", "_b.pos", "_b.source")
+
+
+@_query(f"""
+WITH {_BP_SQL}, m AS (SELECT *, (window_start + window_end) // 2 AS mid, disease_split_mei_supported_reads >= 2 OR (disease_L_mei_supported_reads >= 1 AND disease_R_mei_supported_reads >= 1) AS placed, disease_discordant_mei_supported_reads > 0 AS paired FROM b),
+p AS (SELECT *, CASE WHEN (placed OR paired) AND insertion_breakpoint_pos > 0 THEN insertion_breakpoint_pos ELSE mid END AS c, CAST(CASE WHEN placed THEN 200 WHEN paired THEN greatest(1, least(500, greatest(100, round_even(greatest(discordant_disease_abs_tlen_mean, discordant_control_abs_tlen_mean) * 0.5::DOUBLE, 0)))) ELSE 400 END AS BIGINT) AS pad FROM m)
+SELECT id, CAST(greatest(1, c - pad) AS BIGINT) AS query_start, CAST(greatest(1, c - pad, c + pad) AS BIGINT) AS query_end FROM p""")
+def q_catalog_interval(spark, sf_dir):
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in _BP.items()]).select("id", *breakpoints.catalog_interval(200, 100, 500, 0.5))
+
+
+_READ = "CAST(l_suppkey % 10 AS VARCHAR) AS chrom, CAST(l_orderkey * 3 AS BIGINT) AS pos, CAST(l_orderkey * 3 + 80 + l_partkey % 40 AS BIGINT) AS ref_end, CAST(l_partkey % 61 AS BIGINT) AS mapq, CAST(l_linenumber % 4 AS BIGINT) AS nm, CAST(81 + l_partkey % 40 AS BIGINT) AS aligned_len"
+_WINDOW = "CAST(o_custkey % 10 AS VARCHAR) AS chrom, CAST(o_orderkey AS BIGINT) AS id, CAST(o_orderkey * 3 AS BIGINT) AS ws, CAST(o_orderkey * 3 + 50 AS BIGINT) AS we"
+
+
+@_query(f"""
+WITH r AS (SELECT {_READ} FROM lineitem), w AS (SELECT {_WINDOW} FROM orders)
+SELECT id, count(*) AS context_non_sv_reads, round(avg(mapq), 6) AS context_mapq_mean, round(avg((mapq < 20)::INT), 6) AS context_mapq_lt20_fraction, round(avg(100.0::DOUBLE * nm / aligned_len), 6) AS context_nm_per_100bp_mean, round(quantile_cont(100.0::DOUBLE * nm / aligned_len, 0.9), 6) AS context_nm_per_100bp_p90
+FROM w JOIN r ON r.chrom = w.chrom AND pos <= we AND ref_end >= ws GROUP BY id""")
+def q_context_metrics(spark, sf_dir):
+    text = lambda s: [x.strip().replace("AS VARCHAR", "AS STRING") for x in s.split(", ")]
+    reads, windows = table(spark, sf_dir, "lineitem").selectExpr(*text(_READ)), table(spark, sf_dir, "orders").selectExpr(*text(_WINDOW))
+    out = context.context_metrics(reads, windows, ["id"], "ws", "we")
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("id", "context_non_sv_reads")})
+
+
+@_query(f"""
+WITH r AS (SELECT {_READ} FROM lineitem), w AS (SELECT {_WINDOW} FROM orders),
+e AS (SELECT chrom, p, sum(d) AS d FROM (SELECT chrom, pos AS p, 1 AS d FROM r UNION ALL SELECT chrom, ref_end + 1, -1 FROM r) GROUP BY ALL),
+s AS (SELECT chrom, p AS a, lead(p) OVER v - 1 AS b, sum(d) OVER v AS depth FROM e WINDOW v AS (PARTITION BY chrom ORDER BY p)),
+j AS (SELECT id, sum(depth * (least(b, we) - greatest(a, ws) + 1)) AS t, max(depth) AS k FROM w JOIN s ON s.chrom = w.chrom AND a <= we AND b >= ws WHERE depth > 0 GROUP BY id)
+SELECT w.id, round(coalesce(t / 51, 0.0), 6) AS mean_depth, CAST(coalesce(k, 0) AS BIGINT) AS peak_depth FROM w LEFT JOIN j ON w.id = j.id""")
+def q_depth_stats(spark, sf_dir):
+    text = lambda s: [x.strip().replace("AS VARCHAR", "AS STRING") for x in s.split(", ")]
+    blocks = table(spark, sf_dir, "lineitem").selectExpr(*text(_READ)).select("chrom", F.col("pos").alias("start_pos"), F.col("ref_end").alias("end_pos"))
+    out = context.depth_stats(blocks, table(spark, sf_dir, "orders").selectExpr(*text(_WINDOW)), ["id"], "ws", "we")
+    return out.withColumn("mean_depth", F.round("mean_depth", 6))
+
+
+_CONTIG = {
+    "chrom": "l_returnflag", "window_start": "CAST(l_suppkey AS BIGINT)", "window_end": "CAST(l_suppkey + 9 AS BIGINT)", "sample": "CASE WHEN l_orderkey % 2 = 0 THEN 'disease' ELSE 'control' END", "contig_id": "CAST(l_orderkey % 23 AS BIGINT)", "target_set": "CASE WHEN l_linenumber % 3 = 1 THEN 'mei' ELSE 'ref' END",
+    "qstart": "CAST(l_partkey % 300 AS BIGINT)", "qend": "CAST(l_partkey % 300 + 30 + l_orderkey % 170 AS BIGINT)", "strand": "CASE WHEN l_partkey % 5 = 0 THEN '-' ELSE '+' END", "tname": "CASE WHEN l_orderkey % 7 = 0 THEN 'chr2' ELSE 'chr1' END", "tstart": "CAST(l_partkey % 1700 AS BIGINT)", "tend": "CAST(l_partkey % 1700 + 30 + l_orderkey % 170 AS BIGINT)",
+    "nmatch": "CAST(20 + l_orderkey % 150 AS BIGINT)", "alnlen": "CAST(30 + l_orderkey % 170 AS BIGINT)", "mapq": "CAST(l_partkey % 61 AS BIGINT)",
+}
+_CONTIG_SQL = "h AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _CONTIG.items()) + " FROM lineitem)"
+_CK = f"{_K}, sample, contig_id"
+
+
+@_query(f"""
+WITH {_CONTIG_SQL},
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_CK} ORDER BY alnlen DESC, mapq DESC, nmatch DESC, qstart, tname DESC) AS n FROM h WHERE target_set = 'mei') WHERE n = 1),
+k AS (SELECT DISTINCT {_CK} FROM h),
+j AS (SELECT h.*, h.qend <= m.qstart + 20 AS isl, h.qstart >= m.qend - 20 AS isr FROM h JOIN m USING ({_CK}) WHERE h.target_set = 'ref'),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_CK} ORDER BY qend DESC, alnlen DESC, mapq DESC, nmatch DESC, tname DESC, tend DESC) AS n FROM j WHERE isl) WHERE n = 1),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_CK} ORDER BY qstart, alnlen DESC, mapq DESC, nmatch DESC, tname, tstart) AS n FROM j WHERE isr) WHERE n = 1),
+b AS (SELECT {_CK}, count(*) FILTER (alnlen >= 80 AND mapq >= 20) AS blocks, count(DISTINCT CASE WHEN alnlen >= 80 AND mapq >= 20 THEN tname END) > 1 OR count(DISTINCT CASE WHEN alnlen >= 80 AND mapq >= 20 THEN strand END) > 1 AS mixed FROM h WHERE target_set = 'ref' GROUP BY ALL),
+a AS (SELECT {_CK}, coalesce(m.alnlen, 0) AS mei_aln_len, m.alnlen IS NOT NULL AS has, coalesce(blocks, 0) AS ref_blocks, coalesce(mixed, false) AS mixed, l.tname AS lt, l.strand AS ls, l.tend AS lp, r.tname AS rt, r.strand AS rs, r.tstart + 1 AS rp FROM k LEFT JOIN m USING ({_CK}) LEFT JOIN b USING ({_CK}) LEFT JOIN l USING ({_CK}) LEFT JOIN r USING ({_CK})),
+p AS (SELECT *, CASE WHEN lp IS NOT NULL AND rp IS NOT NULL THEN 'both' WHEN lp IS NOT NULL THEN 'left_only' WHEN rp IS NOT NULL THEN 'right_only' ELSE 'none' END AS side_status,
+  CASE WHEN lp IS NULL AND rp IS NULL THEN '' WHEN lp IS NULL OR rp IS NULL THEN 'single_flank_ref_only' WHEN lt <> rt THEN 'interchrom_breakend' WHEN ls <> rs THEN 'inversion_breakend' WHEN abs(rp - lp) > 1000 THEN 'large_gap_breakend' ELSE '' END AS partner_type FROM a)
+SELECT {_CK}, mei_aln_len, ref_blocks, side_status, partner_type, CAST(CASE WHEN partner_type = '' THEN -1 WHEN rp IS NULL THEN lp ELSE rp END AS BIGINT) AS partner_pos,
+  CAST(CASE WHEN lt = rt THEN (lp + rp) // 2 ELSE coalesce(lp, rp, 0) END AS BIGINT) AS breakpoint_pos, CAST(CASE WHEN lt = rt AND rp >= lp THEN rp - lp + 1 ELSE 0 END AS BIGINT) AS tsd_len,
+  CASE WHEN NOT has THEN CASE WHEN ref_blocks >= 3 OR mixed THEN 'multi_junction' ELSE 'unknown' END WHEN ref_blocks >= 3 THEN 'multi_junction' WHEN partner_type <> '' OR mixed THEN 'mei_plus_sv' ELSE 'simple_mei' END AS complex_class FROM p""")
+def q_contig_breakpoints(spark, sf_dir):
+    out = contigs.contig_breakpoints(table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _CONTIG.items()]))
+    return out.select(*contigs.CONTIG, "mei_aln_len", "ref_blocks", "side_status", "partner_type", "partner_pos", "breakpoint_pos", F.col("tsd_len").cast("bigint"), "complex_class")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
