@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mobilome_spark.operators import intervals
+from mobilome_spark.operators import aggregates, intervals
 
 
 def plain_read(min_clip: int = 20, tlen: int = 1000) -> Column:
@@ -36,9 +36,7 @@ def depth_stats(blocks: DataFrame, windows: DataFrame, keys: list[str], start: s
     Bases without coverage count in the mean. Blocks become runs of equal depth
     first, so a window meets few rows however deep it is.
     """
-    from mobilome_spark.operators.aggregates import depth
-
-    runs = depth(blocks, "chrom", "start_pos", "end_pos")
+    runs = aggregates.depth(blocks, "chrom", "start_pos", "end_pos")
     keyed = windows.select(*dict.fromkeys(["chrom", *keys, start, end])).distinct()
     hit = intervals.overlaps(keyed, runs, "chrom", start, end, "from_pos", "to_pos")
     per = hit.groupBy(*keys).agg(F.sum(F.col("depth") * F.col("overlap_bp")).alias("_sum"), F.max("depth").alias("_peak"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobilome_spark.operators import breakpoints, calls, context, contigs, support
+from mobilome_spark.operators import annotate, breakpoints, calls, context, contigs, review, support
 from mobilome_spark.operators.loci import KEY
 from mobilome_spark.plans.projections import table
 
@@ -365,6 +365,48 @@ def q_contig_breakpoints(spark, sf_dir):
     return out.select(*contigs.CONTIG, "mei_aln_len", "ref_blocks", "side_status", "partner_type", "partner_pos", "breakpoint_pos", F.col("tsd_len").cast("bigint"), "complex_class")
 
 
+_WHOLE = {
+    "poly_tail_rescued": "l_orderkey % 50 = 0", "clip_poly_at_run": "CASE WHEN l_orderkey % 6 = 0 THEN 10 ELSE 2 END", "clip_poly_at_fraction": "CASE WHEN l_orderkey % 6 = 0 THEN 0.71D ELSE 0.5D END",
+    "poly_tail_anchor_rescued": "false", "anchor_poly_at_run": "CASE WHEN l_orderkey % 6 = 0 THEN 10 ELSE 2 END",
+}
+
+
+def _annotated(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in (_HIT | _WHOLE).items()])
+    # a third of the rows are aligned to no element
+    rows = rows.withColumn("target", F.when(F.col("pos") % 3 == 0, "").otherwise(F.col("target")))
+    loci = rows.groupBy(*KEY).agg(*[F.count_if(F.col("sample") == s).alias(f"{s}_total_rows") for s in ("disease", "control")])
+    return annotate.annotate(loci, rows.filter("kind <> 'discordant'"), rows.filter("kind = 'discordant'"))
+
+
+@_query(None)
+def q_annotate(spark, sf_dir):
+    """The whole stage; its parts have texts of their own, and a test compares the whole on planted loci."""
+    names = ("analysis_stage_tier", "stage_fail_reason", "insertion_call_tier", "sample_status_label", "event_family", "event_subfamily", "insertion_orientation", "insertion_mei_span", "insertion_breakpoint_pos", "tsd_evidence_source", "insertion_model_score", "priority_rank")
+    return _annotated(spark, sf_dir).select(*KEY, *names)
+
+
+@_query(None)
+def q_review_table(spark, sf_dir):
+    return review.review_table(_annotated(spark, sf_dir))
+
+
+@_query(None)
+def q_random_windows(spark, sf_dir):
+    """Hash-drawn windows clear of the loci; a test checks bounds, number and distance."""
+    rows = _hits(spark, sf_dir)
+    lengths = rows.groupBy("chrom").agg((F.max("window_end") + 5000).alias("length"))
+    avoid = rows.select("chrom", F.col("window_start").alias("start_pos"), F.col("window_end").alias("end_pos")).distinct()
+    return context.random_windows(lengths, 50, 120, avoid=avoid)
+
+
+@_query(None)
+def q_contig_topology(spark, sf_dir):
+    hits = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _CONTIG.items()])
+    lengths = hits.groupBy(*contigs.CONTIG).agg(F.max("qend").alias("contig_len"))
+    return contigs.topology(contigs.contig_breakpoints(hits), lengths)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
