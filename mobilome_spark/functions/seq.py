@@ -124,3 +124,18 @@ def clip_identity(a: Column, b: Column) -> Column:
     same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y).cast("int"))
     n = F.least(F.length(a), F.length(b))
     return F.coalesce(F.aggregate(same, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))) / F.nullif(n, F.lit(0)), F.lit(0.0))
+
+
+def without_tail(clip: Column, side: Column, run: int = 8, least: int = 12) -> Column:
+    """The clip without its longest run of A or T, if that has ``run`` bases: the part behind
+    it for a left clip, before it for a right one, else the longer; a part below ``least``
+    bases gives way to the other, then to both joined, then to the whole clip."""
+    s = F.upper(F.coalesce(clip, F.lit("")))
+    n, base = poly_at_run(s), poly_at_base(s)
+    # the first place where so many stand in a row is the first longest run
+    at = F.instr(s, F.repeat(base, n))
+    before, behind = F.left(s, at - 1), F.substring(s, at + n, F.length(s))
+    behind_first = (F.upper(side) == "L") | (~F.coalesce(F.upper(side) == "R", F.lit(False)) & (F.length(behind) >= F.length(before)))
+    first, second = F.when(behind_first, behind).otherwise(before), F.when(behind_first, before).otherwise(behind)
+    cut = F.when(F.length(first) >= least, first).when(F.length(second) >= least, second).when(F.length(before) + F.length(behind) >= least, F.concat(before, behind)).otherwise(s)
+    return F.when(n < run, s).otherwise(cut)

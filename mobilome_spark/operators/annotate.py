@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mobilome_spark.operators import breakpoints, calls, rules, support
 from mobilome_spark.operators.loci import KEY, SAMPLES
+from mobilome_spark.sources.scratch import written
 
 _SIDED = {"sample": list(SAMPLES), "side": ["L", "R"]}
 
@@ -36,20 +37,33 @@ def metrics(loci: DataFrame, split: DataFrame, discordant: DataFrame) -> DataFra
     return loci
 
 
-def annotate(loci: DataFrame, split: DataFrame, discordant: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Scored, staged and ranked loci; a locus without rows keeps zeros and stays bronze."""
+def _placed(df: DataFrame) -> DataFrame:
+    df = df.withColumn("_b", breakpoints.breakpoint_choice())
+    return df.withColumns({"insertion_breakpoint_pos": F.col("_b.pos"), "insertion_breakpoint_source": F.col("_b.source")}).drop("_b")
+
+
+def annotate(loci: DataFrame, split: DataFrame, discordant: DataFrame, by: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """Scored, staged and ranked loci; a locus without rows keeps zeros and stays bronze.
+
+    With reference ``blocks`` duplications are also sought in and read from the
+    reference, and breakpoints are matched with motifs.
+    """
     modes = {f"{s}_{k}_{t}_breakpoint_{m}": 0 for s in SAMPLES for k in "LR" for t in ("split", "poly") for m in ("mode", "support")}
     rescued = {f"{t}_{s}_poly_tail_rescued_unique_reads": 0 for t in ("split", "discordant") for s in SAMPLES}
     placed = ("tsd_detected", "insertion_breakpoint_pos", "insertion_breakpoint_interval_width_bp")
     df = calls.conform(metrics(loci, split, discordant), {n: v for n, v in calls.locus_defaults().items() if n not in placed} | modes | rescued)
-    df = calls.insertion_spans(calls.totals(df))
+    # written once: the stages below read the loci more than once
+    df = calls.insertion_spans(calls.totals(written(df, "locus-metrics")))
     at = lambda k, m: {s: F.col(f"{s}_{k}_{m}") for s in SAMPLES}
     reads = {s: F.col(f"{s}_L_mei_supported_reads") + F.col(f"{s}_R_mei_supported_reads") for s in SAMPLES}
     df = df.withColumn("_t", rules.tsd_pair(at("L", "mei_breakpoint_mode"), at("R", "mei_breakpoint_mode"), reads))
     names = {"tsd_left_breakpoint": "left", "tsd_right_breakpoint": "right", "tsd_len_estimate": "length", "tsd_evidence_source": "source"}
     df = breakpoints.rescue_tsd(df.withColumns({n: F.col(f"_t.{f}") for n, f in names.items()}).drop("_t"))
-    df = breakpoints.drop_tail_like(df)
-    df = df.withColumn("_b", breakpoints.breakpoint_choice()).withColumns({"insertion_breakpoint_pos": F.col("_b.pos"), "insertion_breakpoint_source": F.col("_b.source")}).drop("_b")
+    df = _placed(df)
+    if blocks is not None:
+        df = _placed(breakpoints.rescue_tsd(breakpoints.near(df, blocks), [breakpoints.reference_rescue()]))
+        df = breakpoints.sequence_metrics(df).drop("region", "region_start0")
+    df = _placed(breakpoints.drop_tail_like(df))
     found = [F.col(c) for c in ("tsd_left_breakpoint", "tsd_right_breakpoint", *[f"{s}_{k}_mei_breakpoint_mode" for s in SAMPLES for k in "LR"])]
     left, right, width, tier, pos = rules.breakpoint_interval([f.cast("bigint") for f in found], F.col("insertion_breakpoint_pos"), F.col("window_start"), F.col("window_end"))
     prefix = "insertion_breakpoint_interval_"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mobilome_spark.functions import seq
 from mobilome_spark.operators import aggregates, support
 from mobilome_spark.operators.loci import KEY, SAMPLES
 
@@ -63,9 +64,9 @@ def tail_bridge() -> Column:
     return _best(found)
 
 
-def rescue_tsd(df: DataFrame) -> DataFrame:
-    """``tsd_*`` columns with the gap rescue, then the tail bridge, where no duplication of four bases is known."""
-    for candidate in (gap_rescue(), tail_bridge()):
+def rescue_tsd(df: DataFrame, candidates: list[Column] | None = None) -> DataFrame:
+    """``tsd_*`` columns with each candidate in turn (the gap rescue, then the tail bridge) where no duplication of four bases is known."""
+    for candidate in candidates or (gap_rescue(), tail_bridge()):
         df = df.withColumn("_r", F.when(F.col("tsd_len_estimate") < TSD_LEAST, candidate))
         names = {"tsd_left_breakpoint": "left", "tsd_right_breakpoint": "right", "tsd_len_estimate": "length", "tsd_evidence_source": "source"}
         df = df.withColumns({n: F.coalesce(F.col(f"_r.{f}"), F.col(n)) for n, f in names.items()}).drop("_r")
@@ -115,3 +116,65 @@ def catalog_interval(split_pad: int = 200, pair_least: int = 200, pair_most: int
     centre = F.when(placed | paired, at).otherwise(middle)
     start = F.greatest(F.lit(1), centre - pad)
     return [start.cast("bigint").alias("query_start"), F.greatest(start, centre + pad).cast("bigint").alias("query_end")]
+
+
+#: Bases of the reference on each side of a place that ``near`` takes; blocks overlap by at least twice as much.
+REACH = 100
+
+
+def near(df: DataFrame, blocks: DataFrame, size: int = 10_000, at: str = "insertion_breakpoint_pos") -> DataFrame:
+    """``df`` with the reference around a place: ``region`` and ``region_start0``, '' where unknown.
+
+    ``blocks``: chrom, block_id, block_start0, seq with starts at multiples of
+    ``size``. An equi-join on (chrom, block); no task holds a contig.
+    """
+    start = F.greatest(F.lit(0), F.col(at) - REACH).cast("bigint")
+    df = df.withColumn("region_start0", F.when(F.col(at) > 0, start)).withColumn("block_id", F.floor(F.col("region_start0") / size).cast("int"))
+    joined = df.join(blocks.select("chrom", F.col("block_id").cast("int"), "block_start0", F.col("seq").alias("_seq")), ["chrom", "block_id"], "left")
+    text = F.substring("_seq", (F.col("region_start0") - F.col("block_start0") + 1).cast("int"), F.lit(2 * REACH))
+    return joined.withColumn("region", F.upper(F.coalesce(text, F.lit("")))).drop("block_id", "block_start0", "_seq")
+
+
+def bases(start0: Column, end0: Column) -> Column:
+    """Reference bases [start0, end0) out of ``region``; '' unless all of them are there."""
+    text = F.substring("region", (start0 - F.col("region_start0") + 1).cast("int"), (end0 - start0).cast("int"))
+    whole = (start0 >= F.col("region_start0")) & (F.length(text) == end0 - start0)
+    return F.when(F.coalesce(whole, F.lit(False)), text).otherwise("")
+
+
+def reference_rescue(most: int = 12) -> Column:
+    """The pair of element modes moved by up to ``most`` bases an end whose bases the reference knows.
+
+    The least movement, then disease, the middle nearest to the first pair's, more
+    reads, the longer and the smaller one.
+    """
+    c = F.col
+    samples = F.array(*[F.struct(F.lit(turn).alias("turn"), c(f"{s}_L_mei_breakpoint_mode").cast("bigint").alias("l"), c(f"{s}_R_mei_breakpoint_mode").cast("bigint").alias("r"), (c(f"{s}_L_mei_supported_reads") + c(f"{s}_R_mei_supported_reads")).cast("bigint").alias("n"), F.lit(f"tsd_{s}_seq_rescue").alias("source")) for turn, s in enumerate(SAMPLES)])
+    known = F.filter(samples, lambda s: (s["l"] > 0) & (s["r"] > 0))
+    middle = lambda l, r: F.floor((l + r) / 2).cast("bigint")
+    seed = F.get(F.transform(known, lambda s: middle(s["l"], s["r"])), F.lit(0))
+    moves = F.sequence(F.lit(-most), F.lit(most))
+
+    def moved(s, dl, dr):
+        l, r = s["l"] + dl, s["r"] + dr
+        return F.struct((F.abs(dl) + F.abs(dr)).alias("moved"), s["turn"].alias("turn"), F.abs(middle(l, r) - seed).alias("away"), (-s["n"]).alias("n"), (l - r).alias("span"), l.alias("left"), r.alias("right"), s["source"].alias("source"))
+
+    tried = F.flatten(F.transform(known, lambda s: F.flatten(F.transform(moves, lambda dl: F.transform(moves, lambda dr: moved(s, dl, dr))))))
+    fits = lambda x: (x["left"] > 0) & (x["right"] - x["left"] + 1).between(TSD_LEAST, TSD_MOST)
+    read = lambda x: bases(x["left"] - 1, x["right"])
+    best = F.array_min(F.filter(tried, lambda x: fits(x) & (read(x) != "") & ~F.contains(read(x), F.lit("N"))))
+    return F.when(best.isNotNull(), F.struct(best["left"].alias("left"), best["right"].alias("right"), (best["right"] - best["left"] + 1).alias("length"), best["source"].alias("source")))
+
+
+def sequence_metrics(df: DataFrame) -> DataFrame:
+    """Duplicated bases, the 11 bases at the breakpoint as the insertion reads them, and how they match its enzyme's motifs.
+
+    The shifted log-odds pays log2(3) for its three tries.
+    """
+    c = F.col
+    df = df.withColumn("tsd_seq", F.when(c("tsd_len_estimate") > 0, bases(c("tsd_left_breakpoint") - 1, c("tsd_right_breakpoint"))).otherwise(""))
+    plain = bases(c("insertion_breakpoint_pos") - 6, c("insertion_breakpoint_pos") + 5)
+    df = df.withColumn("breakpoint_context", F.when(c("insertion_orientation") == "-", seq.revcomp(plain)).otherwise(plain))
+    df = df.withColumns({"_m": seq.endonuclease_motif(c("breakpoint_context")), "_o": seq.shifted_logodds(c("breakpoint_context"))})
+    adjusted = F.when(F.length("breakpoint_context") >= 8, c("_o.best") - F.log2(F.lit(3.0))).otherwise(0.0)
+    return df.withColumns({"breakpoint_l1_en_motif_like": F.coalesce(c("_m.like"), F.lit(False)), "breakpoint_l1_en_motif": F.coalesce(c("_m.motif"), F.lit("")), "breakpoint_yyrrrr_logodds": c("_o.strict"), "breakpoint_yyrrrr_logodds_shift1_mt_adj": adjusted}).drop("_m", "_o")

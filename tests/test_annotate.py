@@ -131,3 +131,47 @@ def test_effective_hits_and_fractions(spark):
     assert (r["asm_disease_vaf"], r["asm_control_vaf"], r["asm_status"]) == (0.5, None, "heuristic_estimated")
     bare = calls.allele_fractions(loci.drop("disease_context_non_sv_reads").withColumn("silver_stage_pass", F.lit(True))).collect()[0]
     assert bare["asm_status"] == "heuristic_no_callable_reads"
+
+
+def test_reference_around_breakpoints(spark):
+    from pyspark.sql import functions as F
+
+    from mobilome_spark.sources.text import reference_blocks
+
+    text = "".join("ACGT"[(i * i + i // 7) % 4] for i in range(25000))
+    text = text[:12005] + "N" + text[12006:]
+    blocks = reference_blocks(spark.createDataFrame([("chr1", text)], "name string, seq string"))
+    cases = [(500, 511, 3, 0, 0, 0), (9995, 10003, 2, 0, 0, 0), (700, 690, 2, 700, 712, 1), (12000, 12010, 4, 0, 0, 0), (24980, 24999, 2, 0, 0, 0), (0, 90, 2, 0, 0, 0)]
+    rows = [("chr1", k, *c, max(c[0], c[3])) for k, c in enumerate(cases)]
+    df = spark.createDataFrame(rows, "chrom string, id int, disease_L_mei_breakpoint_mode long, disease_R_mei_breakpoint_mode long, disease_L_mei_supported_reads long, control_L_mei_breakpoint_mode long, control_R_mei_breakpoint_mode long, control_L_mei_supported_reads long, insertion_breakpoint_pos long")
+    df = df.withColumns({"disease_R_mei_supported_reads": F.lit(1), "control_R_mei_supported_reads": F.lit(1), "tsd_left_breakpoint": F.lit(0), "tsd_right_breakpoint": F.lit(0), "tsd_len_estimate": F.lit(0), "tsd_evidence_source": F.lit(""), "insertion_orientation": F.lit("-")})
+    out = breakpoints.rescue_tsd(breakpoints.near(df, blocks), [breakpoints.reference_rescue()])
+    got = {r["id"]: r for r in breakpoints.sequence_metrics(out).collect()}
+    for k, (dl, dr, dn, cl, cr, cn) in enumerate(cases):
+        seeds = [(l, r, n + 1, s, src) for s, (l, r, n, src) in enumerate([(dl, dr, dn, "tsd_disease"), (cl, cr, cn, "tsd_control")]) if l > 0 and r > 0]
+        tried = []
+        for l0, r0, n, s, src in seeds:
+            for a in range(-12, 13):
+                for b in range(-12, 13):
+                    l, r = l0 + a, r0 + b
+                    here = text[l - 1 : r]
+                    if l > 0 and 4 <= r - l + 1 <= 40 and len(here) == r - l + 1 and "N" not in here:
+                        tried.append((abs(a) + abs(b), s, abs((l + r) // 2 - (seeds[0][0] + seeds[0][1]) // 2), -n, l - r, l, r, src))
+        want = min(tried)[5:] if tried else (0, 0, "")
+        row = got[k]
+        assert (row["tsd_left_breakpoint"], row["tsd_right_breakpoint"], row["tsd_evidence_source"]) == (want[0], want[1], want[2] and want[2] + "_seq_rescue"), k
+        assert row["tsd_seq"] == (text[want[0] - 1 : want[1]] if tried else "")
+        bp = row["insertion_breakpoint_pos"]
+        plain = text[bp - 6 : bp + 5] if bp > 5 else ""
+        assert row["breakpoint_context"] == plain[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_clips_without_tails(spark):
+    from pyspark.sql import functions as F
+
+    from mobilome_spark.functions import seq
+
+    a, b = "CGTCGGCTAGCCG", "GGCTCCGCATCGC"
+    cases = [(a + "A" * 9 + b, "L", b), (a + "A" * 9 + b, "R", a), (a + "T" * 8 + "GC", "L", a), ("GCGCGC" + "A" * 9 + "CGCGCG", "L", "GCGCGCCGCGCG"), ("GC" + "A" * 9 + "C", "L", "GC" + "A" * 9 + "C"), (a + "AAAA" + b, "L", a + "AAAA" + b), ("", "L", ""), (None, "R", ""), (a.lower() + "a" * 8 + b, "", a)]
+    rows = spark.createDataFrame([(c, s) for c, s, _ in cases], "c string, s string")
+    assert [r[0] for r in rows.select(seq.without_tail(F.col("c"), F.col("s"))).collect()] == [w for *_, w in cases]
