@@ -172,6 +172,6 @@ def test_clips_without_tails(spark):
     from mobilome_spark.functions import seq
 
     a, b = "CGTCGGCTAGCCG", "GGCTCCGCATCGC"
-    cases = [(a + "A" * 9 + b, "L", b), (a + "A" * 9 + b, "R", a), (a + "T" * 8 + "GC", "L", a), ("GCGCGC" + "A" * 9 + "CGCGCG", "L", "GCGCGCCGCGCG"), ("GC" + "A" * 9 + "C", "L", "GC" + "A" * 9 + "C"), (a + "AAAA" + b, "L", a + "AAAA" + b), ("", "L", ""), (None, "R", ""), (a.lower() + "a" * 8 + b, "", a)]
+    cases = [(a + "A" * 9 + b, "L", b), (a + "A" * 9 + b, "R", a), (a + "T" * 8 + "GC", "L", a), ("GCGCGC" + "A" * 9 + "CGCGCG", "L", "GCGCGCCGCGCG"), ("GC" + "A" * 9 + "C", "L", "GC" + "A" * 9 + "C"), (a + "AAAA" + b, "L", a + "AAAA" + b), ("", "L", ""), (None, "R", ""), (a.lower() + "a" * 8 + b, "", b), (a + "T" * 8 + b[:12], "", a)]
     rows = spark.createDataFrame([(c, s) for c, s, _ in cases], "c string, s string")
     assert [r[0] for r in rows.select(seq.without_tail(F.col("c"), F.col("s"))).collect()] == [w for *_, w in cases]
