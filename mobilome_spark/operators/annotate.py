@@ -20,7 +20,8 @@ def metrics(loci: DataFrame, split: DataFrame, discordant: DataFrame) -> DataFra
     """
     hit = F.coalesce("target", F.lit("")) != ""
     clips, mates = split.filter(hit), discordant.filter(hit)
-    pairs = support.discordant_support(mates)
+    # written: it also names the preferred targets
+    pairs = written(support.discordant_support(mates), "locus-pairs")
     preferred = pairs.filter("subfamily <> ''").groupBy(*KEY).agg(F.min_by("subfamily", F.when(F.col("sample") == "disease", 0).otherwise(1)).alias("preferred"))
     tail = F.col("poly_tail_rescued") | (F.col("clip_poly_at_run") >= support.TAIL_RUN)
     rows = split.select(*KEY, "sample", "read_name", F.col("clip_side").alias("side"), F.lit("split").alias("kind"), hit.alias("mei"), tail.alias("tail"))
