@@ -38,21 +38,35 @@ def metrics(loci: DataFrame, split: DataFrame, discordant: DataFrame) -> DataFra
     return loci
 
 
+def full_panel(loci: DataFrame, split: DataFrame, discordant: DataFrame) -> DataFrame:
+    """``loci`` with the support that the panel of full elements gives (``{sample}_full_...``), from
+    rows as for ``metrics`` aligned to that panel; a locus without any has none."""
+    hit = F.coalesce("target", F.lit("")) != ""
+    sides = support.spread(support.side_metrics(split.filter(hit)), ["sample", "clip_side"], "{sample}_full_{clip_side}_{metric}", {"sample": list(SAMPLES), "clip_side": ["L", "R"]})
+    pairs = support.spread(support.discordant_support(discordant.filter(hit)), ["sample"], "{sample}_full_discordant_mei_{metric}", {"sample": list(SAMPLES)})
+    loci = loci.join(sides, KEY, "left").join(pairs, KEY, "left")
+    reads = lambda s: [f"{s}_full_L_mei_supported_reads", f"{s}_full_R_mei_supported_reads", f"{s}_full_discordant_mei_supported_reads"]
+    return loci.withColumns({f"{s}_full_mei_supported_reads": sum(F.coalesce(c, F.lit(0)) for c in reads(s)) for s in SAMPLES})
+
+
 def _placed(df: DataFrame) -> DataFrame:
     df = df.withColumn("_b", breakpoints.breakpoint_choice())
     return df.withColumns({"insertion_breakpoint_pos": F.col("_b.pos"), "insertion_breakpoint_source": F.col("_b.source")}).drop("_b")
 
 
-def annotate(loci: DataFrame, split: DataFrame, discordant: DataFrame, by: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:
+def annotate(loci: DataFrame, split: DataFrame, discordant: DataFrame, by: list[str] | None = None, blocks: DataFrame | None = None, full: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Scored, staged and ranked loci; a locus without rows keeps zeros and stays bronze.
 
     With reference ``blocks`` duplications are also sought in and read from the
-    reference, and breakpoints are matched with motifs.
+    reference, and breakpoints are matched with motifs. ``full``: the split and the
+    discordant rows aligned to the panel of full elements.
     """
     modes = {f"{s}_{k}_{t}_breakpoint_{m}": 0 for s in SAMPLES for k in "LR" for t in ("split", "poly") for m in ("mode", "support")}
     rescued = {f"{t}_{s}_poly_tail_rescued_unique_reads": 0 for t in ("split", "discordant") for s in SAMPLES}
     placed = ("tsd_detected", "insertion_breakpoint_pos", "insertion_breakpoint_interval_width_bp")
-    df = calls.conform(metrics(loci, split, discordant), {n: v for n, v in calls.locus_defaults().items() if n not in placed} | modes | rescued)
+    found = metrics(loci, split, discordant)
+    found = found if full is None else full_panel(found, *full)
+    df = calls.conform(found, {n: v for n, v in calls.locus_defaults().items() if n not in placed} | modes | rescued)
     # written once: the stages below read the loci more than once
     df = calls.insertion_spans(calls.totals(written(df, "locus-metrics")))
     at = lambda k, m: {s: F.col(f"{s}_{k}_{m}") for s in SAMPLES}

@@ -175,3 +175,15 @@ def test_clips_without_tails(spark):
     cases = [(a + "A" * 9 + b, "L", b), (a + "A" * 9 + b, "R", a), (a + "T" * 8 + "GC", "L", a), ("GCGCGC" + "A" * 9 + "CGCGCG", "L", "GCGCGCCGCGCG"), ("GC" + "A" * 9 + "C", "L", "GC" + "A" * 9 + "C"), (a + "AAAA" + b, "L", a + "AAAA" + b), ("", "L", ""), (None, "R", ""), (a.lower() + "a" * 8 + b, "", b), (a + "T" * 8 + b[:12], "", a)]
     rows = spark.createDataFrame([(c, s) for c, s, _ in cases], "c string, s string")
     assert [r[0] for r in rows.select(seq.without_tail(F.col("c"), F.col("s"))).collect()] == [w for *_, w in cases]
+
+
+def test_full_panel(spark):
+    """Element reads that only the full panel has are a sign too."""
+    loci = spark.createDataFrame([("chr1", 1000, 1400), ("chr1", 2000, 2400)], "chrom string, window_start long, window_end long")
+    split = spark.createDataFrame([clip(1, "disease", "L", f"r{i}", 1200, 5) for i in range(3)], SPLIT)
+    pairs = spark.createDataFrame([pair(1, "control", "p", 1300, 40)], PAIR)
+    got = {r["window_start"]: r for r in annotate.full_panel(loci, split, pairs).collect()}
+    assert (got[1000]["disease_full_mei_supported_reads"], got[1000]["control_full_mei_supported_reads"], got[1000]["disease_full_L_mei_start"]) == (3, 1, 5)
+    assert got[2000]["disease_full_mei_supported_reads"] == 0
+    whole = {r["window_start"]: r for r in annotate.annotate(loci, spark.createDataFrame([], SPLIT), spark.createDataFrame([], PAIR), full=(split, pairs)).collect()}
+    assert whole[1000]["silver_any_mei_support"] and not whole[2000]["silver_any_mei_support"]
