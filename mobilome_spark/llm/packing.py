@@ -3,11 +3,12 @@
 Only the histogram of piece lengths (at most ``CAPACITY`` numbers) reaches the
 driver. The program asks for the fewest sequences so that the chosen
 configurations (multisets of lengths that fit a sequence) cover the histogram.
-It is solved by multiplicative weights: lengths that are not yet covered gain
-weight, and the most valuable configuration for the present weights comes from
-an unbounded-knapsack dynamic program. The solution is rounded down and what is
-left over, which depends on the number of configurations and not on the corpus,
-goes in by best fit. Every piece then finds its place from its rank among the
+It is solved by multiplicative weights: lengths that are covered ahead of the
+others lose weight, and the most valuable configurations for the present weights
+come from an unbounded-knapsack dynamic program, until a fractional solution
+covers every length within ``GAP`` of the dual bound. It is rounded to whole
+sequences and what rounding leaves over, a smaller share the more pieces there
+are of a length, goes in by best fit. Every piece then finds its place from its rank among the
 pieces of its length; the ranks come from counts of (length, part) cells.
 """
 
@@ -26,8 +27,12 @@ from pyspark.sql import functions as F
 from mobilome_spark.llm.common import materialize
 
 CAPACITY, END = 2048, 0
-#: Rounds of multiplicative weights, and pieces aimed at per (length, part) cell.
-ROUNDS, CELL = 100, 4096
+#: Gap to the dual bound at which the program ends, rounds that it ends after in any case.
+GAP, ROUNDS = 0.01, 2000
+#: Rate of the weights, share of its worth that a choice may fall short by.
+RATE, SLACK = 0.02, 2e-3
+#: Pieces aimed at per (length, part) cell.
+CELL = 4096
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -40,29 +45,101 @@ def default_tokenizer() -> str:
 # ---------------------------------------------------------------- the program
 
 
-def price(values: np.ndarray, capacity: int) -> Counter:
-    """The most valuable multiset of lengths within ``capacity`` (unbounded knapsack).
+def price(values: np.ndarray, capacity: int, slack: float = 0.0, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(worth, first length) of the most valuable multiset of lengths for every room (unbounded knapsack).
 
-    ``values[l]`` is the worth of a piece of length l; index 0 is unused.
+    ``values[l]`` is the worth of a piece of length l; index 0 is unused. With
+    ``rng`` a choice may be worth up to a share ``slack`` less, so that choices
+    of nearly equal worth take turns. First length 0 leaves one token empty.
     """
     lengths = np.flatnonzero(values[1:] > 0) + 1
     best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    worth = values[lengths]
+    worth, fits = values[lengths], np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
-        fit = np.searchsorted(lengths, room, "right")
-        best[room], pick[room] = best[room - 1], 0
+        best[room], fit = best[room - 1], fits[room]
         if fit:
             total = worth[:fit] + best[room - lengths[:fit]]
-            k = int(np.argmax(total))
+            k = int(np.argmax(total if rng is None else total * (1 - slack * rng.random(fit))))
             if total[k] > best[room]:
                 best[room], pick[room] = total[k], lengths[k]
-    out, room = Counter(), capacity
+    return best, pick
+
+
+def _filled(pick: np.ndarray, first: int, room: int) -> tuple[tuple[int, int], ...]:
+    """The configuration of a piece of length ``first`` and what ``price`` puts into the room beside it."""
+    out = Counter({first: 1})
     while room > 0:
         if pick[room]:
             out[int(pick[room])] += 1
-            room -= int(pick[room])
-        else:
-            room -= 1
+        room -= int(pick[room]) or 1
+    return tuple(sorted(out.items(), reverse=True))
+
+
+def program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float = GAP) -> tuple[list[tuple[tuple[tuple[int, int], ...], float]], float, float]:
+    """([(configuration, times)], sequences, bound): a fractional solution that covers all counts.
+
+    A round asks for one more helping of every length's count. From the longest
+    down, a length that lags behind takes the configuration priced best beside
+    it. The weight of a length falls exponentially with the helpings it is ahead
+    by. ``bound`` is the best dual value met: the worth of all pieces over that
+    of the most valuable configuration. Rounds go on until the solution, scaled
+    to cover every length just once, is within ``gap`` of it; ``rounds`` only
+    keeps a case that does not get there from running for ever.
+    """
+    lengths = np.flatnonzero(counts)
+    need, size = counts.astype(float), np.arange(len(counts)) / capacity
+    covered, weight, rng = np.zeros(len(counts)), size.copy(), np.random.default_rng(capacity)
+    taken: dict[tuple[tuple[int, int], ...], float] = {}
+    total, low, bound = 0.0, 1.0, float(need @ size)
+    for t in range(1, rounds + 1):
+        values = np.zeros(len(counts))
+        values[lengths] = weight[lengths]
+        pick = price(values, capacity, SLACK, rng)[1]
+        for l in lengths[::-1].tolist():
+            lag = need[l] * t - covered[l]
+            if lag > 1e-9 * need[l]:
+                config = _filled(pick, l, capacity - l)
+                times = lag / dict(config)[l]
+                for other, n in config:
+                    covered[other] += n * times
+                taken[config] = taken.get(config, 0.0) + times
+                total += times
+        helpings = covered[lengths] / need[lengths]
+        low = float(helpings.min())
+        weight[lengths] = size[lengths] * np.exp(-RATE * np.clip(helpings - t, 0, 20 / RATE))
+        if t % 10 == 0:
+            values[lengths] = weight[lengths]
+            bound = max(bound, float(need @ values) / float(price(values, capacity)[0][capacity]))
+            if total / low <= bound * (1 + gap):
+                break
+    return [(config, times / low) for config, times in taken.items()], total / low, bound
+
+
+def rounded(solution: list[tuple[tuple[tuple[int, int], ...], float]], left: np.ndarray) -> Counter:
+    """Whole times of a fractional solution, as far as ``left`` has the pieces; takes them from it.
+
+    Configurations of the same longest piece hand on what is below a whole, so
+    that many small fractions are not all rounded to nothing.
+    """
+    out, carried, capacity = Counter(), Counter(), len(left) - 1
+    for config, times in solution:
+        first = config[0][0]
+        carried[first] += times
+        while True:
+            # the sums of fractions end a little below the whole they stand for
+            wanted = int(carried[first] + 1e-6)
+            whole = min(wanted, *(int(left[l]) // n for l, n in config))
+            if whole > 0:
+                out[config] += whole
+                carried[first] -= whole
+                for l, n in config:
+                    left[l] -= whole * n
+            # a cover has more of some lengths than there are pieces: go without them if nothing else fits
+            config = tuple((l, min(n, int(left[l]))) for l, n in config if left[l])
+            room = capacity - sum(l * n for l, n in config)
+            spare = left[: room + 1] - np.array([dict(config).get(l, 0) for l in range(room + 1)]) if whole < wanted and config else None
+            if spare is None or config[0][0] != first or (spare > 0).any():
+                break
     return out
 
 
@@ -79,34 +156,9 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     if left[capacity]:
         out[((capacity, 1),)] += int(left[capacity])
         left[capacity] = 0
-    plans: Counter = Counter()
-    rest = left.astype(float)
-    lengths = np.arange(len(rest))
-    # each round covers a share of what is left with configurations priced by weights that
-    # fall as a length is covered and rise while it lags behind the others
-    weight = lengths / capacity
-    for _ in range(rounds):
-        open_ = rest > 0.5
-        if not open_.any():
-            break
-        config = price(np.where(open_, weight, 0.0), capacity)
-        times = max(1.0, np.floor(min(rest[l] / n for l, n in config.items()) * 0.5))
-        if any(rest[l] < n for l, n in config.items()):
-            times = 1.0
-        for l, n in config.items():
-            rest[l] = max(0.0, rest[l] - n * times)
-        plans[tuple(sorted(config.items(), reverse=True))] += times
-        share = np.divide(rest, left, out=np.zeros_like(rest), where=left > 0)
-        mean = (rest * lengths).sum() / max(1, (left * lengths).sum())
-        weight = lengths / capacity * np.exp(0.02 * np.clip(share / max(mean, 1e-12) - 1, -4, 4))
-    for config, times in plans.items():
-        fits = min(int(times), *(int(left[l] // n) for l, n in config))
-        if fits > 0:
-            out[config] += fits
-            for l, n in config:
-                left[l] -= fits * n
-    for config, times in _best_fit(left, capacity).items():
-        out[config] += times
+    if left.any():
+        out.update(rounded(program(left, capacity, rounds)[0], left))
+    out.update(_best_fit(left, capacity))
     return sorted(out.items(), reverse=True)
 
 

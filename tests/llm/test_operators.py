@@ -296,3 +296,33 @@ def test_warc(spark):
     whole = assemble(read_records(write_archives(pages))).collect()
     assert len(whole) == len(rows) and all(r.request and r.metadata for r in whole)
     assert captures(pages.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("times", [1, 50])
+def test_packing_program_places_most(monkeypatch, times):
+    from mobilome_spark.llm import packing
+
+    rng = np.random.default_rng(5)
+    counts = np.bincount(np.clip(rng.lognormal(4, 1, 20_000).astype(int), 1, 255), minlength=257) * times
+    fitted, best_fit = [], packing._best_fit
+    monkeypatch.setattr(packing, "_best_fit", lambda left, capacity: fitted.append(left.copy()) or best_fit(left, capacity))
+    found, sizes = packing.solve(counts, 256), np.arange(257)
+    held = np.zeros(257, np.int64)
+    for config, n in found:
+        assert sum(l * k for l, k in config) <= 256
+        for l, k in config:
+            held[l] += k * n
+    assert (held == counts).all()
+    assert sum(int(x @ sizes) for x in fitted) < 0.1 * int(counts @ sizes)
+    assert sum(n for _, n in found) <= 1.005 * int(counts @ sizes) / 256 + 1
+
+
+def test_packing_program_meets_its_bound():
+    from mobilome_spark.llm.packing import GAP, program
+
+    for counts in ({30: 40, 20: 3}, {26: 60, 12: 50, 7: 9}, {50: 5}):  # more than the tokens' number is needed
+        need = np.zeros(51, np.int64)
+        need[list(counts)] = list(counts.values())
+        solution, total, bound = program(need, 50)
+        covered = sum(n * times * (np.arange(51) == l) for config, times in solution for l, n in config)
+        assert (covered >= need * (1 - 1e-9)).all() and bound <= total <= bound * (1 + GAP)
