@@ -71,11 +71,12 @@ class Isotonic:
 
     SHARE = 0.01
 
-    def fit(self, raw: np.ndarray, y: np.ndarray) -> Isotonic:
-        order = np.lexsort((y, raw))
+    def fit(self, raw: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Isotonic:
+        weight = np.ones(len(y)) if weight is None else weight
+        order = np.lexsort((weight, -y, raw))  # ones first among equal scores, so that these are pooled
         blocks: list[list[float]] = []  # mean, weight, sum of raw
-        for r, v in zip(raw[order].tolist(), y[order].tolist(), strict=True):
-            blocks.append([v, 1.0, r])
+        for r, v, w in zip(raw[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+            blocks.append([v, w, r * w])
             while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
                 v1, w1, r1 = blocks.pop()
                 v0, w0, r0 = blocks[-1]

@@ -124,8 +124,8 @@ class Model:
         return np.clip(self.calibration(self.trees.raw(np.array([features(t) for t in texts]))), 0, 1)
 
 
-def _sampled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, part) of the sample: at most ``SAMPLE`` rows of each label on
+def _sampled(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """(text, toxic, part) of the sample, and the share of each label in it: at most ``SAMPLE`` rows of each label on
     average of the hash, outside the held-out fold. Part 0 teaches the lexicon,
     1 and 2 the trees, 3 the calibration."""
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
@@ -139,7 +139,7 @@ def _sampled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     part = F.when(part < 3, 0).when(part < 5, 1).otherwise(3)
     # the ids are bounded by SAMPLE, so sending them spares the texts a shuffle
     chosen = F.broadcast(known.filter(keep).select("doc_id", "toxic", part.alias("part")))
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(chosen, "doc_id").select("text", "toxic", "part")
+    return documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(chosen, "doc_id").select("text", "toxic", "part"), share
 
 
 def _learn_terms(sample: DataFrame) -> dict[bytes, float]:
@@ -166,7 +166,8 @@ def _learn_terms(sample: DataFrame) -> dict[bytes, float]:
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """Learn a model; without documents of both labels its score is the base rate."""
-    sample = materialize(_sampled(documents, labels), "toxicity-sample")
+    sampled, share = _sampled(documents, labels)
+    sample = materialize(sampled, "toxicity-sample")
     learned = _learn_terms(sample)
 
     def dense(batches):
@@ -177,16 +178,18 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
 
     held = sample.select("text", F.col("toxic").cast("int"), F.col("part").cast("int")).mapInArrow(dense, "x array<double>, toxic int, part int").toPandas()
     y, part = held["toxic"].to_numpy(float), held["part"].to_numpy()
-    base = float(y.mean()) if len(y) else 0.0
+    # a sampled row stands for 1 / share rows, so that scores are chances among all labelled documents
+    weight = np.array([1 / share[int(v)] for v in y])
+    base = float(np.average(y, weights=weight)) if len(y) else 0.0
     small = min((y == 0).sum(), (y == 1).sum()) < 200  # too few for three parts: all rows serve all purposes
     trees_on, calibrate_on = (part >= 0, part >= 0) if small else (part == 1, part == 3)
     if len(set(y[trees_on])) < 2 or len(set(y[calibrate_on])) < 2:
         return Model(learned, None, None, base)
     x = np.array(held["x"].tolist()).reshape(len(y), len(NAMES))
     order = np.lexsort((*x.T, y))  # the sample comes back in no fixed order
-    x, y, trees_on, calibrate_on = x[order], y[order], trees_on[order], calibrate_on[order]
+    x, y, weight, trees_on, calibrate_on = x[order], y[order], weight[order], trees_on[order], calibrate_on[order]
     trees = BoostedTrees().fit(x[trees_on], y[trees_on])
-    return Model(learned, trees, Isotonic().fit(trees.raw(x[calibrate_on]), y[calibrate_on]), base)
+    return Model(learned, trees, Isotonic().fit(trees.raw(x[calibrate_on]), y[calibrate_on], weight[calibrate_on]), base)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, model: Model | None = None, whole: bool = False) -> DataFrame:

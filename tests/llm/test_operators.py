@@ -326,3 +326,18 @@ def test_packing_program_meets_its_bound():
         solution, total, bound = program(need, 50)
         covered = sum(n * times * (np.arange(51) == l) for config, times in solution for l, n in config)
         assert (covered >= need * (1 - 1e-9)).all() and bound <= total <= bound * (1 + GAP)
+
+
+def test_toxicity_scores_keep_the_base_rate(spark, monkeypatch):
+    from mobilome_spark.llm import toxicity
+
+    # a word that a fifth of its documents are toxic with: its score is that share, however many clean labels are sampled
+    rng = random.Random(8)
+    rows = [(i, text(rng, 20) + (" grumble" if i % 2 else "")) for i in range(12_000)]
+    labels = [(i, int(i % 2 and rng.random() < 0.2)) for i in range(12_000)]
+    many, known = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 800)
+    model = toxicity.fit(many, known)
+    assert abs(model.base - 0.1) < 0.03
+    got = [r.score for r in toxicity.toxicity(many, known, model).filter("held_out").collect()]
+    assert abs(np.mean(got) - 0.1) < 0.03
