@@ -13,7 +13,7 @@ from mobilome_spark.llm.common import materialize, read_table
 from mobilome_spark.llm.line_dedup import cleaned_documents
 from mobilome_spark.llm.mixing import mixed_documents
 from mobilome_spark.llm.packing import pack
-from mobilome_spark.llm.simhash_dedup import representatives
+from mobilome_spark.llm.simhash_dedup import close_representatives
 from mobilome_spark.llm.toxicity import accepted_documents
 
 
@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return representatives(docs)
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return close_representatives(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

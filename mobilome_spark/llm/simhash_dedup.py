@@ -138,3 +138,73 @@ def representatives(documents: DataFrame, **options) -> DataFrame:
     of its smallest doc_id stay, columns unchanged."""
     kept = near_duplicates(documents, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return documents.join(kept, documents["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+
+
+#: Words of a shingle and least similarity of near copies in corpus stages; bands of smallest hashes and rows of a band.
+STAGE_SHINGLE, BANDS, ROWS = 5, 24, 5
+
+
+def shingle_sets(documents: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
+    """(doc_id, key, hashes, bands): the distinct shingles' hashes of every text in
+    order, a key for the whole set and one for each band of smallest hashes."""
+    rng = np.random.default_rng(SEED)
+    odd, plus = (rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+    odd = odd * np.uint64(2) + np.uint64(1)
+
+    def one(text: bytes | None):
+        words = (text or b"").translate(LOWER).split()
+        spans = range(max(1, len(words) - shingle + 1)) if words else ()
+        hashes = np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle]), SEED) for k in spans], np.uint64))
+        least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+        for first in range(0, len(hashes), 1 << 12):  # bounds the memory of very long texts
+            mixed = hashes[first : first + (1 << 12), None] * odd + plus
+            mixed ^= mixed >> np.uint64(32)
+            least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+        bands = [xxhash.xxh64_intdigest(b.tobytes(), n) for n, b in enumerate(least.reshape(BANDS, ROWS))]
+        return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)), hashes.view(np.int64), np.array(bands, np.uint64).view(np.int64)
+
+    def score(batches):
+        for batch in batches:
+            for first in range(0, len(batch), 512):
+                part = batch.slice(first, 512)
+                found = [one(t.as_py()) for t in part.column(1)]
+                lists = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (1, 2)]
+                yield pa.record_batch([part.column(0), pa.array([f[0] for f in found], pa.int64()), *lists], ["doc_id", "key", "hashes", "bands"])
+
+    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(score, f"doc_id {kind}, key bigint, hashes array<bigint>, bands array<bigint>")
+
+
+def close_representatives(documents: DataFrame) -> DataFrame:
+    """Rows of ``documents`` without near copies: of each component the rows of its
+    smallest doc_id stay, columns unchanged.
+
+    Texts are linked if their sets of five-word shingles have a Jaccard similarity
+    of 0.8 or more, which is verified. Candidates share a band: of pairs at 0.8 a
+    share of 7e-5 has none in common. A band's texts are first compared with the
+    smallest of them, then with all that are not yet in the same component.
+    """
+    sets = materialize(shingle_sets(documents), "close-sets")
+    own = sets.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    texts = sets.select("key", "hashes").dropDuplicates(["key"])
+    bands = materialize(sets.select("key", F.posexplode("bands").alias("n", "band")).distinct(), "close-bands")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = pairs.distinct().join(texts.select(F.col("key").alias("a"), F.col("hashes").alias("_x")), "a")
+        near = near.join(texts.select(F.col("key").alias("b"), F.col("hashes").alias("_y")), "b")
+        both = F.size(F.array_intersect("_x", "_y"))
+        return near.filter(both * 5 >= (F.size("_x") + F.size("_y") - both) * 4).select("a", "b")
+
+    least = bands.groupBy("n", "band").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    links = materialize(verified(bands.join(least, ["n", "band"]).filter("key <> b").select(F.col("key").alias("a"), "b")), "close-links")
+    roots = materialize(connected_components(links), "close-roots").withColumnRenamed("node", "key")
+    placed = bands.join(least.select("n", "band"), ["n", "band"]).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = placed.groupBy("n", "band").agg(F.countDistinct("root").alias("r")).filter("r > 1").select("n", "band")
+    placed = materialize(placed.join(mixed, ["n", "band"]), "close-mixed")
+    other = placed.select("n", "band", F.col("key").alias("b"), F.col("root").alias("_root"))
+    rest = placed.withColumnRenamed("key", "a").join(other, ["n", "band"]).filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("_root"))).select("a", "b")
+    roots = connected_components(links.unionByName(verified(rest))).withColumnRenamed("node", "key")
+    named = own.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    kept = named.groupBy("root").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["_id"]), "left_semi")

@@ -341,3 +341,37 @@ def test_toxicity_scores_keep_the_base_rate(spark, monkeypatch):
     assert abs(model.base - 0.1) < 0.03
     got = [r.score for r in toxicity.toxicity(many, known, model).filter("held_out").collect()]
     assert abs(np.mean(got) - 0.1) < 0.03
+
+
+def test_pipeline_near_copies(spark, docs, corpus, empty):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    rows = list(corpus)
+    for i in range(30):  # copies with a few words replaced, most of them at similarities from 0.75 to 1
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows.append((1000 + 3 * i, " ".join(words)))
+        for k in (1, 2):
+            for at in rng.sample(range(200), rng.randrange(1, 6)):
+                words[at] = "changed"
+            rows.append((1000 + 3 * i + k, " ".join(words)))
+    low = {i: i + 32 for i in range(65, 91)}
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    order = sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, rows[n][0] or 0))
+    root = list(range(len(rows)))
+    for x in order:
+        for y in order:
+            if sets[x] == sets[y] or 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+                old, new = root[x], root[y]
+                root = [new if r == old else r for r in root]
+    first = {}
+    for n in order:
+        first.setdefault(root[n], rows[n][0])
+    many = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id for r in corpus_pipeline.simhash(spark, many, "").collect()}
+    assert got == set(first.values()) and len(got) < len({i for i, _ in rows}) - 40
+    assert corpus_pipeline.simhash(spark, docs, "").columns == docs.columns
+    assert corpus_pipeline.simhash(spark, empty, "").count() == 0
