@@ -4,7 +4,8 @@ Vectors are scaled and given one more component so that the largest inner
 product becomes the smallest distance. A table hashes a vector by K Gaussian
 projections cut into cells of width W. A query visits the buckets of each table
 in the order of the estimated chance that a neighbour at distance R lies there,
-until those chances add up to ``SUCCESS``; R comes from a bounded sample. What
+until those chances add up to ``SUCCESS``; R is the query's own, from a bounded
+sample of the vectors. What
 the tables yield is merged and ranked by exact inner products in double
 precision.
 
@@ -27,8 +28,8 @@ from mobilome_spark.llm.common import materialize
 TABLES, K, WIDTH, EDGE = 2, 4, 1.4, 3
 #: Chance to reach for one table; two tables miss only what both miss.
 SUCCESS = 0.84
-#: Sample that the neighbour distance is taken from: vectors and queries at most.
-SAMPLE, SAMPLE_QUERIES = 20_000, 100
+#: Vectors, about, of the sample that neighbour distances are taken from.
+SAMPLE = 20_000
 #: Distinct vectors of a shard, queries of a block.
 SHARD, BLOCK = 8192, 50_000
 
@@ -51,11 +52,11 @@ class Hashing:
         cell = np.clip(np.floor(self.project(x) / self.width).astype(int) + EDGE, 0, self.cells - 1)
         return cell @ (self.cells ** np.arange(self.k))
 
-    def chances(self, x: np.ndarray, table: int, reach: float) -> np.ndarray:
-        """(n, buckets): chance that a point at distance ``reach`` of x lies in a bucket."""
+    def chances(self, x: np.ndarray, table: int, reach: np.ndarray) -> np.ndarray:
+        """(n, buckets): chance that a point at distance ``reach`` (one for each row) of x lies in a bucket."""
         p = self.project(x)[table]
         edges = np.concatenate([[-np.inf], (np.arange(1, self.cells) - EDGE) * self.width, [np.inf]])
-        below = _normal((edges - p[:, :, None]) / reach)
+        below = _normal((edges - p[:, :, None]) / reach[:, None, None])
         each = np.diff(below, axis=2)
         out = np.ones((len(x), 1))
         for i in range(self.k):  # bucket = sum of cell_i * cells ** i, so later projections vary slower
@@ -109,12 +110,15 @@ def _search_dim(classes: DataFrame, queries: DataFrame, dim: int, k: int) -> Dat
     hashing = Hashing(dim)
     sampled = F.pmod(F.xxhash64("cid"), F.lit(max(1, -(-n // SAMPLE)))) == 0
     known = _matrix(classes.filter(sampled).select("embedding").limit(2 * SAMPLE).toArrow().column("embedding"))
-    asked = _matrix(queries.select("embedding").orderBy(F.xxhash64("qid")).limit(SAMPLE_QUERIES).toArrow().column("embedding"))
-    reach = 1e-3
-    if len(known) and len(asked):
-        near = np.sort(-(asked @ known.T), axis=1)[:, : k + 1]
-        at = -near[:, -1] / (np.linalg.norm(asked, axis=1) * longest)
-        reach = max(reach, float(np.sqrt(np.maximum(0, 2 - 2 * np.quantile(at, 0.25)))))
+    known = known.astype(np.float32)  # goes to the tasks
+
+    def reaches(x: np.ndarray) -> np.ndarray:
+        """The distance of each query that holds its k + 1 nearest of the sample, so no fewer of all vectors."""
+        if len(known) <= k:
+            return np.full(len(x), 2.0)
+        near = -np.partition(-(x.astype(np.float32) @ known.T), k, axis=1)[:, k]
+        return np.maximum(1e-3, np.sqrt(np.maximum(0, 2 - 2 * near / (np.linalg.norm(x, axis=1) * longest))))
+
     each = max(1, -(-n // SHARD))
     shards = TABLES * each  # a shard is of one table, so it holds a vector once
 
@@ -164,7 +168,7 @@ def _search_dim(classes: DataFrame, queries: DataFrame, dim: int, k: int) -> Dat
             for first in range(0, len(batch), 512):
                 part = batch.slice(first, 512)
                 qid, x = part.column(0).to_numpy(), _matrix(part.column(1))
-                q, visit = _as_query(x), np.zeros((len(x), TABLES * width), bool)
+                q, reach, visit = _as_query(x), reaches(x), np.zeros((len(x), TABLES * width), bool)
                 for t in range(TABLES):
                     chance = np.where(present[t], hashing.chances(q, t, reach), -1.0)
                     order = np.argsort(-chance, axis=1, kind="stable")

@@ -375,3 +375,20 @@ def test_pipeline_near_copies(spark, docs, corpus, empty):
     assert got == set(first.values()) and len(got) < len({i for i, _ in rows}) - 40
     assert corpus_pipeline.simhash(spark, docs, "").columns == docs.columns
     assert corpus_pipeline.simhash(spark, empty, "").count() == 0
+
+
+def test_neighbours_of_isolated_vectors(spark):
+    from mobilome_spark.llm.ann import neighbours
+
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(80, 64)), 50, axis=0) + 0.02 * rng.normal(size=(4000, 64))
+    alone = np.arange(0, 4000, 100)  # every fifth query stands alone
+    x[alone] = rng.normal(size=(40, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    found = {}
+    for r in neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(s, -np.inf)
+    recall = [len(found.get(q, set()) & set(np.argsort(-s[q])[:20].tolist())) / 20 for q in alone]
+    assert np.mean(recall) >= 0.9, np.mean(recall)
