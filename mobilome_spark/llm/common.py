@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space, the set that separates words everywhere in this package.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -23,11 +24,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share.
 
-    The folder is ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is made and kept in the session.
+    The folder is ``spark.checkpoint.dir``. Only where that is unset and all
+    runs on one machine, as in tests, a temporary folder is made and kept in the
+    session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="mobilome-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -41,6 +45,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key of more than this share of the rows is hot; so there are fewer than twice as many hot keys, whatever the input.
+HOT_SHARE = 20_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", size: int | None = None) -> DataFrame:
+    """``rows`` joined with a written ``table`` of one row per key, one key of which may hold most rows.
+
+    ``table`` has a column ``_n``, the number of rows of its key, and where
+    ``size`` is given ``_size``, their bytes; both are dropped. Keys that hold
+    more than 1 / ``HOT_SHARE`` of ``total`` rows or ``size`` bytes, fewer than
+    2 x ``HOT_SHARE``, are broadcast; the others meet in a shuffle, where no key
+    holds more than that share. ``how`` is inner or left; null keys meet nothing.
+    """
+    hot = F.col("_n") * HOT_SHARE >= total
+    if size is not None:
+        hot = hot | (F.col("_size") * HOT_SHARE >= size)
+    extra = [c for c in ("_n", "_size") if c in table.columns]
+    few, rest = F.broadcast(table.filter(hot).drop(*extra)), table.filter(~hot).drop(*extra)
+    n = table.agg(F.count_if(hot).alias("hot"), F.count_if(~hot).alias("rest")).first()
+    if not n.rest:
+        return rows.join(few, keys, how)
+    if not n.hot:
+        return rows.join(rest, keys, how)
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys, how))
+
+
 def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")

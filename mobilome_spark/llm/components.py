@@ -10,23 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mobilome_spark.llm.common import materialize
+from mobilome_spark.llm.common import join_counted, materialize
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     near = _both(edges)
-    least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")).withColumn("m", F.least("a", "m"))
+    # the centre of a star may hold most edges: the join deals those out
+    moved = join_counted(near.filter("b > a"), materialize(least, "components-least"), ["a"], 2 * total)
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _small_star(down: DataFrame, total: int) -> DataFrame:
+    least = materialize(down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")), "components-least")
+    moved = join_counted(down, least, ["a"], total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     own = least.select("a", F.col("m").alias("b"))
     return moved.unionByName(own).filter("a <> b").distinct()
 
@@ -34,15 +35,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the smallest node
     of its component. Loops and repeated edges do no harm; no edges, no rows."""
-    current = materialize(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    before = None
+    ordered = edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    current, before = materialize(ordered.distinct(), "components"), None
     for _ in range(most_rounds):
-        current = materialize(_small_star(_large_star(current)), "components")
-        # the sum of the smaller ends falls with every change and stands still at the end
+        # edges, their hashes and their smaller ends: these change with every change and stand still at the end
         now = current.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
+        # edges only change their ends in a step, so the count bounds that of every step of the round
+        grown = materialize(_large_star(current, now[0]), "components")  # its larger end is still called a
+        current = materialize(_small_star(grown, now[0]), "components")
     else:
         raise RuntimeError("components did not settle")
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mobilome_spark.llm.common import materialize
+from mobilome_spark.llm.common import join_counted, materialize
 from mobilome_spark.llm.components import connected_components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -65,16 +65,18 @@ def _bit_sums(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+def fingerprints(documents: DataFrame, shingle: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every whole text as a signed long; with
+    ``keyed`` also text_key, which tells apart texts of the same doc_id."""
 
     def score(batches):
         for batch in batches:
             found = [_signed(fingerprint(t.as_py(), shingle)) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *extra])
 
-    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(score, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    extra = ["text_key"] if keyed else []
+    rows = documents.select("doc_id", F.col("text").cast("binary").alias("_text"), *[text_key(F.col("text")).alias("text_key") for _ in extra])
+    return rows.mapInArrow(score, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, fp bigint" + ", text_key bigint" * keyed)
 
 
 def _masks(bits: int, radius: int) -> list[int]:
@@ -100,7 +102,7 @@ def near_pairs(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     crowded = materialize(crowded, "simhash-crowded")
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     kept = table.join(crowded, ["seg", "key"], "left_anti").withColumnRenamed("fp", "b")
-    pairs = probes.withColumnRenamed("fp", "a").join(kept, ["seg", "key"]).filter((F.col("a") != F.col("b")) & (differ <= RADIUS)).select("a", "b")
+    pairs = probes.withColumnRenamed("fp", "a").join(kept, ["seg", "key"]).filter((F.col("a") < F.col("b")) & (differ <= RADIUS)).select("a", "b")
     if crowded.isEmpty():
         return pairs
     dense = probes.join(crowded, ["seg", "key"], "left_semi").select("fp").distinct()
@@ -121,90 +123,182 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, hot: int = HOT
     table gives no rows. Other columns are ignored.
     """
     prints = materialize(fingerprints(documents, shingle), "simhash-prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
+    named, total = _named(prints, hot)
+    return join_counted(prints, named, ["fp"], total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(prints: DataFrame, hot: int) -> tuple[DataFrame, int]:
+    """(fp, component_id, _n) of each distinct fingerprint, and the number of rows."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n")), "simhash-distinct")
     linked = materialize(near_pairs(distinct.select("fp"), hot), "simhash-links")
-    roots = connected_components(linked)
-    # the smallest document of each component, from one row per distinct fingerprint
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    roots = materialize(connected_components(linked), "simhash-roots")
+    named, total = _least(distinct.withColumnRenamed("fp", "key"), roots.withColumnRenamed("node", "key"), F.col("doc_id"))
+    return named.select(F.col("key").alias("fp"), F.col("least").alias("component_id"), "_n"), total
+
+
+def _least(keys: DataFrame, roots: DataFrame, value) -> tuple[DataFrame, int]:
+    """(key, least, _n): the least ``value`` over each key's component, and the sum of ``_n``.
 
+    A component may hold most keys: its rows are dealt out."""
+    named = materialize(keys.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).select("root", "key", value.alias("value"), F.col("_n").alias("_rows")), "components-named")
+    least = materialize(named.groupBy("root").agg(F.min("value").alias("least"), F.count(F.lit(1)).alias("_n")), "components-first")
+    counted = named.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    out = join_counted(named, least, ["root"], counted[0]).select("key", "least", F.col("_rows").alias("_n"))
+    return materialize(out, "components-least"), counted[1] or 0
 
-def representatives(documents: DataFrame, **options) -> DataFrame:
-    """Rows of ``documents`` without near-duplicates: of each component the rows
-    of its smallest doc_id stay, columns unchanged."""
-    kept = near_duplicates(documents, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
+def _first_rows(documents: DataFrame, keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of each component one row of ``documents``: that with the smallest doc_id (null
+    last), of several such rows that with the smallest text, of equal ones one.
+
+    ``keyed``: (doc_id, text_key, key) of every row; ``roots``: (key, root)."""
+    value = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    own = keyed.groupBy("key").agg(F.min(value).alias("_value"), F.count(F.lit(1)).alias("_n"))
+    named = own.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    kept = named.groupBy("root").agg(F.min("_value").alias("_value")).select("_value.doc_id", "_value.text_key")
+    times = keyed.groupBy("doc_id", "text_key").count()
+    same = times["doc_id"].eqNullSafe(kept["doc_id"]) & (times["text_key"] == kept["text_key"])
+    kept = materialize(times.join(kept, same, "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"), "count"), "representatives")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    rows = documents.select(row.alias("_row"), F.col("doc_id").alias("_d"), text_key(F.col("text")).alias("_k"))
+    rows = rows.join(kept, rows["_d"].eqNullSafe(kept["_id"]) & (rows["_k"] == kept["_text_key"])).select("_row", "_id", "_text_key", "count")
+    # few rows repeat a doc_id and its text; of those the one whose columns hash lowest stays
+    again = rows.filter("count > 1").withColumn("_h", F.xxhash64("_row")).groupBy("_id", "_text_key").agg(F.min_by("_row", "_h").alias("_row"))
+    return rows.filter("count = 1").select("_row.*").unionByName(again.select("_row.*"))
+
+
+def text_key(text):
+    """Tells apart the texts of rows that share a doc_id; null and empty texts are alike."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def representatives(documents: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
+    """Rows of ``documents`` without near-duplicates: one row of each component
+    stays, columns unchanged.
+
+    It is the row with the smallest doc_id (null last); of several rows with
+    that doc_id the one with the smallest hash of its text, of equal rows one.
+    Null, empty and blank texts are near-duplicates of each other. An empty
+    table gives no rows.
+    """
+    keyed = materialize(fingerprints(documents, shingle, True).withColumnRenamed("fp", "key"), "simhash-prints")
+    distinct = keyed.select(F.col("key").alias("fp")).distinct()
+    roots = connected_components(materialize(near_pairs(materialize(distinct, "simhash-distinct"), hot), "simhash-links"))
+    return _first_rows(documents, keyed, roots.withColumnRenamed("node", "key"))
 
-#: Words of a shingle and least similarity of near copies in corpus stages; bands of smallest hashes and rows of a band.
+
+#: Words of a shingle of near copies in corpus stages; bands of smallest hashes and rows of a band.
 STAGE_SHINGLE, BANDS, ROWS = 5, 24, 5
+#: Comparisons with one text that a task of ``_verified`` makes, about.
+COMPARED = 4096
 
 
 def shingle_sets(documents: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """(doc_id, key, hashes, bands): the distinct shingles' hashes of every text in
-    order, a key for the whole set and one for each band of smallest hashes."""
+    """(doc_id, text_key, key, fp, hashes, bands): the distinct shingles' hashes of every
+    text in order, a key for the whole set, its SimHash, and a key for each band of
+    smallest hashes."""
     rng = np.random.default_rng(SEED)
     odd, plus = (rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
-    odd = odd * np.uint64(2) + np.uint64(1)
+    odd = (odd * np.uint64(2) + np.uint64(1))[:, None]
+    digest = xxhash.xxh64_intdigest
 
     def one(text: bytes | None):
         words = (text or b"").translate(LOWER).split()
-        spans = range(max(1, len(words) - shingle + 1)) if words else ()
-        hashes = np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle]), SEED) for k in spans], np.uint64))
-        least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+        n, joined = len(words), b" ".join(words)
+        if n <= shingle:
+            hashes = np.array([digest(joined, SEED)] if n else [], np.uint64)
+        else:
+            ends = (np.cumsum(np.fromiter(map(len, words), np.int64, n)) + np.arange(n)).tolist()
+            starts = [0, *[e + 1 for e in ends[: n - shingle]]]
+            hashes = np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=True)), np.uint64, n - shingle + 1))
+        least, ones = np.full(BANDS * ROWS, np.iinfo(np.uint64).max), np.zeros(64, np.int64)
         for first in range(0, len(hashes), 1 << 12):  # bounds the memory of very long texts
-            mixed = hashes[first : first + (1 << 12), None] * odd + plus
+            part = hashes[first : first + (1 << 12)]
+            mixed = part[None, :] * odd
+            mixed += plus[:, None]
             mixed ^= mixed >> np.uint64(32)
-            least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
-        bands = [xxhash.xxh64_intdigest(b.tobytes(), n) for n, b in enumerate(least.reshape(BANDS, ROWS))]
-        return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)), hashes.view(np.int64), np.array(bands, np.uint64).view(np.int64)
+            mixed *= np.uint64(0x9E3779B97F4A7C15)
+            least = np.minimum(least, mixed.min(axis=1))
+            ones += _bit_sums(part.astype("<u8"))
+        fp = int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]) if n else 0
+        bands = [digest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))]
+        return _signed(digest(hashes.tobytes(), SEED)), _signed(fp), hashes.view(np.int64), np.array(bands, np.uint64).view(np.int64)
+
+    names = ["doc_id", "text_key", "key", "fp", "hashes", "bands"]
 
     def score(batches):
         for batch in batches:
             for first in range(0, len(batch), 512):
                 part = batch.slice(first, 512)
                 found = [one(t.as_py()) for t in part.column(1)]
-                lists = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (1, 2)]
-                yield pa.record_batch([part.column(0), pa.array([f[0] for f in found], pa.int64()), *lists], ["doc_id", "key", "hashes", "bands"])
+                numbers = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
+                lists = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (2, 3)]
+                yield pa.record_batch([part.column(0), part.column(2), *numbers, *lists], names)
 
-    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = documents.select("doc_id", F.col("text").cast("binary").alias("_text"), text_key(F.col("text")).alias("text_key"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(score, f"doc_id {kind}, key bigint, hashes array<bigint>, bands array<bigint>")
+    return rows.mapInArrow(score, f"doc_id {kind}, text_key bigint, key bigint, fp bigint, hashes array<bigint>, bands array<bigint>")
+
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose sets have a Jaccard similarity of 0.8 or more.
 
-def close_representatives(documents: DataFrame) -> DataFrame:
-    """Rows of ``documents`` without near copies: of each component the rows of its
-    smallest doc_id stay, columns unchanged.
+    A text that very many are compared with is sent to several tasks."""
+    pairs = materialize(pairs.distinct(), "close-pairs")
+    often = materialize(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / COMPARED).cast("int")), "close-often")
+    dealt = join_counted(pairs, often, ["b"], pairs.count()).withColumn("_part", F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int"))
+    left = texts.select(F.col("key").alias("a"), F.col("hashes").alias("_x"))
+    right = texts.select(F.col("key").alias("b"), F.col("hashes").alias("_y")).join(often.select("b", "_parts"), "b")
+    right = right.select("b", "_y", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    both = F.size(F.array_intersect("_x", "_y"))
+    near = dealt.select("a", "b", "_part").join(left, "a").join(right, ["b", "_part"])
+    return materialize(near.filter(both * 5 >= (F.size("_x") + F.size("_y") - both) * 4).select("a", "b"), "close-links")
+
+
+def close_representatives(documents: DataFrame, hot: int = HOT) -> DataFrame:
+    """Rows of ``documents`` without near copies: one row of each component stays,
+    columns unchanged; which one, nulls, repeated rows and empty tables as in
+    ``representatives``.
 
     Texts are linked if their sets of five-word shingles have a Jaccard similarity
-    of 0.8 or more, which is verified. Candidates share a band: of pairs at 0.8 a
-    share of 7e-5 has none in common. A band's texts are first compared with the
-    smallest of them, then with all that are not yet in the same component.
+    of 0.8 or more, which is verified. Candidates are what multi-index hashing finds
+    among the sets' fingerprints, and, as texts of that similarity differ in some
+    ten bits and not in three, those that share a band of smallest hashes: of pairs
+    at 0.8 a share of 7e-5 has none in common. The texts of a band are compared
+    with one of them, those that are not yet in one component with another one,
+    and what is left after that with each other.
     """
     sets = materialize(shingle_sets(documents), "close-sets")
-    own = sets.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    texts = sets.select("key", "hashes").dropDuplicates(["key"])
-    bands = materialize(sets.select("key", F.posexplode("bands").alias("n", "band")).distinct(), "close-bands")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        near = pairs.distinct().join(texts.select(F.col("key").alias("a"), F.col("hashes").alias("_x")), "a")
-        near = near.join(texts.select(F.col("key").alias("b"), F.col("hashes").alias("_y")), "b")
-        both = F.size(F.array_intersect("_x", "_y"))
-        return near.filter(both * 5 >= (F.size("_x") + F.size("_y") - both) * 4).select("a", "b")
-
-    least = bands.groupBy("n", "band").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    links = materialize(verified(bands.join(least, ["n", "band"]).filter("key <> b").select(F.col("key").alias("a"), "b")), "close-links")
-    roots = materialize(connected_components(links), "close-roots").withColumnRenamed("node", "key")
-    placed = bands.join(least.select("n", "band"), ["n", "band"]).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = placed.groupBy("n", "band").agg(F.countDistinct("root").alias("r")).filter("r > 1").select("n", "band")
-    placed = materialize(placed.join(mixed, ["n", "band"]), "close-mixed")
-    other = placed.select("n", "band", F.col("key").alias("b"), F.col("root").alias("_root"))
-    rest = placed.withColumnRenamed("key", "a").join(other, ["n", "band"]).filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("_root"))).select("a", "b")
-    roots = connected_components(links.unionByName(verified(rest))).withColumnRenamed("node", "key")
-    named = own.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    kept = named.groupBy("root").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    bands = sets.select("key", F.posexplode("bands").alias("n", "band")).distinct()
+    bands = materialize(bands, "close-bands")
+    prints = materialize(sets.groupBy("fp").agg(F.min("key").alias("key"), F.max("key").alias("_last"), F.count(F.lit(1)).alias("_n")), "close-prints")
+    shared = materialize(bands.groupBy("n", "band").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "close-shared")
+    placed = materialize(join_counted(bands, shared, ["n", "band"], bands.count()), "close-placed")
+    stars = placed.filter("key <> b").select(F.col("key").alias("a"), "b")
+    # fingerprints within three bits, by a text of each; texts of one fingerprint by the first of them
+    near = materialize(near_pairs(prints.select("fp"), hot), "close-near")
+    held = prints.select("fp", "key")
+    near = near.join(held.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b")
+    same = join_counted(sets.select("fp", "key").distinct(), prints.filter("key <> _last").select("fp", F.col("key").alias("b"), "_n"), ["fp"], sets.count())
+    near = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same.filter("key <> b").select(F.col("key").alias("a"), "b"))
+    stars = materialize(stars.unionByName(near).distinct(), "close-stars")
+    wanted = stars.select(F.col("a").alias("key")).unionByName(stars.select(F.col("b").alias("key"))).distinct()
+    texts = materialize(sets.select("key", "hashes").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "close-texts")
+    links = _verified(stars, texts)
+
+    def apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(roots, rows of ``placed`` of bands that hold several components, with their root)."""
+        roots = materialize(connected_components(links), "close-roots").withColumnRenamed("node", "key")
+        rows = materialize(placed.select("key", "n", "band").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "close-rooted")
+        mixed = rows.groupBy("n", "band").agg(F.min("root").alias("_r"), F.max("root").alias("_s"), F.max("key").alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_r <> _s")
+        mixed = materialize(mixed.select("n", "band", "_last", "_n"), "close-mixed")
+        return roots, materialize(join_counted(rows, mixed, ["n", "band"], rows.count()), "close-apart")
+
+    _, rows = apart(links)
+    links = links.unionByName(_verified(rows.filter("key <> _last").select(F.col("key").alias("a"), F.col("_last").alias("b")), texts))
+    roots, rows = apart(links)
+    if not rows.isEmpty():
+        other = rows.select("n", "band", F.col("key").alias("b"), F.col("root").alias("_root"))
+        rest = rows.withColumnRenamed("key", "a").join(other, ["n", "band"]).filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("_root"))).select("a", "b")
+        roots = connected_components(links.unionByName(_verified(rest, texts))).withColumnRenamed("node", "key")
+    return _first_rows(documents, sets.select("doc_id", "text_key", "key"), roots)
