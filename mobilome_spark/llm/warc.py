@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mobilome_spark.llm.common import materialize
+from mobilome_spark.llm.common import join_counted, materialize
 
 SEGMENT, LEVEL, LEAST = 4 << 20, 1, 100
 DATE = "2024-01-01T00:00:00Z"
@@ -59,7 +59,10 @@ def transaction(page_id, url: str | None, payload: bytes, digest: str, refers_to
 
 
 def parse(data: bytes):
-    """(headers, block) of every record of an archive, one gzip member at a time."""
+    """(headers, block) of every record of an archive, one gzip member at a time.
+
+    No bytes, no records; what is cut short or is not WARC raises ValueError.
+    """
     view, at = memoryview(data), 0
     while at < len(data):
         unpack, out = zlib.decompressobj(31), []
@@ -81,18 +84,35 @@ def parse(data: bytes):
             pos = end + 4 + size + 4
 
 
+def _sound(data: bytes):
+    """The records of ``parse`` and, in place of its error, one of type ``damaged``."""
+    try:
+        for headers, block in parse(data):
+            yield {"warc-type": "", **headers}, block
+    except (ValueError, KeyError, zlib.error):
+        yield {"warc-type": "damaged"}, b""
+
+
 def first_captures(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(digest, first): of payloads of at least ``least`` bytes that several pages hold, the smallest page_id."""
+    """(digest, first, _n, _size): of payloads of at least ``least`` bytes that several
+    pages hold, the smallest page_id, the pages and their bytes in all."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n")).filter(F.col("n") >= least)
-    return rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    rows = pages.select("page_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("bigint").alias("n")).filter(F.col("n") >= least)
+    many = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_size"))
+    return many.filter("_n > 1")
 
 
 def write_archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Write all captures and return the table (archive, data) as read back."""
+    """Write all captures and return the table (archive, data) as read back.
+
+    A payload that very many pages hold doesn't meet in one task: such digests,
+    a bounded number, go to the pages instead.
+    """
+    first = materialize(first_captures(pages, least), "warc-first")
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    total = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(body).cast("bigint"))).first()
     rows = pages.select("page_id", "url", body.alias("body")).withColumn("digest", F.sha2("body", 256))
-    rows = rows.join(first_captures(pages, least), "digest", "left").select("page_id", "url", "body", "digest", "first")
+    rows = join_counted(rows, first, ["digest"], total[0], "left", total[1] or 0).select("page_id", "url", "body", "digest", "first")
 
     def pack(batches):
         from pyspark import TaskContext
@@ -114,23 +134,28 @@ def write_archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def read_records(archives: DataFrame) -> DataFrame:
-    """One row per record of (archive, data) rows; payloads are hashed, not kept."""
+    """One row per record of (archive, data) rows; payloads are hashed, not kept.
+
+    Null or empty data give no rows. Of an archive that is damaged the records
+    before the damage come back, then one row of type ``damaged``. Repeated
+    archives give their records again.
+    """
 
     def unpack(batches):
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1), strict=True):
                 out = []
-                for h, block in parse(data.as_py()):
+                for h, block in _sound(data.as_py() or b""):
                     fields, size, digest = None, None, None
                     if h["warc-type"] == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
+                        payload = block.partition(b"\r\n\r\n")[2]
                         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
                     elif h["warc-type"] == "metadata":
                         fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in block.decode().split("\r\n") if x)]
-                    out.append((name.as_py(), h["warc-type"], h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"), size, digest, fields))
+                    out.append((name.as_py(), h["warc-type"], h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"), size, digest, fields))
                 kinds = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())]
                 names = ["archive", "type", "record_id", "concurrent_to", "refers_to", "uri", "digest", "payload_bytes", "payload_digest", "fields"]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], names)
 
     return archives.mapInArrow(unpack, RECORD)
 
@@ -151,11 +176,16 @@ def assemble(records: DataFrame) -> DataFrame:
         return records.filter(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min_by(body, "record_id").alias(kind))
 
     joined = main.join(side("request"), "record_id", "left").join(side("metadata"), "record_id", "left")
-    # few captures are revisits: only the responses they refer to are looked up
-    wanted = records.filter(F.col("type") == "revisit").select(F.col("refers_to").alias("record_id")).distinct()
-    original = joined.filter(F.col("type") == "response").drop("refers_to").join(wanted, "record_id", "left_semi")
-    original = original.groupBy(F.col("record_id").alias("refers_to")).agg(F.min(F.struct("capture.payload_bytes", "capture.payload_digest", F.element_at("metadata.fields", "page-id").alias("page_id"))).alias("original"))
-    return joined.join(original, "refers_to", "left").select("type", "refers_to", "capture", "request", "metadata", "original")
+    nothing = F.lit(None).cast("struct<payload_bytes:bigint,payload_digest:string,page_id:string>")
+    kept = ["type", "refers_to", "capture", "request", "metadata", "original"]
+    # responses refer to nothing and stay where they are; of those referred to there is one row each
+    wanted = records.filter((F.col("type") == "revisit") & F.col("refers_to").isNotNull()).groupBy(F.col("refers_to").alias("record_id")).agg(F.count(F.lit(1)).alias("_n"))
+    original = joined.filter(F.col("type") == "response").drop("refers_to").join(wanted, "record_id")
+    held = F.struct("capture.payload_bytes", "capture.payload_digest", F.element_at("metadata.fields", "page-id").alias("page_id"))
+    original = materialize(original.groupBy(F.col("record_id").alias("refers_to")).agg(F.min(held).alias("original"), F.max("_n").alias("_n")), "warc-originals")
+    responses = joined.filter(F.col("type") == "response").withColumn("original", nothing).select(*kept)
+    revisits = joined.filter(F.col("type") == "revisit")
+    return responses.unionByName(join_counted(revisits, original, ["refers_to"], records.count(), "left").select(*kept))
 
 
 def captures(pages: DataFrame, least: int = LEAST) -> DataFrame:
