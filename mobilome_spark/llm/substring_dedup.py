@@ -1,201 +1,140 @@
 """Exact-substring dedup by Rabin-Karp hashes of every fixed-length word window.
 
-A polynomial rolling hash gives each window of ``WIDTH`` words 64 bits; a second
-polynomial picks the bucket that compares it with all windows of the same hash,
-so two windows count as equal if both agree. A bucket finds, for each hash, the
-smallest doc_id where it starts and marks the window in every larger document.
-Marked windows of a document merge into maximal intervals, which are removed.
-
-What travels is one packed row per (group of documents, bucket): sorted hashes
-as byte planes of their differences. Windows that a group of documents holds
-more than once are settled inside the group, so that a passage in very many
-documents sends one hash per group.
+A word counts by its 128-bit hash. The first half feeds a polynomial modulo the
+prime 2**61 - 1 over the words of a window, the second half another one modulo
+2**64; 61 bits of the one and 19 of the other stand for the window, so that two
+different windows meet with a chance of 2**-80. Spark groups equal windows and
+marks each that also starts in a document with a smaller doc_id. Marked windows
+of a document merge into maximal intervals, which are removed.
+
+A row is sent for each window, whatever the size of the corpus. A group of
+documents (``GROUP_BYTES``) settles what it holds more than once by itself, so
+that a passage in very many documents sends one row per group to the task that
+compares it, and the settled rows go elsewhere.
 """
 
 from __future__ import annotations
 
-import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mobilome_spark.llm.common import byte_column, groups_of_rows, word_spans
-from mobilome_spark.llm.cuckoo import mix
+from mobilome_spark.llm.common import byte_column, groups_of_rows
 
 WIDTH = 13
-#: Bytes of text per bucket aimed at, per group of documents, and per step of the word hash.
-BUCKET_BYTES, GROUP_BYTES, STEP = 12 << 20, 4 << 20, 1 << 20
-_MASK = (1 << 64) - 1
-#: Odd multipliers: of bytes in a word, of words in a window (two polynomials).
-_BASES = (0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+#: Bytes of text per group of documents, words whose hashes a task remembers, windows hashed at a time.
+GROUP_BYTES, MEMORY, STEP = 4 << 20, 1 << 20, 1 << 15
+#: The prime of the first polynomial, its base (below 2**31) and the second one's.
+PRIME, BASE, ODD = (1 << 61) - 1, 0x5DEECE67, 0xD1342543DE82EF95
+#: Bits of the second polynomial: three fill up the first number, the others are sent beside it.
+SHORT = 16
 _NO_ID = (1 << 63) - 1
-_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, kept for reuse."""
-    held = _powers.get(base)
-    if held is None or len(held) < n:
-        held = np.full(max(n, 1 << 16), base, np.uint64)
-        held[0] = 1
-        held = _powers[base] = np.multiply.accumulate(held)
-    return held[:n]
-
-
-def _inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; equal words have equal hashes wherever they stand."""
-    out, base = np.zeros(len(starts), np.uint64), _BASES[0]
-    first = 0
-    while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + STEP, "right")))
-        a, b = int(starts[first]), int(ends[last - 1])
-        if b - a > STEP:  # one word longer than a step
-            out[first] = xxhash.xxh64_intdigest(data[a:b].tobytes())
-        else:
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(_LETTERS[data[a:b]] * powers(base, b - a), out=sums[1:])
-            at = starts[first:last] - a
-            out[first:last] = (sums[ends[first:last] - a] - sums[at]) * powers(_inverse(base), b - a)[at]
-        first = last
-    return mix(out + (ends - starts).astype(np.uint64))
-
-
-def window_hashes(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position of first word, hash, second hash) of the windows that stay in one row."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    at = np.flatnonzero(rows[:n] == rows[width - 1 :])
-    out = [at]
-    for base in _BASES[1:]:
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * powers(base, len(words)), out=sums[1:])
-        out.append(mix((sums[at + width] - sums[at]) * powers(_inverse(base), n)[at]))
-    return tuple(out)
-
-
-def windows_of(data: np.ndarray, offsets: np.ndarray, width: int):
-    starts, ends, rows = word_spans(data, offsets)
-    return (starts, ends, rows, *window_hashes(word_hashes(data, starts, ends), rows, width))
-
-
-def _planes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
-
-
-def _values(planes: bytes, dtype: str, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(-1, n).T).view(dtype).ravel()
-
-
-def encode(hashes: np.ndarray, docs: np.ndarray) -> bytes:
-    """Pack (hash, doc_id) pairs that are sorted by hash."""
-    known, which = np.unique(docs, return_inverse=True)
-    kind = "<u2" if len(known) <= 1 << 16 else "<u4"
-    steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8")
-    body = struct.pack("<II", len(hashes), len(known)) + _planes(np.diff(known, prepend=0).astype("<i8")) + _planes(steps) + _planes(which.ravel().astype(kind))
-    return zstandard.compress(body, 1)
-
-
-def decode(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    body = zstandard.decompress(blob)
-    n, k = struct.unpack_from("<II", body)
-    at = 8 + 8 * k
-    known = np.cumsum(_values(body[8:at], "<i8", k))
-    hashes = np.cumsum(_values(body[at : at + 8 * n], "<u8", n), dtype=np.uint64)
-    return hashes, known[_values(body[at + 8 * n :], "<u2" if k <= 1 << 16 else "<u4", n)]
-
-
-def _sent(rows: DataFrame, buckets: int, width: int) -> DataFrame:
-    """(bucket, settled, data): packed windows; settled ones are already known to repeat."""
+_P, _LOW30, _LOW31 = np.uint64(PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+
+
+class Words(dict):
+    """Numbers words as they come and keeps both halves of their 128-bit hashes."""
+
+    def __init__(self):
+        self.first, self.second = array("Q"), array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        both = xxhash.xxh3_128_intdigest(word)
+        self[word] = n = len(self.first)
+        self.first.append((both >> 64) % PRIME)
+        self.second.append(both & 0xFFFFFFFFFFFFFFFF)
+        return n
+
+    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        # copies, so that the arrays may grow afterwards
+        out = np.array(self.first, np.uint64)[at], np.array(self.second, np.uint64)[at]
+        if len(self.first) > MEMORY:
+            self.clear()
+            self.first, self.second = array("Q"), array("Q")
+        return out
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Values below 2**64 modulo the prime."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times_base(x: np.ndarray) -> np.ndarray:
+    """x * BASE modulo the prime, for x below it."""
+    high = _folded((x >> np.uint64(30)) * np.uint64(BASE))  # below 2**62
+    high = ((high & _LOW31) << np.uint64(30)) + (high >> np.uint64(31))  # times 2**30
+    return _folded(high + (x & _LOW30) * np.uint64(BASE))
+
+
+def window_hashes(first: np.ndarray, second: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, short hash) of the windows that start at each word but the last width - 1."""
+    n = len(first) - width + 1
+    long, short = np.zeros(max(0, n), np.uint64), np.zeros(max(0, n), np.uint64)
+    for a in range(0, n, STEP):
+        b = min(n, a + STEP)
+        h, g = first[a:b], second[a:b].copy()
+        for k in range(1, width):
+            h = _folded(times_base(h) + first[a + k : b + k])
+            g = g * np.uint64(ODD) + second[a + k : b + k]
+        g ^= g >> np.uint64(32)
+        g *= np.uint64(0x9E3779B97F4A7C15)
+        long[a:b] = h | (g >> np.uint64(61)) << np.uint64(61)
+        short[a:b] = (g >> np.uint64(61 - SHORT)) & np.uint64((1 << SHORT) - 1)
+    return long, short
+
+
+def _emitted(rows: DataFrame, width: int) -> DataFrame:
+    """(h, k, d): a row for each window of a document; ``k`` holds the short hash
+    and, where the group has settled that the window repeats, more bits above it."""
 
     def emit(batches):
+        words = Words()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = byte_column(batch.column(1))
+            _, offsets = byte_column(batch.column(1))
+            texts = batch.column(1)
             for first, last in groups_of_rows(offsets, GROUP_BYTES):
-                off = offsets[first : last + 1]
-                _, _, row, at, h, h2 = windows_of(data[off[0] : off[-1]], off - off[0], width)
-                if not len(at):
+                found = []
+                for row in range(first, last):
+                    own = texts[row].as_py().split()
+                    if len(own) >= width:
+                        h, g = window_hashes(*words.hashes(own), width)
+                        found.append((h, g, np.full(len(h), ids[row], np.int64)))
+                if not found:
                     continue
-                doc, bucket = ids[first:last][row[at]], (h2 % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((doc, h, bucket))
-                doc, h, bucket = doc[order], h[order], bucket[order]
-                fresh = np.ones(len(h), bool)  # the first of each (bucket, hash), which has the smallest document
-                fresh[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
+                h, g, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((doc, g, h))
+                h, g, doc = h[order], g[order], doc[order]
+                fresh = np.ones(len(h), bool)  # the first of each window, which has the smallest document
+                fresh[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
                 least = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
                 again = ~fresh & (doc > least)
-                again[1:] &= ~((doc[1:] == doc[:-1]) & (h[1:] == h[:-1]) & again[:-1])
-                out = ([], [], [])
-                for settled, own in ((False, np.flatnonzero(fresh)), (True, np.flatnonzero(again))):
-                    edges = np.searchsorted(bucket[own], np.arange(buckets + 1))
-                    for b in np.flatnonzero(np.diff(edges)).tolist():
-                        part = own[edges[b] : edges[b + 1]]
-                        # settled windows only pass through: they are dealt out evenly
-                        for held, x in zip(out, ((b + int(doc[part[0]])) % buckets if settled else b, settled, encode(h[part], doc[part])), strict=True):
-                            held.append(x)
-                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary())], ["bucket", "settled", "data"])
-
-    return rows.mapInArrow(emit, "bucket bigint, settled boolean, data binary")
-
-
-def _pairs(blobs) -> tuple[np.ndarray, np.ndarray]:
-    found = [decode(b) for b in blobs]
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def _judge(parts: int):
-    """(part, data): the windows of a bucket that start in a smaller document too,
-    packed by the part of the documents that they belong to."""
-
-    def judge(table: pa.Table) -> pa.Table:
-        settled = table.column("settled").to_numpy()
-        blobs = table.column("data").to_pylist()
-        h, d = _pairs(b for b, s in zip(blobs, settled, strict=True) if not s)
-        if len(h):
-            order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            again = d > np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(h))))
-            h, d = h[again], d[again]
-        more_h, more_d = _pairs(b for b, s in zip(blobs, settled, strict=True) if s)
-        h, d = np.concatenate([h, more_h]), np.concatenate([d, more_d])
-        part = (mix(d.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((h, part))
-        h, d, edges = h[order], d[order], np.searchsorted(part[order], np.arange(parts + 1))
-        own = np.flatnonzero(np.diff(edges))
-        return pa.table({"part": pa.array(own, pa.int64()), "data": pa.array([encode(h[edges[p] : edges[p + 1]], d[edges[p] : edges[p + 1]]) for p in own], pa.binary())})
-
-    return judge
-
-
-def _by_document(table: pa.Table) -> pa.Table:
-    """(_id, hashes): a row for each document of a part that has marked windows."""
-    h, d = _pairs(table.column("data").to_pylist())
-    order = np.argsort(d, kind="stable")
-    h, d = h[order], d[order]
-    edges = np.append(np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])), len(d)) if len(d) else np.zeros(1, np.int64)
-    hashes = [h[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return pa.table({"_id": pa.array(d[edges[:-1]], pa.int64()), "hashes": pa.array(hashes, pa.binary())})
+                again[1:] &= doc[1:] != doc[:-1]  # once for each document
+                # settled rows only pass through: the document's bits deal them out evenly
+                g = g.astype(np.int64)
+                g[again] |= (1 << SHORT) | (doc[again] & ((1 << 40) - 1)) << (SHORT + 1)
+                sent = np.flatnonzero(fresh | again)
+                sent = sent[np.argsort(doc[sent], kind="stable")]  # equal doc_ids stand together: the shuffle packs them better
+                yield pa.record_batch([pa.array(h[sent].view(np.int64)), pa.array(g[sent]), pa.array(doc[sent])], ["h", "k", "d"])
+
+    return rows.mapInArrow(emit, "h bigint, k bigint, d bigint")
 
 
 def repeated_windows(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(_id, hashes): per document the hashes of its repeated windows, 8 bytes each."""
+    """(_id, windows): per document the (h, g) hashes of its windows that start in a smaller one too."""
     rows = documents.select(F.coalesce("doc_id", F.lit(_NO_ID)).cast("bigint").alias("_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-size // BUCKET_BYTES))
-    marked = _sent(rows, buckets, width).groupBy("bucket").applyInArrow(_judge(buckets), "part bigint, data binary")
-    return marked.groupBy("part").applyInArrow(_by_document, "_id bigint, hashes binary")
+    least = F.min("d").over(Window.partitionBy("h", "k"))
+    settled = F.shiftright("k", SHORT) != 0
+    marked = _emitted(rows, width).withColumn("_least", least).filter(settled | (F.col("d") > F.col("_least")))
+    window = F.struct("h", F.col("k").bitwiseAND((1 << SHORT) - 1).cast("int").alias("g"))
+    return marked.groupBy(F.col("d").alias("_id")).agg(F.collect_set(window).alias("windows"))
 
 
 def substring_dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -215,25 +154,25 @@ def substring_dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     def squeeze(batches):
         press = zstandard.ZstdCompressor(3).compress
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([press(t.as_py()) for t in batch.column(1)], pa.binary())], ["doc_id", "packed"])
+            yield pa.record_batch([*batch.columns[:2], pa.array([press(t.as_py()) for t in batch.column(2)], pa.binary())], ["doc_id", "_key", "packed"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     # the text travels packed: half of the bytes that a shuffle would otherwise write
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(squeeze, f"doc_id {kind}, packed binary")
-    joined = texts.join(marked, F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("bigint") == F.col("_id"), "left").select("doc_id", "packed", "hashes")
+    texts = documents.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).cast("bigint").alias("_key"), F.coalesce("text", F.lit("")).cast("binary"))
+    texts = texts.mapInArrow(squeeze, f"doc_id {kind}, _key bigint, packed binary")
+    joined = texts.join(marked, F.col("_key") == F.col("_id"), "left").select("doc_id", "packed", F.col("windows.h").alias("h"), F.col("windows.g").alias("g"))
 
     def remove(batches):
-        open_ = zstandard.ZstdDecompressor().decompress
+        open_, memory = zstandard.ZstdDecompressor().decompress, Words()
         for batch in batches:
             words_n, removed, kept, spans = [], [], [], []
-            for packed, lost in zip(batch.column(1), batch.column(2), strict=True):
+            for packed, h, g in zip(*batch.columns[1:], strict=True):
                 text = open_(packed.as_py())
                 words = text.split()
                 gone = np.zeros(len(words), bool)
-                if lost.is_valid:
-                    data = np.frombuffer(text, np.uint8)
-                    *_, at, h, _ = windows_of(data, np.array([0, len(data)]), width)
-                    hit = at[np.isin(h, np.frombuffer(lost.as_py(), np.uint64))]
+                if h.is_valid and len(words) >= width:
+                    long, short = window_hashes(*memory.hashes(words), width)
+                    hit = _members(long, short, h.values.to_numpy().view(np.uint64), g.values.to_numpy())
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, hit, 1)
                     np.add.at(edge, hit + width, -1)
@@ -248,3 +187,12 @@ def substring_dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
     out = joined.mapInArrow(remove, f"doc_id {kind}, n_words bigint, n_removed bigint, kept binary, intervals array<struct<from:bigint,to:bigint>>")
     return out.withColumn("kept", F.col("kept").cast("string"))
+
+
+def _members(long: np.ndarray, short: np.ndarray, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Positions of the windows whose two hashes are both among the pairs (h, g)."""
+    kind = np.dtype([("h", np.uint64), ("g", np.uint64)])
+    own, lost = np.empty(len(long), kind), np.empty(len(h), kind)
+    own["h"], own["g"], lost["h"], lost["g"] = long, short, h, g.astype(np.uint64)
+    at = np.flatnonzero(np.isin(long, h))
+    return at[np.isin(own[at], lost)]
