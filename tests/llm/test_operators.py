@@ -80,6 +80,28 @@ def test_line_index_is_reversible(spark, docs):
     assert before > 0 and dropped() == 0
     index.insert(gone)
     assert dropped() == before
+    again = LineIndex.open(spark, index.folder)  # from the folder alone
+    assert sum(r._n_dropped for r in again.clean(docs).collect()) == before
+    again.delete(docs.filter("doc_id = -5"))
+    assert sum(r._n_dropped for r in again.clean(docs).collect()) == before
+    new = LineIndex(spark)
+    assert new.delete(docs).counts().count() == 0 and sum(r._n_dropped for r in new.clean(docs).collect()) == 0
+
+
+def test_line_counts_after_changes(spark, docs, monkeypatch):
+    from mobilome_spark.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    monkeypatch.setattr(line_dedup, "ASKED", 4)  # several shards and parts
+    monkeypatch.setattr(line_dedup, "RUNS", 1)
+    some, rest = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1 or doc_id is null")
+    index = line_dedup.LineIndex(spark, min_docs=2, min_length=5).insert(some).insert(rest)
+    whole = line_dedup.LineIndex(spark, min_docs=2, min_length=5).insert(docs)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(index.frequent) == rows(whole.frequent) and index.state["shards"] > 1
+    assert sorted(map(repr, index.clean(docs).collect())) == sorted(map(repr, whole.clean(docs).collect()))
+    index.delete(rest)
+    assert rows(index.frequent) == rows(line_dedup.LineIndex(spark, min_docs=2, min_length=5).insert(some).frequent)
 
 
 def test_cuckoo_filter():
@@ -148,6 +170,16 @@ def test_substring_dedup(docs, corpus, empty):
     assert substring_dedup(empty).count() == 0
 
 
+def test_substring_dedup_of_words_that_sum_alike(spark):
+    from mobilome_spark.llm.substring_dedup import substring_dedup
+
+    # Thue-Morse words and their complements: sums of powers modulo 2**64 can't tell them apart
+    word = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, " ".join([word] * 13)), (2, " ".join([other] * 13)), (3, " ".join([other] * 14))], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substring_dedup(docs).collect()) == [(1, 0), (2, 0), (3, 14)]
+
+
 def test_toxicity(spark, docs, empty):
     from mobilome_spark.llm.toxicity import toxicity
 
