@@ -5,8 +5,9 @@ second person, capitals, punctuation and obfuscation rates. Besides a fixed
 lexicon there is one learned from labels: words and stems that toxic documents
 have far more often than others. Labels are learned from a bounded sample
 (``SAMPLE`` rows of each label) of the documents outside the held-out fold; one
-half of it teaches the lexicon, the rest the trees and their calibration, so
-that the trees see the lexicon as new texts do.
+half of it teaches the lexicon, the rest the trees, so that the trees see the
+lexicon as new texts do. Calibration is fitted on the scores that the rows of
+each third of that rest get from trees of the other two.
 """
 
 from __future__ import annotations
@@ -126,8 +127,8 @@ class Model:
 
 def _sampled(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
     """(text, toxic, part) of the sample, and the share of each label in it: at most ``SAMPLE`` rows of each label on
-    average of the hash, outside the held-out fold. Part 0 teaches the lexicon,
-    1 and 2 the trees, 3 the calibration."""
+    average of the hash, outside the held-out fold; of several rows of a doc_id the
+    smallest text. Part 0 teaches the lexicon, 1 to 3 are the thirds for the trees."""
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = {r.toxic: min(1.0, SAMPLE / r["count"]) for r in known.groupBy("toxic").count().collect()}
@@ -136,10 +137,11 @@ def _sampled(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[i
     for label, x in share.items():
         keep = keep | ((F.col("toxic") == label) & (place < x))
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(6))
-    part = F.when(part < 3, 0).when(part < 5, 1).otherwise(3)
+    part = F.greatest(part - 2, F.lit(0))
     # the ids are bounded by SAMPLE, so sending them spares the texts a shuffle
     chosen = F.broadcast(known.filter(keep).select("doc_id", "toxic", part.alias("part")))
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(chosen, "doc_id").select("text", "toxic", "part"), share
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(chosen, "doc_id")
+    return rows.groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text")).select("text", "toxic", "part"), share
 
 
 def _learn_terms(sample: DataFrame) -> dict[bytes, float]:
@@ -181,15 +183,17 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     # a sampled row stands for 1 / share rows, so that scores are chances among all labelled documents
     weight = np.array([1 / share[int(v)] for v in y])
     base = float(np.average(y, weights=weight)) if len(y) else 0.0
-    small = min((y == 0).sum(), (y == 1).sum()) < 200  # too few for three parts: all rows serve all purposes
-    trees_on, calibrate_on = (part >= 0, part >= 0) if small else (part == 1, part == 3)
-    if len(set(y[trees_on])) < 2 or len(set(y[calibrate_on])) < 2:
-        return Model(learned, None, None, base)
     x = np.array(held["x"].tolist()).reshape(len(y), len(NAMES))
-    order = np.lexsort((*x.T, y))  # the sample comes back in no fixed order
-    x, y, weight, trees_on, calibrate_on = x[order], y[order], weight[order], trees_on[order], calibrate_on[order]
-    trees = BoostedTrees().fit(x[trees_on], y[trees_on])
-    return Model(learned, trees, Isotonic().fit(trees.raw(x[calibrate_on]), y[calibrate_on], weight[calibrate_on]), base)
+    order = np.lexsort((*x.T, y, part))[(part == 0).sum() :]  # the sample comes back in no fixed order; part 0 stands first
+    x, y, weight, part = x[order], y[order], weight[order], part[order]
+    if len(set(y)) < 2:
+        return Model(learned, None, None, base)
+    raw = np.zeros(len(y))
+    for third in (1, 2, 3):
+        own = part == third
+        if own.any() and not own.all():
+            raw[own] = BoostedTrees().fit(x[~own], y[~own]).raw(x[own])
+    return Model(learned, BoostedTrees().fit(x, y), Isotonic().fit(raw, y, weight), base)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, model: Model | None = None, whole: bool = False) -> DataFrame:
@@ -219,5 +223,9 @@ def toxicity(documents: DataFrame, labels: DataFrame, model: Model | None = None
 
 
 def accepted_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents`` that are not predicted toxic, columns unchanged."""
+    """``documents`` that are not predicted toxic, columns unchanged.
+
+    Repeated rows stay or go alike; null and empty texts are scored like others;
+    without usable labels the base rate decides for all. No documents, no rows.
+    """
     return toxicity(documents, labels, whole=True).filter("predicted = 0").select("_row.*")
