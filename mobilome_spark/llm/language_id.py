@@ -7,7 +7,8 @@ weighted by how well its classifier does, is chosen. A choice that is hardly
 better than the second is flagged as ambiguous.
 
 The classifiers are fitted on a bounded sample: about ``SAMPLE`` documents of
-each language outside the held-out fold.
+each language outside the held-out fold, fewer where there are so many languages
+that ``TOTAL`` would be passed. A fifth of it weighs the bits and teaches nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from mobilome_spark.llm.common import materialize
 
 FOLDS, HELD_OUT, UNKNOWN = 5, 0, "und"
 #: Documents of each language, hashed n-gram classes, rounds of fitting, and the lead below which a choice is ambiguous.
-SAMPLE, SIZE, ROUNDS, LEAD = 600, 2048, 120, 0.2
+SAMPLE, TOTAL, SIZE, ROUNDS, LEAD = 750, 16_000, 2048, 120, 0.2
 #: Rows of ids or languages that may be sent to every task.
 MANY = 100_000
 _CLASS = np.full(256, 32, np.uint32)
@@ -74,22 +75,30 @@ class Model:
     """Languages, codewords, a linear classifier per bit and the weights of bits."""
 
     def fit(self, x: np.ndarray, languages: list[str]) -> Model:
+        """``x``: features, rows in a fixed order. Every fifth row weighs the bits only."""
         self.languages = sorted(set(languages))
         self.code = codewords(len(self.languages))
         place = {l: k for k, l in enumerate(self.languages)}
-        sign = self.code[[place[l] for l in languages]]
-        share = np.array([1 / languages.count(l) for l in self.languages])[[place[l] for l in languages]]
-        share = (share / share.sum())[:, None]
-        w = np.zeros((SIZE + 1, sign.shape[1]))
-        x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
-        ahead, step = w.copy(), 8.0
+        at = np.array([place[l] for l in languages])
+        weighs = np.arange(len(at)) % 5 == 4
+        counts = np.bincount(at[~weighs], minlength=len(self.languages))
+        weighs &= counts[at] > 0
+        sign, share = self.code[at], (1 / np.maximum(1, np.bincount(at)))[at]
+        teach, taught = x[~weighs].astype(np.float32), sign[~weighs]
+        part = (share[~weighs] / share[~weighs].sum())[:, None]
+        w, bias = np.zeros((SIZE, sign.shape[1])), np.zeros(sign.shape[1])
+        ahead, ahead_bias, step = w.copy(), bias.copy(), 8.0
         for t in range(ROUNDS):  # accelerated gradient descent on the mean logistic loss
-            margin = x @ ahead
-            new = ahead + step * (x.T @ (share * sign / (1 + np.exp(np.clip(sign * margin, -40, 40)))) - 1e-5 * ahead)
-            ahead, w = new + t / (t + 3) * (new - w), new
-        self.w = w
-        right = (np.sign(x @ w) == sign).astype(float)
-        weight = np.maximum((share * right).sum(axis=0) - 0.5, 0.01)
+            margin = teach @ ahead.astype(np.float32) + ahead_bias
+            pull = part * taught / (1 + np.exp(np.clip(taught * margin, -40, 40)))
+            new = ahead + step * (teach.T @ pull.astype(np.float32) - 1e-5 * ahead)
+            new_bias = ahead_bias + step * (pull.sum(axis=0) - 1e-5 * ahead_bias)
+            lead = t / (t + 3)
+            ahead, w, ahead_bias, bias = new + lead * (new - w), new, new_bias + lead * (new_bias - bias), new_bias
+        self.w = np.vstack([w, bias])
+        judge = weighs if weighs.any() else ~weighs
+        right = np.sign(x[judge] @ w + bias) == sign[judge]
+        weight = np.maximum((share[judge, None] * right).sum(axis=0) / share[judge].sum() - 0.5, 0.01)
         self.weight = weight / weight.sum()
         return self
 
@@ -111,10 +120,14 @@ def fit(documents: DataFrame) -> Model | None:
     known = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold != HELD_OUT))
     counts = known.groupBy("lang").count()
     place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    share = counts.select(F.col("lang"), (F.lit(float(SAMPLE)) / F.col("count")).alias("_share"))
-    ids = materialize(known.select("doc_id", "lang").join(F.broadcast(share) if counts.count() <= MANY else share, "lang").filter(place < F.col("_share")).select("doc_id").distinct(), "language-sample")
+    languages = counts.count()
+    each = min(float(SAMPLE), TOTAL / max(1, languages))
+    share = counts.select(F.col("lang"), (F.lit(each) / F.col("count")).alias("_share"))
+    ids = materialize(known.select("doc_id", "lang").join(F.broadcast(share) if languages <= MANY else share, "lang").filter(place < F.col("_share")).select("doc_id").distinct(), "language-sample")
     # a small sample goes to the texts; otherwise Spark chooses how to join
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids) if ids.count() <= MANY else ids, "doc_id")
+    # a doc_id teaches once, however many rows it has
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("_row")).select("_row.*")
 
     def dense(batches):
         for batch in batches:
