@@ -270,10 +270,13 @@ def test_encoder_equals_tokenizers():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from mobilome_spark.llm.packing import encoder
+    from mobilome_spark.llm.packing import encoder, ranked_vocabulary
 
     path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(3)
-    t, encode = Tokenizer.from_file(path), encoder(path)
+    ranked = ranked_vocabulary(path)
+    assert ranked is not None
+    t, encode = Tokenizer.from_file(path), encoder(path, ranked)
+    assert list(encoder(path, None)("a bc")) == list(encode("a bc"))
     odd = ["", "I'LL it's x", "a<|endoftext|>b", "　\x85 \n\n x ", "é" * 300]
     odd += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x2FFF), 10, 32, 0x1F600])) for _ in range(50)) for _ in range(300)]
     assert all(t.encode(x, add_special_tokens=False).ids == list(encode(x)) for x in odd)
