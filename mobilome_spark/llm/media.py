@@ -1,14 +1,15 @@
 """Media columns: texts stored as AVI motion-JPEG, read back and cut into shots.
 
 ``encode`` turns each text into a media column; ``clips`` parses that column's
-RIFF index, decodes the frames and finds shots: a frame starts a new shot where
-its histogram differs from the one before by more than the mean and two
+RIFF index, decodes the frames to luma samples and finds shots: a frame starts a
+new shot where its histogram differs from the one before by more than the mean and two
 deviations of the differences so far (and at least ``FLOOR``).
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -40,13 +41,10 @@ def encode(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(store, f"doc_id {kind}, media binary")
 
 
-def histograms(frames: list[np.ndarray]) -> np.ndarray:
-    """(frames, BINS) shares of coefficient values."""
-    out = []
-    for f in frames:
-        held = np.bincount(((f.ravel().astype(np.int32) + 256) * BINS) >> 9, minlength=BINS)[:BINS]
-        out.append(held / max(1, held.sum()))
-    return np.array(out).reshape(len(frames), BINS)
+def histograms(planes: list[np.ndarray]) -> np.ndarray:
+    """(frames, BINS) shares of luma values."""
+    out = [np.bincount(p.ravel() >> 3, minlength=BINS) / max(1, p.size) for p in planes]
+    return np.array(out).reshape(len(planes), BINS)
 
 
 def shots(hist: np.ndarray) -> list[tuple[int, int]]:
@@ -62,15 +60,16 @@ def shots(hist: np.ndarray) -> list[tuple[int, int]]:
 
 
 def read(media: bytes) -> tuple[bytes, int, list[dict], np.ndarray]:
-    """(payload, unpadded length, clips, mean histogram) of a stored file."""
+    """(payload, unpadded length, clips, mean histogram) of a stored file; what is not one raises ValueError."""
     held = avi.parse(media)
-    frames = [avi.decode_frame(f) for f in held["frames"]]
-    values = np.concatenate([f.ravel() for f in frames]) if frames else np.zeros(0, np.int16)
+    frames = [avi.parse_frame(f) for f in held["frames"]]
+    values = np.concatenate([f.parts[0].blocks.ravel() for f in frames]) if frames else np.zeros(0, np.int16)
     payload = np.where(values > 0, values, values + 255).astype(np.uint8).tobytes()
     size = held["payload_bytes"] if held["payload_bytes"] is not None else len(payload)
-    hist = histograms(frames)
+    planes = [avi.pixels(f) for f in frames]
+    hist = histograms(planes)
     clips = [
-        {"clip": k, "from_frame": a, "to_frame": b, "from_s": a / held["rate"], "to_s": b / held["rate"], "mean": float(np.mean([f.mean() for f in frames[a:b]]))}
+        {"clip": k, "from_frame": a, "to_frame": b, "from_s": a / held["rate"], "to_s": b / held["rate"], "mean": float(np.mean([p.mean() for p in planes[a:b]]))}
         for k, (a, b) in enumerate(shots(hist))
     ]
     return payload[:size], held["n_bytes"] if held["n_bytes"] is not None else size, clips, hist.mean(axis=0) if len(hist) else np.zeros(BINS)
@@ -82,8 +81,11 @@ CLIP = "struct<clip:bigint,from_frame:bigint,to_frame:bigint,from_s:double,to_s:
 def decode(media: DataFrame) -> DataFrame:
     """One row per file: its payload's digests, its own, its clips and a feature.
 
-    ``feature`` lists frames, clips and the mean histogram of coefficients in
-    thousandths, so equal files have equal features.
+    ``feature`` lists frames, clips and the mean histogram of luma in thousandths,
+    so equal files have equal features. Of a file that can't be read the figures
+    of its payload and ``feature`` are null and it has no clips; of a null one
+    ``media_bytes`` and ``media_sha256`` are null too. Repeated rows come back as
+    they are; an empty table gives no rows.
     """
     kinds = pa.list_(pa.struct([("clip", pa.int64()), ("from_frame", pa.int64()), ("to_frame", pa.int64()), ("from_s", pa.float64()), ("to_s", pa.float64()), ("mean", pa.float64())]))
 
@@ -92,7 +94,12 @@ def decode(media: DataFrame) -> DataFrame:
             out = []
             for m in batch.column(1):
                 stored = m.as_py()
-                payload, n, clips, hist = read(stored)
+                try:
+                    payload, n, clips, hist = read(stored or b"")
+                except (ValueError, struct.error):
+                    own = (None, None) if stored is None else (len(stored), hashlib.sha256(stored).hexdigest())
+                    out.append((None, None, None, None, *own, None, []))
+                    continue
                 frames = clips[-1]["to_frame"] if clips else 0
                 feature = f"{frames}:{len(clips)}:" + ",".join(str(x) for x in np.round(hist * 1000).astype(int).tolist())
                 out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, clips))

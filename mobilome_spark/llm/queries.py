@@ -124,7 +124,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mobilome_spark.llm.media import media_columns
 
-    return media_columns(read_table(spark, sf_dir, "documents")).drop("clips")
+    # the timed clips go along as text
+    return media_columns(read_table(spark, sf_dir, "documents")).withColumn("clips", F.to_json("clips"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

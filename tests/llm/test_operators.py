@@ -305,12 +305,37 @@ def test_media(docs, corpus, empty):
         payload, n, _, _ = media.read(avi.encode(media.pad(body), len(body)))
         assert payload == media.pad(body) and n == len(body)
     rng = np.random.default_rng(0)
-    blocks = rng.integers(-200, 200, (12, 64)) * (rng.random((12, 64)) < 0.3)
-    assert (avi.decode_frame(avi.encode_coefficients(blocks, 32, 24)) == blocks).all()
+    few = lambda *shape: rng.integers(-200, 200, (*shape, 64)) * (rng.random((*shape, 64)) < 0.3)
+    blocks = few(3, 4)
+    assert (avi.decode_frame(avi.encode_coefficients([(1, 1, blocks)], 32, 24)) == blocks.reshape(-1, 64)).all()
+    for usual in (False, True):  # luma at twice the resolution of two colours
+        parts = [(2, 2, few(4, 6)), (1, 1, few(2, 3)), (1, 1, few(2, 3))]
+        frame = avi.parse_frame(avi.encode_coefficients(parts, 44, 30, 3, usual))
+        assert all((p.blocks == want).all() for p, (_, _, want) in zip(frame.parts, parts, strict=True))
+        assert avi.pixels(frame).shape == (30, 44) and avi.pixels(frame, 2).shape == (15, 22)
+    # the inverse transform against its definition
+    c = [np.sqrt(0.5) if k == 0 else 1.0 for k in range(8)]
+    plain = np.zeros(64)
+    plain[avi.ZIGZAG] = parts[0][2][0, 0] * 3
+    for x, y in ((0, 0), (3, 7), (6, 2)):
+        want = sum(c[u] * c[v] / 4 * plain[8 * u + v] * np.cos((2 * x + 1) * u * np.pi / 16) * np.cos((2 * y + 1) * v * np.pi / 16) for u in range(8) for v in range(8)) + 128
+        assert abs(int(avi.pixels(frame)[x, y]) - min(255, max(0, want))) <= 1
     assert [a for a, _ in media.shots(np.repeat(np.eye(32)[[0, 5]], 4, axis=0))] == [0, 4]
+    odd = [(1, None), (2, b""), (3, b"RIFF"), (4, avi.encode(media.pad(b"abc"), 3)[:-40]), (5, avi.encode(media.pad(b"abc"), 3))]
+    read = {r.doc_id: r for r in media.decode(docs.sparkSession.createDataFrame(odd, "doc_id bigint, media binary")).collect()}
+    assert [read[k].n_bytes for k in range(1, 6)] == [None, None, None, None, 3] and [read[k].media_bytes for k in (1, 2, 3)] == [None, 0, 4] and len(read[5].clips) == 1
     got = media.media_columns(docs).collect()
     want = sorted((i is None, i or 0, len((t or "").encode()), hashlib.sha256(media.pad((t or "").encode())).hexdigest()) for i, t in corpus)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.payload_sha256) for r in got) == want
+    import zlib
+
+    texts = {hashlib.sha256(media.pad((t or "").encode())).hexdigest(): (t or "").encode() for _, t in corpus}
+    for r in got:
+        stored = avi.encode(media.pad(texts[r.payload_sha256]), len(texts[r.payload_sha256]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert (r.payload_bytes, r.tail_crc32) == (len(media.pad(texts[r.payload_sha256])), zlib.crc32(media.pad(texts[r.payload_sha256])[-64:]))
+        assert r.feature.startswith(f"{r.clips[-1].to_frame}:{len(r.clips)}:") and r.clips[0].from_frame == 0
+    assert len({(r.payload_sha256, r.n_bytes, r.feature) for r in got}) == len({(r.payload_sha256, r.n_bytes) for r in got})
     assert media.media_columns(empty).count() == 0
 
 
