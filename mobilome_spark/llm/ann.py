@@ -4,15 +4,17 @@ Vectors are scaled and given one more component so that the largest inner
 product becomes the smallest distance. A table hashes a vector by K Gaussian
 projections cut into cells of width W. A query visits the buckets of each table
 in the order of the estimated chance that a neighbour at distance R lies there,
-until those chances add up to ``SUCCESS``; R is the query's own, from a bounded
-sample of the vectors. What
+until those chances add up to ``SUCCESS`` and the buckets hold as many vectors as
+are asked for; R is the query's own, from a bounded sample of the vectors. What
 the tables yield is merged and ranked by exact inner products in double
 precision.
 
 Equal vectors are searched once: of each distinct vector the ``k + 1`` smallest
 ids are all that a result can show. Projections beyond ``EDGE`` cells share the
-outermost cell, so a table has at most (2 * EDGE) ** K buckets whatever the
-input; a bucket with many vectors is spread over several shards.
+outermost cell, so a table has (2 * EDGE) ** K buckets at most. K grows with the
+number of vectors, so that buckets stay small (``BUCKET``), up to ``MOST_K``: the
+table of bucket sizes, which the driver holds, has a fixed bound. A bucket with
+many vectors is spread over several shards.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from mobilome_spark.llm.common import materialize
 
-#: Tables, projections of each, cell width (a unit vector's projection has deviation 1), cells to either side.
-TABLES, K, WIDTH, EDGE = 2, 4, 1.4, 3
+#: Tables, fewest and most projections of each, cell width (a unit vector's projection has deviation 1), cells to either side.
+TABLES, K, MOST_K, WIDTH, EDGE = 2, 4, 6, 1.4, 3
+#: Vectors that a bucket should have at most, on average over all that there may be.
+BUCKET = 160
 #: Chance to reach for one table; two tables miss only what both miss.
 SUCCESS = 0.84
 #: Vectors, about, of the sample that neighbour distances are taken from.
@@ -34,6 +38,14 @@ SAMPLE = 20_000
 SHARD, BLOCK = 8192, 50_000
 
 
+def projections(n: int) -> int:
+    """Projections of a table for ``n`` vectors."""
+    k = K
+    while k < MOST_K and n > BUCKET * (2 * EDGE) ** k:
+        k += 1
+    return k
+
+
 class Hashing:
     """The tables' projections for vectors of one length; the same for the same length."""
 
@@ -107,7 +119,7 @@ def _search_dim(classes: DataFrame, queries: DataFrame, dim: int, k: int) -> Dat
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     total = classes.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).first()
     n, longest = total["n"], total["m"]
-    hashing = Hashing(dim)
+    hashing = Hashing(dim, k=projections(n))
     sampled = F.pmod(F.xxhash64("cid"), F.lit(max(1, -(-n // SAMPLE)))) == 0
     known = _matrix(classes.filter(sampled).select("embedding").limit(2 * SAMPLE).toArrow().column("embedding"))
     known = known.astype(np.float32)  # goes to the tasks
@@ -139,9 +151,10 @@ def _search_dim(classes: DataFrame, queries: DataFrame, dim: int, k: int) -> Dat
     split = np.ones(TABLES * width, np.int64)
     for (t, b), p in parts.items():
         split[t * width + b] = p
-    present = np.zeros((TABLES, width), bool)
-    for t, b in sizes:
-        present[t, b] = True
+    held_by = np.zeros((TABLES, width), np.int64)
+    for (t, b), c in sizes.items():
+        held_by[t, b] = c
+    step = max(16, 512 * 6**K // width)
     blocks = max(1, -(-queries.count() // BLOCK))
 
     def shard_of(key, salt):
@@ -165,16 +178,18 @@ def _search_dim(classes: DataFrame, queries: DataFrame, dim: int, k: int) -> Dat
 
     def probe(batches):
         for batch in batches:
-            for first in range(0, len(batch), 512):
-                part = batch.slice(first, 512)
+            for first in range(0, len(batch), step):
+                part = batch.slice(first, step)
                 qid, x = part.column(0).to_numpy(), _matrix(part.column(1))
                 q, reach, visit = _as_query(x), reaches(x), np.zeros((len(x), TABLES * width), bool)
                 for t in range(TABLES):
-                    chance = np.where(present[t], hashing.chances(q, t, reach), -1.0)
+                    chance = np.where(held_by[t] > 0, hashing.chances(q, t, reach), -1.0)
                     order = np.argsort(-chance, axis=1, kind="stable")
-                    sure = np.cumsum(np.maximum(0, np.take_along_axis(chance, order, axis=1)), axis=1)
+                    each_ = np.take_along_axis(chance, order, axis=1)
+                    sure = np.cumsum(np.maximum(0, each_), axis=1)
                     want = np.minimum(SUCCESS, sure[:, -1:] - 1e-12)  # empty buckets hold no neighbours
-                    need = (sure - np.maximum(0, np.take_along_axis(chance, order, axis=1)) < want) & (np.take_along_axis(chance, order, axis=1) >= 0)
+                    many = np.cumsum(held_by[t][order], axis=1) - held_by[t][order]
+                    need = ((sure - np.maximum(0, each_) < want) | (many < k)) & (each_ >= 0)
                     rows = np.zeros_like(need)
                     np.put_along_axis(rows, order, need, axis=1)
                     visit[:, t * width : (t + 1) * width] = rows

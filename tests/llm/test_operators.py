@@ -217,6 +217,23 @@ def test_neighbours(spark):
         assert all(abs(s[v] - score) < 1e-9 for _, v, score in found[q])
     assert np.mean(hits) >= 0.9 and not {400, 420, 440, 460, 480, 500} & set(found)
     assert neighbours(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+    few = neighbours(spark.createDataFrame(rows[:18:1], "vec_id bigint, embedding array<float>")).collect()
+    assert sorted((r.query_id, r["rank"]) for r in few) == [(0, k) for k in range(1, 18)]  # all candidates
+
+
+def test_neighbours_with_more_projections(spark, monkeypatch):
+    from mobilome_spark.llm import ann
+
+    monkeypatch.setattr(ann, "BUCKET", 0.1)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    assert ann.projections(400) == 5
+    found = {}
+    for r in ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(s, -np.inf)
+    assert np.mean([len(found[q] & set(np.argsort(-s[q])[:20].tolist())) / 20 for q in range(0, 400, 20)]) >= 0.9
 
 
 def test_mixing(docs, corpus, empty):
