@@ -149,7 +149,13 @@ def test_components_follow_long_chains(spark):
     assert got == {**dict.fromkeys(range(201), 0), 900: 900, 901: 900}
 
 
-def test_substring_dedup(docs, corpus, empty):
+@pytest.mark.parametrize("most", [4096, 2])  # 2: packed twice
+def test_substring_dedup(docs, corpus, empty, monkeypatch, most):
+    from mobilome_spark.llm import substring_dedup as module
+
+    monkeypatch.setattr(module, "MOST_BUCKETS", most)
+    monkeypatch.setattr(module, "AGAIN", 50)
+    monkeypatch.setattr(module, "GROUP_BYTES", 4096)
     from mobilome_spark.llm.substring_dedup import substring_dedup
 
     split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in corpus]
