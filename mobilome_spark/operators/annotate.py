@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mobilome_spark.operators import breakpoints, calls, rules, support
+from mobilome_spark.operators import breakpoints, calls, refine, rules, support
 from mobilome_spark.operators.loci import KEY, SAMPLES
 from mobilome_spark.sources.scratch import written
 
@@ -54,12 +54,18 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.withColumns({"insertion_breakpoint_pos": F.col("_b.pos"), "insertion_breakpoint_source": F.col("_b.source")}).drop("_b")
 
 
-def annotate(loci: DataFrame, split: DataFrame, discordant: DataFrame, by: list[str] | None = None, blocks: DataFrame | None = None, full: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def annotate(
+    loci: DataFrame, split: DataFrame, discordant: DataFrame, by: list[str] | None = None, blocks: DataFrame | None = None, full: tuple[DataFrame, DataFrame] | None = None,
+    assembled: DataFrame | None = None, empirical: list[str] | None = None,
+) -> DataFrame:
     """Scored, staged and ranked loci; a locus without rows keeps zeros and stays bronze.
 
     With reference ``blocks`` duplications are also sought in and read from the
     reference, and breakpoints are matched with motifs. ``full``: the split and the
-    discordant rows aligned to the panel of full elements.
+    discordant rows aligned to the panel of full elements. ``assembled``: values of
+    local assemblies, which go before those of single reads. ``empirical``: columns of
+    ``loci`` with probabilities against a background, for the gold stage. Loci without
+    ``junk_flag_count`` count as flagged.
     """
     modes = {f"{s}_{k}_{t}_breakpoint_{m}": 0 for s in SAMPLES for k in "LR" for t in ("split", "poly") for m in ("mode", "support")}
     rescued = {f"{t}_{s}_poly_tail_rescued_unique_reads": 0 for t in ("split", "discordant") for s in SAMPLES}
@@ -83,5 +89,11 @@ def annotate(loci: DataFrame, split: DataFrame, discordant: DataFrame, by: list[
     left, right, width, tier, pos = rules.breakpoint_interval([f.cast("bigint") for f in found], F.col("insertion_breakpoint_pos"), F.col("window_start"), F.col("window_end"))
     prefix = "insertion_breakpoint_interval_"
     df = df.withColumns({f"{prefix}start": left, f"{prefix}end": right, f"{prefix}width_bp": width, f"{prefix}tier": tier, "insertion_breakpoint_pos": pos})
-    df = calls.model_scores(calls.event_labels(df))
-    return calls.prioritize(calls.allele_fractions(calls.gold_stage(calls.silver_stage(df))), by)
+    df = refine.local_support(df).withColumn("consistent_mei_family", refine.consistent_family())
+    if assembled is not None:
+        base = {"breakpoint_evidence_source": "", "tsd_seq": "", "tsd_len_estimate": 0, "poly_at_max_run": 0, "insertion_orientation": "", "insertion_mei_span": 0}
+        base |= {f"{s}_insertion_mei_{e}": 0 for s in SAMPLES for e in ("start", "end")}
+        df = refine.assembly_overrides(calls.conform(df, base), assembled)
+    # written once: the gold stage reads the silver one twice
+    silver = written(calls.silver_stage(calls.model_scores(calls.event_labels(df))), "locus-silver")
+    return calls.prioritize(calls.allele_fractions(calls.gold_stage(silver, empirical)), by)

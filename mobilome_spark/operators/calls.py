@@ -35,7 +35,9 @@ def conform(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 
 def locus_defaults() -> dict[str, object]:
-    """Every metric that the blocks read, with the value of a locus that lacks it."""
+    """Every metric that the blocks read, with the value of a locus that lacks it.
+
+    Fixed value: a locus whose tracks were not looked up counts as flagged (999)."""
     side = {
         "mei_supported_reads": 0, "mei_score_sum": 0.0, "mei_family": "", "mei_subfamily": "", "mei_strand": "", "mei_start": 0, "mei_end": 0, "mei_anchor_bp_max": 0, "mei_target_len": 0, "mei_subfamily_purity": 0.0, "mei_breakpoint_mode": 0,
         "mei_breakpoint_mode_fraction": 0.0, "poly_at_reads": 0, "poly_at_fraction": 0.0, "poly_at_max_run": 0, "clip_overlap_informative_reads": 0, "clip_overlap_jaccard_median": 0.0,
@@ -45,7 +47,7 @@ def locus_defaults() -> dict[str, object]:
         "left_target_pos_median": 0.0, "right_target_pos_median": 0.0, "two_sided_support": False, "geometry_consistent": False, "self_consistent": True,
     }
     anchor = {"unique_reads": 0, "complex_reason_max_fraction": 0.0}
-    out: dict[str, object] = {"junk_flag_count": 0, "tsd_detected": False, "tsd_seq": "", "tsd_poly_at_filter_applied": False, "breakpoint_l1_en_motif_like": False, "breakpoint_yyrrrr_logodds_shift1_mt_adj": 0.0}
+    out: dict[str, object] = {"junk_flag_count": 999, "tsd_detected": False, "tsd_seq": "", "tsd_poly_at_filter_applied": False, "breakpoint_l1_en_motif_like": False, "breakpoint_yyrrrr_logodds_shift1_mt_adj": 0.0}
     out |= {"insertion_breakpoint_pos": 0, "insertion_breakpoint_interval_width_bp": 0, "known_mei_polymorphism": False}
     for s in SAMPLES:
         out |= {f"{s}_{k}_{m}": v for k in SIDES for m, v in side.items()}

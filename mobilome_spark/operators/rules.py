@@ -55,16 +55,6 @@ def support_field(text: Column, name: str) -> Column:
     return F.coalesce(F.regexp_extract(text, f"(?:^|,){name}=([0-9]+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def stage(junk: Column, mei: Column, supported: Column, resolved: Column, consistent: Column, outlier: Column) -> tuple[Column, Column]:
-    """(stage, reasons): bronze for all, silver for clean and supported ones, gold
-    for silver that no background or depth test speaks against."""
-    silver = (junk == 0) & mei & (supported | resolved) & (consistent | resolved)
-    why = F.concat_ws(
-        ";", F.when(junk > 0, "junk_region_flagged"), F.when(~mei, "no_mei_support"), F.when(~(supported | resolved), "weak_support"), F.when(~(consistent | resolved), "inconsistent"), F.when(outlier, "depth_pileup_artifact")
-    )
-    return F.when(silver & ~outlier, "gold").when(silver, "silver").otherwise("bronze"), why
-
-
 def agreement(a: Column, b: Column) -> Column:
     """0 if both are empty, 1 if one is, else whether they are equal."""
     return F.when((a == "") & (b == ""), 0).when((a == "") | (b == ""), 1).otherwise((a == b).cast("int"))
@@ -79,12 +69,6 @@ def mei_family(text: Column, order: tuple[str, ...] = ("SVA", "ALU", "LINE1", "E
     return out.otherwise(other)
 
 
-def priority(split: Column, disc: Column, mapped: Column) -> Column:
-    """Heuristic score of a candidate, rounded to six places."""
-    total = F.nullif(split + disc, F.lit(0))
-    return F.round(0.50 * F.log1p(split) + 0.35 * F.log1p(disc) + 0.15 * F.coalesce(F.least(F.lit(1.0), mapped / total), F.lit(0.0)), 6)
-
-
 def cigar_events(cigar: Column, pos: Column) -> Column:
     """Insertions and deletions of a CIGAR text: array of (kind, len, ref_pos).
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mobilome_spark.functions import seq
 from mobilome_spark.operators import aggregates, cluster, intervals, loci, rules
-from mobilome_spark.plans import locus_queries
+from mobilome_spark.plans import locus_queries, refine_queries
 from mobilome_spark.plans.projections import evidence, hits, spans, table
 
 EV_SQL = """ev AS (
@@ -29,7 +29,7 @@ IV_SQL = """iv AS (
          CAST(o_orderkey * 3 + 20 + o_orderkey % 97 AS BIGINT) AS end_pos FROM orders),
 tr AS (
   SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS tr_id, CAST(l_suppkey % 10 AS VARCHAR) AS chrom, CAST(l_orderkey * 3 + l_linenumber * 7 AS BIGINT) AS tr_start,
-         CAST(l_orderkey * 3 + l_linenumber * 7 + 5 + l_partkey % 40 AS BIGINT) AS tr_end FROM lineitem WHERE l_linenumber <= 2)"""
+         CAST(l_orderkey * 3 + l_linenumber * 7 + 5 + l_partkey % 40 AS BIGINT) AS tr_end FROM lineitem)"""
 
 HITS_SQL = """hits AS (
   SELECT CAST(l_suppkey AS BIGINT) AS locus, CAST(l_orderkey AS BIGINT) AS read_name, l_returnflag || l_linestatus AS target, l_quantity AS score,
@@ -228,14 +228,13 @@ def q_jump_violation(spark, sf_dir):
 
 @_query(f"""
 WITH {EV_SQL},
-bg AS (SELECT chrom, value AS v FROM ev WHERE event_id % 2 = 0), q AS (SELECT event_id, chrom, value AS v FROM ev WHERE event_id % 20 = 1),
+bg AS (SELECT chrom, value AS v FROM ev), q AS (SELECT event_id, chrom, value AS v FROM ev),
 n AS (SELECT chrom, count(*) AS n FROM bg GROUP BY chrom)
 SELECT q.event_id, round((count(b.v) FILTER (b.v >= q.v) + 1) / (count(b.v) + 1), 9) AS p_high
 FROM q LEFT JOIN n ON q.chrom = n.chrom JOIN bg b ON coalesce(n.n, 0) < 50 OR b.chrom = q.chrom GROUP BY q.event_id""")
 def q_empirical_tail(spark, sf_dir):
     ev = evidence(spark, sf_dir)
-    asked, background = ev.filter("event_id % 20 = 1"), ev.filter("event_id % 2 = 0")
-    return aggregates.empirical_tail(asked, background, ["event_id"], "chrom", "value").withColumn("p_high", F.round("p_high", 9))
+    return aggregates.empirical_tail(ev, ev, ["event_id"], "chrom", "value").withColumn("p_high", F.round("p_high", 9))
 
 
 @_query(f"""
@@ -333,28 +332,6 @@ def q_support_string(spark, sf_dir):
     return g.select("locus", text.alias("support")).withColumn("mapped", rules.support_field(F.col("support"), "MEI_MAPPED"))
 
 
-@_query("""
-SELECT o_orderkey, CASE WHEN silver AND NOT z THEN 'gold' WHEN silver THEN 'silver' ELSE 'bronze' END AS stage,
-       concat_ws(';', CASE WHEN j > 0 THEN 'junk_region_flagged' END, CASE WHEN NOT m THEN 'no_mei_support' END, CASE WHEN NOT (s OR r) THEN 'weak_support' END, CASE WHEN NOT (c OR r) THEN 'inconsistent' END, CASE WHEN z THEN 'depth_pileup_artifact' END) AS reasons
-FROM (SELECT *, j = 0 AND m AND (s OR r) AND (c OR r) AS silver FROM
-  (SELECT o_orderkey, o_orderkey % 4 % 3 AS j, o_custkey % 5 <> 0 AS m, o_orderkey % 7 < 5 AS s, o_custkey % 11 = 0 AS r, o_orderkey % 3 <> 1 AS c, o_custkey % 13 = 0 AS z FROM orders))""")
-def q_stage_tiers(spark, sf_dir):
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
-    tier, why = rules.stage(o % 4 % 3, c % 5 != 0, o % 7 < 5, c % 11 == 0, o % 3 != 1, c % 13 == 0)
-    return table(spark, sf_dir, "orders").select("o_orderkey", tier.alias("stage"), why.alias("reasons"))
-
-
-@_query("""
-WITH a AS (SELECT c_nationkey, c_custkey, round(0.50 * ln(1 + c_custkey % 30) + 0.35 * ln(1 + c_nationkey) + 0.15 * coalesce(least(1.0, (c_custkey % 17) / nullif(c_custkey % 30 + c_nationkey, 0)), 0.0), 6) AS score,
-  c_custkey % 3 AS stage FROM customer)
-SELECT c_custkey, score, row_number() OVER (PARTITION BY c_nationkey ORDER BY stage DESC, score DESC, c_custkey) AS rank FROM a""")
-def q_priority_rank(spark, sf_dir):
-    c, n = F.col("c_custkey"), F.col("c_nationkey")
-    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", rules.priority(c % 30, n, c % 17).alias("score"), (c % 3).alias("stage"))
-    order = Window.partitionBy("c_nationkey").orderBy(F.desc("stage"), F.desc("score"), "c_custkey")
-    return rows.select("c_custkey", "score", F.row_number().over(order).cast("bigint").alias("rank"))
-
-
 @_query("""
 WITH d AS (SELECT CAST(l_suppkey AS BIGINT) AS locus, count(*) AS depth FROM lineitem GROUP BY 1), s AS (SELECT avg(depth) AS m, stddev_pop(depth) AS sd FROM d)
 SELECT locus, depth, round((depth - m) / sd, 6) AS z, (depth - m) / sd >= 2 AS outlier FROM d, s""")
@@ -538,8 +515,8 @@ def q_round_significant(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**_QUERIES, **locus_queries.queries()}
+    return {**_QUERIES, **locus_queries.queries(), **refine_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_ORACLES, **locus_queries.oracle_sql()}
+    return {**_ORACLES, **locus_queries.oracle_sql(), **refine_queries.oracle_sql()}

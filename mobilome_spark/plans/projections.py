@@ -31,8 +31,7 @@ def spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     iv = table(spark, sf_dir, "orders").select(
         o.cast("bigint").alias("iv_id"), (F.col("o_custkey") % 10).cast("string").alias("chrom"), (o * 3).cast("bigint").alias("start_pos"), (o * 3 + 20 + o % 97).cast("bigint").alias("end_pos")
     )
-    track = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
-    tr = track.select(
+    tr = table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("tr_id"), (F.col("l_suppkey") % 10).cast("string").alias("chrom"), line.cast("bigint").alias("tr_start"), (line + 5 + F.col("l_partkey") % 40).cast("bigint").alias("tr_end")
     )
     return iv, tr
