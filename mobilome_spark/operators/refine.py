@@ -62,6 +62,10 @@ def best_match(window: Column, motif: Column, centre: Column, most: int = MISMAT
     ``centre`` among equals; null where none has at most ``most`` mismatches."""
     n = F.length(motif)
     places = F.when((n > 0) & (n <= F.length(window)), F.sequence(F.lit(0), F.length(window) - n))
+    # of most + 1 pieces of the motif one fits exactly: only such places are compared base by base
+    cuts = [F.floor(n * k / (most + 1)).cast("int") for k in range(most + 2)]
+    piece = lambda i, a, b: F.substr(window, i + 1 + a, b - a) == F.substr(motif, a + 1, b - a)
+    places = F.filter(places, lambda i: reduce(or_, [piece(i, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
     at = lambda i: F.struct(seq.hamming(F.substr(window, i + 1, n), motif).cast("int").alias("mismatches"), F.abs(i - centre).cast("int").alias("distance"))
     return F.array_min(F.filter(F.transform(places, at), lambda x: x["mismatches"] <= most))
 
