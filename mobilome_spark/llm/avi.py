@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -325,17 +326,18 @@ def pixels(frame: Frame, part: int = 0) -> np.ndarray:
 
 
 def _huffman(body: bytes) -> dict:
-    """{class and number: table of 65536 (bits, symbol) by the next 16 bits}; bits 0 where no code fits."""
+    """{class and number: (number of codes of each length, symbols)}."""
     out, at = {}, 0
     while at < len(body):
         counts = body[at + 1 : at + 17]
-        symbols = body[at + 17 : at + 17 + sum(counts)]
-        out[body[at]] = _lookup(counts, symbols)
+        out[body[at]] = (counts, body[at + 17 : at + 17 + sum(counts)])
         at += 17 + sum(counts)
     return out
 
 
+@lru_cache(maxsize=16)
 def _lookup(counts: bytes, symbols: bytes) -> np.ndarray:
+    """65536 (bits, symbol) by the next 16 bits; bits 0 where no code fits."""
     table, code, k = np.zeros((65536, 2), np.int64), 0, 0
     for length, many in enumerate(counts, 1):
         for _ in range(many):
@@ -345,16 +347,14 @@ def _lookup(counts: bytes, symbols: bytes) -> np.ndarray:
     return table
 
 
-def _usual(key: int) -> np.ndarray:
+def _usual(key: int) -> tuple[bytes, bytes]:
     counts, symbols = _USUAL[key]
-    return _lookup(bytes(map(int, counts.split())), bytes.fromhex(symbols))
+    return bytes(map(int, counts.split())), bytes.fromhex(symbols)
 
 
 def _scan(scan: bytes, frame: Frame, held: list, tables: dict, restart: int, grid: tuple[int, int], most: tuple[int, int]) -> None:
     """Decode a scan into the blocks of its components."""
-    for key in {0x00 | t >> 4 for _, t in held} | {0x10 | t & 15 for _, t in held}:
-        if key not in tables:
-            tables[key] = _usual(key)
+    tables = {key: _lookup(*(tables.get(key) or _usual(key))) for key in {0x00 | t >> 4 for _, t in held} | {0x10 | t & 15 for _, t in held}}
     if len(held) == 1:  # a scan of one component has its blocks alone, without padding
         p = held[0][0]
         wide, tall = -(-frame.width * p.across // (8 * most[0])), -(-frame.height * p.down // (8 * most[1]))
