@@ -191,12 +191,14 @@ def representatives(documents: DataFrame, shingle: int = SHINGLE, hot: int = HOT
 STAGE_SHINGLE, BANDS, ROWS = 5, 24, 5
 #: Comparisons with one text that a task of ``_verified`` makes, about.
 COMPARED = 4096
+#: Longs of the parity bitmap of a set of shingles.
+PARITY = 16
 
 
 def shingle_sets(documents: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """(doc_id, text_key, key, fp, hashes, bands): the distinct shingles' hashes of every
-    text in order, a key for the whole set, its SimHash, and a key for each band of
-    smallest hashes."""
+    """(doc_id, text_key, key, fp, hashes, bands, parity): the distinct shingles' hashes of
+    every text in order, a key for the whole set, its SimHash, a key for each band of
+    smallest hashes, and a bitmap: bit i is set if an odd number of hashes end in i."""
     rng = np.random.default_rng(SEED)
     odd, plus = (rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
     odd = (odd * np.uint64(2) + np.uint64(1))[:, None]
@@ -222,9 +224,11 @@ def shingle_sets(documents: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFram
             ones += _bit_sums(part.astype("<u8"))
         fp = int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]) if n else 0
         bands = [digest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))]
-        return _signed(digest(hashes.tobytes(), SEED)), _signed(fp), hashes.view(np.int64), np.array(bands, np.uint64).view(np.int64)
+        odds = np.bincount((hashes & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+        parity = np.packbits(odds.astype(np.uint8), bitorder="little").view("<i8")
+        return _signed(digest(hashes.tobytes(), SEED)), _signed(fp), hashes.view(np.int64), np.array(bands, np.uint64).view(np.int64), parity
 
-    names = ["doc_id", "text_key", "key", "fp", "hashes", "bands"]
+    names = ["doc_id", "text_key", "key", "fp", "hashes", "bands", "parity"]
 
     def score(batches):
         for batch in batches:
@@ -232,12 +236,12 @@ def shingle_sets(documents: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFram
                 part = batch.slice(first, 512)
                 found = [one(t.as_py()) for t in part.column(1)]
                 numbers = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
-                lists = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (2, 3)]
+                lists = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (2, 3, 4)]
                 yield pa.record_batch([part.column(0), part.column(2), *numbers, *lists], names)
 
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("_text"), text_key(F.col("text")).alias("text_key"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(score, f"doc_id {kind}, text_key bigint, key bigint, fp bigint, hashes array<bigint>, bands array<bigint>")
+    return rows.mapInArrow(score, f"doc_id {kind}, text_key bigint, key bigint, fp bigint, hashes array<bigint>, bands array<bigint>, parity array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -255,6 +259,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(near.filter(both * 5 >= (F.size("_x") + F.size("_y") - both) * 4).select("a", "b"), "close-links")
 
 
+def _possible(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a band, of different components, that can have a similarity of 0.8: they
+    differ in a ninth of their sizes' sum at most."""
+    most = F.col("a_size") + F.col("b_size")
+    bits = sum((F.bit_count(F.get("a_parity", F.lit(i)).bitwiseXOR(F.get("b_parity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
+    fits = (F.abs(F.col("a_size") - F.col("b_size")) * 9 <= most) & (bits * 9 <= most)
+    apart = (F.col("a_key") < F.col("b_key")) & (F.col("a_root") != F.col("b_root"))
+    return left.join(right, ["n", "band"]).filter(apart & fits).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+
+
 def close_representatives(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """Rows of ``documents`` without near copies: one row of each component stays,
     columns unchanged; which one, nulls, repeated rows and empty tables as in
@@ -265,16 +279,30 @@ def close_representatives(documents: DataFrame, hot: int = HOT) -> DataFrame:
     among the sets' fingerprints, and, as texts of that similarity differ in some
     ten bits and not in three, those that share a band of smallest hashes: of pairs
     at 0.8 a share of 7e-5 has none in common. The texts of a band are compared
-    with one of them, those that are not yet in one component with another one,
-    and what is left after that with each other.
+    with the one that shares most bands with others, those that are not in its
+    component then with the next such text, and texts of a band that are in several
+    components after that with each other, if their bitmaps allow the similarity:
+    two sets differ in at least as many shingles as their parity bitmaps differ in
+    bits, so that loses nothing.
     """
     sets = materialize(shingle_sets(documents), "close-sets")
     bands = sets.select("key", F.posexplode("bands").alias("n", "band")).distinct()
     bands = materialize(bands, "close-bands")
     prints = materialize(sets.groupBy("fp").agg(F.min("key").alias("key"), F.max("key").alias("_last"), F.count(F.lit(1)).alias("_n")), "close-prints")
-    shared = materialize(bands.groupBy("n", "band").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "close-shared")
-    placed = materialize(join_counted(bands, shared, ["n", "band"], bands.count()), "close-placed")
-    stars = placed.filter("key <> b").select(F.col("key").alias("a"), "b")
+    size = F.count(F.lit(1))
+    shared = materialize(bands.groupBy("n", "band").agg(size.alias("_n"), size.alias("met")).filter("_n > 1"), "close-shared")
+    met = materialize(join_counted(bands, shared, ["n", "band"], bands.count()), "close-met")
+    # how many texts a text meets in all its bands: the middle of a group of edited copies meets most
+    met = met.join(met.groupBy("key").agg(F.sum("met").alias("meets")), "key").select("key", "n", "band", "meets")
+    placed = materialize(met, "close-placed")
+
+    def central(rows: DataFrame) -> DataFrame:
+        """(a, b): the rows' keys with the most central key of their band."""
+        first = rows.groupBy("n", "band").agg(F.max(F.struct("meets", "key")).getField("key").alias("b"), size.alias("_n"))
+        pairs = join_counted(rows, materialize(first, "close-central"), ["n", "band"], rows.count())
+        return pairs.filter("key <> b").select(F.col("key").alias("a"), "b")
+
+    stars = central(placed)
     # fingerprints within three bits, by a text of each; texts of one fingerprint by the first of them
     near = materialize(near_pairs(prints.select("fp"), hot), "close-near")
     held = prints.select("fp", "key")
@@ -283,22 +311,25 @@ def close_representatives(documents: DataFrame, hot: int = HOT) -> DataFrame:
     near = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same.filter("key <> b").select(F.col("key").alias("a"), "b"))
     stars = materialize(stars.unionByName(near).distinct(), "close-stars")
     wanted = stars.select(F.col("a").alias("key")).unionByName(stars.select(F.col("b").alias("key"))).distinct()
-    texts = materialize(sets.select("key", "hashes").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "close-texts")
+    texts = materialize(sets.select("key", "hashes", "parity").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "close-texts")
     links = _verified(stars, texts)
 
     def apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(roots, rows of ``placed`` of bands that hold several components, with their root)."""
+        """(roots, rows of ``placed`` of bands that hold several components, with their
+        root and ``first``, the root of their band's most central key)."""
         roots = materialize(connected_components(links), "close-roots").withColumnRenamed("node", "key")
-        rows = materialize(placed.select("key", "n", "band").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "close-rooted")
-        mixed = rows.groupBy("n", "band").agg(F.min("root").alias("_r"), F.max("root").alias("_s"), F.max("key").alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_r <> _s")
-        mixed = materialize(mixed.select("n", "band", "_last", "_n"), "close-mixed")
+        rows = materialize(placed.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "close-rooted")
+        first = F.max(F.struct("meets", "key", "root")).getField("root").alias("first")
+        mixed = rows.groupBy("n", "band").agg(F.min("root").alias("_r"), F.max("root").alias("_s"), first, size.alias("_n")).filter("_r <> _s")
+        mixed = materialize(mixed.select("n", "band", "first", "_n"), "close-mixed")
         return roots, materialize(join_counted(rows, mixed, ["n", "band"], rows.count()), "close-apart")
 
     _, rows = apart(links)
-    links = links.unionByName(_verified(rows.filter("key <> _last").select(F.col("key").alias("a"), F.col("_last").alias("b")), texts))
+    links = links.unionByName(_verified(central(rows.filter("root <> first")), texts))
     roots, rows = apart(links)
     if not rows.isEmpty():
-        other = rows.select("n", "band", F.col("key").alias("b"), F.col("root").alias("_root"))
-        rest = rows.withColumnRenamed("key", "a").join(other, ["n", "band"]).filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("_root"))).select("a", "b")
+        rows = rows.join(texts.select("key", "parity", F.size("hashes").alias("size")), "key").select("n", "band", "key", "root", "size", "parity")
+        rows = materialize(rows, "close-rest")
+        rest = _possible(rows.select("n", "band", *[F.col(c).alias(f"a_{c}") for c in rows.columns[2:]]), rows.select("n", "band", *[F.col(c).alias(f"b_{c}") for c in rows.columns[2:]]))
         roots = connected_components(links.unionByName(_verified(rest, texts))).withColumnRenamed("node", "key")
     return _first_rows(documents, sets.select("doc_id", "text_key", "key"), roots)

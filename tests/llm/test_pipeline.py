@@ -108,6 +108,24 @@ def test_one_row_of_each_group_stays(spark):
         assert sorted((r.doc_id, r.text) for r in got.collect() if r.doc_id) == [(1, rows[0][1]), (8, "x"), (8, "y")] and got.count() == 4
 
 
+def test_edited_copies_are_not_compared_pair_by_pair(spark, monkeypatch):
+    from mobilome_spark.llm import simhash_dedup
+
+    rng, rows, compared, verify = random.Random(8), [], [], simhash_dedup._verified
+    monkeypatch.setattr(simhash_dedup, "_verified", lambda pairs, texts: compared.append(pairs.distinct().count()) or verify(pairs, texts))
+    for group in range(2):
+        base = [f"w{group}x{rng.randrange(10**6)}" for _ in range(140)]
+        for n in range(90):
+            words = list(base)
+            for at in rng.sample(range(140), n % 10):
+                words[at] = f"e{rng.randrange(10**6)}"
+            rows.append((1000 * group + rng.randrange(900) + n / 100, " ".join(words)))
+    rows = [(int(i * 100), t) for i, t in rows]
+    kept = simhash_dedup.close_representatives(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((False, r.doc_id) for r in kept.collect()) == near_brute(rows)
+    assert sum(compared) < 10 * len(rows), compared
+
+
 def test_no_hot_key_meets_in_one_task(spark):
     from mobilome_spark.llm import common
     from mobilome_spark.llm.common import join_counted, materialize
