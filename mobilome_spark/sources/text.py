@@ -89,11 +89,16 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reference_blocks(records: DataFrame, size: int = 10_000, overlap: int = 200) -> DataFrame:
-    """(chrom, block_id, block_start0, seq): overlapping blocks to join by position."""
-    n = F.greatest(F.ceil(F.length("seq") / size), F.lit(1))
-    blocks = records.select(F.col("name").alias("chrom"), "seq", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)).alias("block_id"))
-    start = F.col("block_id") * size
-    return blocks.select("chrom", "block_id", start.cast("bigint").alias("block_start0"), F.substring("seq", (start + 1).cast("int"), F.lit(size + overlap)).alias("seq"))
+    """(chrom, block_id, block_start0, seq): overlapping blocks to join by position.
+
+    A contig is cut in one pass; an empty one gives one empty block.
+    """
+    cut = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    pieces = records.select(F.col("name").alias("chrom"), F.when(F.length("seq") == 0, F.array(F.lit(""))).otherwise(cut).alias("cut"))
+    after = lambda k: F.concat(*[F.coalesce(F.get("cut", k + d), F.lit("")) for d in range(1, -(-overlap // size) + 1)], F.lit(""))
+    whole = F.transform("cut", lambda piece, k: F.concat(piece, F.left(after(k), F.lit(overlap))))
+    blocks = pieces.select("chrom", F.posexplode(whole).alias("block_id", "seq"))
+    return blocks.select("chrom", "block_id", (F.col("block_id").cast("bigint") * size).alias("block_start0"), "seq")
 
 
 def sam(spark: SparkSession, path: str, sample: str) -> DataFrame:

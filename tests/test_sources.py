@@ -40,6 +40,14 @@ def test_fasta_blocks(spark, tmp_path):
     assert blocks[("c1", 0)] == (0, "ACGTACx"[:6]) and blocks[("c1", 1)] == (5, "C") and len(blocks) == 6
 
 
+def test_blocks_are_slices(spark):
+    seq = "".join("ACGT"[(i * i + i // 7) % 4] for i in range(1003))
+    records = spark.createDataFrame([("c", seq), ("e", ""), ("s", "AC")], "name string, seq string")
+    for size, overlap in ((100, 20), (7, 20), (1003, 5), (10, 0)):
+        got = sorted((r.chrom, r.block_id, r.block_start0, r.seq) for r in text.reference_blocks(records, size, overlap).collect())
+        assert got == [(n, k, at, t[at : at + size + overlap]) for n, t in (("c", seq), ("e", ""), ("s", "AC")) for k, at in enumerate(range(0, max(len(t), 1), size))]
+
+
 def test_evidence(spark, tmp_path):
     p, s = tmp_path / "a.sam", "ACGT" * 10
     row = "{}\t{}\tchr1\t100\t{}\t{}\t{}\t{}\t{}\t" + "{}\t*\tNM:i:2\n"
