@@ -249,8 +249,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     A text that very many are compared with is sent to several tasks."""
     pairs = materialize(pairs.distinct(), "close-pairs")
+    total = pairs.count()
+    if not total:
+        return pairs
     often = materialize(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / COMPARED).cast("int")), "close-often")
-    dealt = join_counted(pairs, often, ["b"], pairs.count()).withColumn("_part", F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int"))
+    dealt = join_counted(pairs, often, ["b"], total).withColumn("_part", F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int"))
     left = texts.select(F.col("key").alias("a"), F.col("hashes").alias("_x"))
     right = texts.select(F.col("key").alias("b"), F.col("hashes").alias("_y")).join(often.select("b", "_parts"), "b")
     right = right.select("b", "_y", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
