@@ -45,16 +45,17 @@ def depth_stats(blocks: DataFrame, windows: DataFrame, keys: list[str], start: s
     return out.select(*keys, F.coalesce(F.col("_sum") / span, F.lit(0.0)).alias("mean_depth"), F.coalesce("_peak", F.lit(0)).alias("peak_depth"))
 
 
-def random_windows(contigs: DataFrame, n: int, span: int, seed: int = 13, avoid: DataFrame | None = None, tries: int = 4) -> DataFrame:
+def random_windows(contigs: DataFrame, n: int, span: int, seed: int = 13, avoid: DataFrame | None = None, tries: int = 50, least: int = 1000) -> DataFrame:
     """(chrom, window_start, window_end): up to ``n`` windows of ``span`` bases on every contig, clear of ``avoid``.
 
-    ``contigs``: chrom, length. Places come from a hash of contig, seed and number,
+    ``contigs``: chrom, length. Places come from the MD5 of contig, seed and number,
     so that reruns and any partitioning agree; ``tries`` times as many are drawn as
-    asked for, those that touch ``avoid`` (chrom, start_pos, end_pos) go, and the
-    first ``n`` by number stay.
+    asked for, at least ``least``, those that touch ``avoid`` (chrom, start_pos, end_pos)
+    go, and the first ``n`` by number stay. A contig that is nearly covered gives fewer.
     """
-    drawn = contigs.filter(F.col("length") >= span).select("chrom", "length", F.explode(F.sequence(F.lit(0), F.lit(n * tries - 1))).alias("draw"))
-    at = F.pmod(F.xxhash64("chrom", F.lit(seed), "draw"), F.col("length") - span + 1) + 1
+    drawn = contigs.filter(F.col("length") >= span).select("chrom", "length", F.explode(F.sequence(F.lit(0), F.lit(max(least, n * tries) - 1))).alias("draw"))
+    digest = F.conv(F.left(F.md5(F.concat_ws(":", "chrom", F.lit(seed), "draw")), F.lit(15)), 16, 10).cast("bigint")
+    at = digest % (F.col("length") - span + 1) + 1
     drawn = drawn.select("chrom", "draw", at.alias("window_start"), (at + span - 1).alias("window_end"))
     if avoid is not None:
         drawn = intervals.overlapping(drawn, avoid, "chrom", "window_start", "window_end", "start_pos", "end_pos", ["chrom", "draw", "window_start", "window_end"], inverse=True)

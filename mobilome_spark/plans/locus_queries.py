@@ -346,20 +346,25 @@ _CONTIG_SQL = "h AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _CONTIG.item
 _CK = f"{_K}, sample, contig_id"
 
 
-@_query(f"""
+_BREAK_SQL = f"""
 WITH {_CONTIG_SQL},
 m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_CK} ORDER BY alnlen DESC, mapq DESC, nmatch DESC, qstart, tname DESC) AS n FROM h WHERE target_set = 'mei') WHERE n = 1),
 k AS (SELECT DISTINCT {_CK} FROM h),
 j AS (SELECT h.*, h.qend <= m.qstart + 20 AS isl, h.qstart >= m.qend - 20 AS isr FROM h JOIN m USING ({_CK}) WHERE h.target_set = 'ref'),
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_CK} ORDER BY qend DESC, alnlen DESC, mapq DESC, nmatch DESC, tname DESC, tend DESC) AS n FROM j WHERE isl) WHERE n = 1),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_CK} ORDER BY qstart, alnlen DESC, mapq DESC, nmatch DESC, tname, tstart) AS n FROM j WHERE isr) WHERE n = 1),
-b AS (SELECT {_CK}, count(*) FILTER (alnlen >= 80 AND mapq >= 20) AS blocks, count(DISTINCT CASE WHEN alnlen >= 80 AND mapq >= 20 THEN tname END) > 1 OR count(DISTINCT CASE WHEN alnlen >= 80 AND mapq >= 20 THEN strand END) > 1 AS mixed FROM h WHERE target_set = 'ref' GROUP BY ALL),
-a AS (SELECT {_CK}, coalesce(m.alnlen, 0) AS mei_aln_len, m.alnlen IS NOT NULL AS has, coalesce(blocks, 0) AS ref_blocks, coalesce(mixed, false) AS mixed, l.tname AS lt, l.strand AS ls, l.tend AS lp, r.tname AS rt, r.strand AS rs, r.tstart + 1 AS rp FROM k LEFT JOIN m USING ({_CK}) LEFT JOIN b USING ({_CK}) LEFT JOIN l USING ({_CK}) LEFT JOIN r USING ({_CK})),
+b AS (SELECT {_CK}, max(alnlen) AS ref_aln_len, count(*) FILTER (alnlen >= 80 AND mapq >= 20) AS blocks, count(DISTINCT CASE WHEN alnlen >= 80 AND mapq >= 20 THEN tname END) > 1 OR count(DISTINCT CASE WHEN alnlen >= 80 AND mapq >= 20 THEN strand END) > 1 AS mixed FROM h WHERE target_set = 'ref' GROUP BY ALL),
+a AS (SELECT {_CK}, coalesce(m.alnlen, 0) AS mei_aln_len, m.alnlen IS NOT NULL AS has, coalesce(blocks, 0) AS ref_blocks, coalesce(ref_aln_len, 0) AS ref_aln_len, coalesce(mixed, false) AS mixed, l.tname AS lt, l.strand AS ls, l.tend AS lp, r.tname AS rt, r.strand AS rs, r.tstart + 1 AS rp FROM k LEFT JOIN m USING ({_CK}) LEFT JOIN b USING ({_CK}) LEFT JOIN l USING ({_CK}) LEFT JOIN r USING ({_CK})),
 p AS (SELECT *, CASE WHEN lp IS NOT NULL AND rp IS NOT NULL THEN 'both' WHEN lp IS NOT NULL THEN 'left_only' WHEN rp IS NOT NULL THEN 'right_only' ELSE 'none' END AS side_status,
-  CASE WHEN lp IS NULL AND rp IS NULL THEN '' WHEN lp IS NULL OR rp IS NULL THEN 'single_flank_ref_only' WHEN lt <> rt THEN 'interchrom_breakend' WHEN ls <> rs THEN 'inversion_breakend' WHEN abs(rp - lp) > 1000 THEN 'large_gap_breakend' ELSE '' END AS partner_type FROM a)
+  CASE WHEN lp IS NULL AND rp IS NULL THEN '' WHEN lp IS NULL OR rp IS NULL THEN 'single_flank_ref_only' WHEN lt <> rt THEN 'interchrom_breakend' WHEN ls <> rs THEN 'inversion_breakend' WHEN abs(rp - lp) > 1000 THEN 'large_gap_breakend' ELSE '' END AS partner_type FROM a)"""
+_CLASS_SQL = "CASE WHEN NOT has THEN CASE WHEN ref_blocks >= 3 OR mixed THEN 'multi_junction' ELSE 'unknown' END WHEN ref_blocks >= 3 THEN 'multi_junction' WHEN partner_type <> '' OR mixed THEN 'mei_plus_sv' ELSE 'simple_mei' END"
+
+
+@_query(f"""
+{_BREAK_SQL}
 SELECT {_CK}, mei_aln_len, ref_blocks, side_status, partner_type, CAST(CASE WHEN partner_type = '' THEN -1 WHEN rp IS NULL THEN lp ELSE rp END AS BIGINT) AS partner_pos,
   CAST(CASE WHEN lt = rt THEN (lp + rp) // 2 ELSE coalesce(lp, rp, 0) END AS BIGINT) AS breakpoint_pos, CAST(CASE WHEN lt = rt AND rp >= lp THEN rp - lp + 1 ELSE 0 END AS BIGINT) AS tsd_len,
-  CASE WHEN NOT has THEN CASE WHEN ref_blocks >= 3 OR mixed THEN 'multi_junction' ELSE 'unknown' END WHEN ref_blocks >= 3 THEN 'multi_junction' WHEN partner_type <> '' OR mixed THEN 'mei_plus_sv' ELSE 'simple_mei' END AS complex_class FROM p""")
+  {_CLASS_SQL} AS complex_class FROM p""")
 def q_contig_breakpoints(spark, sf_dir):
     out = contigs.contig_breakpoints(table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _CONTIG.items()]))
     return out.select(*contigs.CONTIG, "mei_aln_len", "ref_blocks", "side_status", "partner_type", "partner_pos", "breakpoint_pos", F.col("tsd_len").cast("bigint"), "complex_class")
@@ -391,16 +396,27 @@ def q_review_table(spark, sf_dir):
     return review.review_table(_annotated(spark, sf_dir))
 
 
-@_query(None)
+@_query(f"""
+WITH {_HIT_SQL}, c AS (SELECT chrom, max(window_end) + 5000 AS length FROM h GROUP BY ALL), v AS (SELECT DISTINCT chrom, window_start AS s, window_end AS e FROM h),
+d AS (SELECT chrom, draw, CAST('0x' || left(md5(chrom || ':13:' || draw), 15) AS BIGINT) % (length - 119) + 1 AS place FROM c, range(0, 2500) r(draw)),
+k AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY draw) AS n FROM d WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.chrom = d.chrom AND v.s <= d.place + 119 AND v.e >= d.place))
+SELECT chrom, CAST(place AS BIGINT) AS window_start, CAST(place + 119 AS BIGINT) AS window_end FROM k WHERE n <= 50""")
 def q_random_windows(spark, sf_dir):
-    """Hash-drawn windows clear of the loci; a test checks bounds, number and distance."""
+    """Hash-drawn windows clear of the loci."""
     rows = _hits(spark, sf_dir)
     lengths = rows.groupBy("chrom").agg((F.max("window_end") + 5000).alias("length"))
     avoid = rows.select("chrom", F.col("window_start").alias("start_pos"), F.col("window_end").alias("end_pos")).distinct()
     return context.random_windows(lengths, 50, 120, avoid=avoid)
 
 
-@_query(None)
+@_query(f"""
+{_BREAK_SQL},
+w AS (SELECT {_CK}, max(qend) AS contig_len FROM h GROUP BY ALL),
+c AS (SELECT p.*, {_CLASS_SQL} AS complex_class, CASE WHEN partner_type = '' THEN '' WHEN rp IS NULL THEN lt ELSE rt END AS partner_chrom, CAST(CASE WHEN partner_type = '' THEN -1 WHEN rp IS NULL THEN lp ELSE rp END AS BIGINT) AS partner_pos,
+  row_number() OVER (PARTITION BY {_K}, sample ORDER BY mei_aln_len + ref_aln_len DESC, contig_len DESC, contig_id DESC) AS n FROM p JOIN w USING ({_CK})),
+z AS (SELECT *, row_number() OVER (PARTITION BY {_K}, sample ORDER BY list_position(['unknown', 'simple_mei', 'mei_plus_sv', 'multi_junction'], complex_class) DESC,
+  CASE side_status WHEN 'both' THEN 2 WHEN 'none' THEN 0 ELSE 1 END DESC, CAST(partner_type <> '' AS INT) DESC, mei_aln_len DESC, n) AS k, string_agg(contig_id, ',' ORDER BY n) OVER (PARTITION BY {_K}, sample) AS top_contigs FROM c WHERE n <= 3)
+SELECT {_K}, sample, complex_class, side_status, partner_chrom, partner_pos, partner_type, mei_aln_len, top_contigs FROM z WHERE k = 1""")
 def q_contig_topology(spark, sf_dir):
     hits = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _CONTIG.items()])
     lengths = hits.groupBy(*contigs.CONTIG).agg(F.max("qend").alias("contig_len"))

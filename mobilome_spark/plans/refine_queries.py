@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobilome_spark.functions import names
+from mobilome_spark.functions import names, register, variants
 from mobilome_spark.operators import refine
 from mobilome_spark.operators.loci import KEY
 from mobilome_spark.plans.projections import table
@@ -267,6 +267,43 @@ def q_clip_exact_tsd(spark, sf_dir):
     return refine.clip_exact_tsd(loci, clips).select(F.col("window_start").alias("locus"), "left", "right", "length", "source")
 
 
+_VARIANT = {
+    "p_partkey": "p_partkey", "chrom": "concat(CASE WHEN p_partkey % 2 = 0 THEN 'chr' ELSE '' END, CASE p_size % 7 WHEN 0 THEN 'M' WHEN 1 THEN 'MT' WHEN 2 THEN 'X' WHEN 3 THEN 'Un_7' WHEN 4 THEN '23' ELSE CAST(p_size AS STRING) END)",
+    "pos": "CAST(p_partkey * 3 AS BIGINT)", "ref": "CASE WHEN p_size % 5 = 0 THEN NULL ELSE substr('ACGTACGT', 1, CAST(p_size % 8 AS INT)) END",
+    "info": "CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '.' WHEN 2 THEN concat('END=', CAST(p_size * 40 AS STRING), ';A=1;END=7') WHEN 3 THEN 'A=1;XEND=5' WHEN 4 THEN concat('A=1;END=', CAST(p_partkey * 3 + 9 AS STRING)) ELSE 'END=x;B' END",
+    "header": "concat(CASE WHEN p_size % 2 = 0 THEN 'L1HS' ELSE 'L1PA2' END, CASE p_partkey % 5 WHEN 0 THEN '_3end' WHEN 1 THEN '_ORF2' WHEN 2 THEN '_short_' WHEN 3 THEN '_5end_short' ELSE '' END, CASE WHEN p_size % 3 = 0 THEN '#LINE/L1_3end' ELSE '' END)",
+}
+_VARIANT_SQL = _sql("v", "part", _VARIANT).replace("AS STRING)", "AS VARCHAR)")
+_END_SQL = "CAST(greatest(coalesce(TRY_CAST(regexp_extract(concat(';', coalesce(info, '')), ';END=([^;]*)', 1) AS BIGINT), pos + greatest(length(coalesce(ref, '')), 1) - 1), pos) AS BIGINT)"
+
+
+@_query(f"""
+WITH {_VARIANT_SQL}, e AS (SELECT *, {_END_SQL} AS end_pos, replace(chrom, 'chr', '') AS core FROM v)
+SELECT p_partkey, end_pos, CASE WHEN coalesce(info, '') IN ('', '.') THEN 'END=' || (end_pos + 5) WHEN regexp_matches(info, '(^|;)END=') THEN regexp_replace(info, '(^|;)END=[^;]*', '\\1END=' || (end_pos + 5)) ELSE info || ';END=' || (end_pos + 5) END AS info_lifted,
+  CASE WHEN TRY_CAST(core AS INT) BETWEEN 1 AND 22 THEN CAST(core AS INT) WHEN core = 'X' THEN 23 WHEN core = 'Y' THEN 24 WHEN core IN ('M', 'MT') THEN 25 ELSE 1000 END AS contig_rank,
+  CASE WHEN chrom LIKE 'chr%' THEN chrom WHEN chrom IN ('M', 'MT') THEN 'chrM' ELSE 'chr' || chrom END AS chrom_prefixed, CASE WHEN chrom = 'chrM' THEN 'MT' ELSE core END AS chrom_bare,
+  regexp_replace(regexp_replace(split_part(header, '#', 1), '_(3end|5end|orf2)$', '', 'i'), '_short_?$', '', 'i') AS element
+FROM e""")
+def q_variant_fields(spark, sf_dir):
+    c, end = F.col, variants.vcf_end(F.col("pos"), F.col("ref"), F.col("info"))
+    styled = {f"chrom_{k}": variants.lifted_style(c("chrom"), F.lit(k == "prefixed")) for k in ("prefixed", "bare")}
+    found = {"end_pos": end, "info_lifted": variants.with_vcf_end(c("info"), end + 5), "contig_rank": variants.vcf_order(c("chrom"))["rank"], "element": variants.panel_element(c("header"))}
+    return _columns(spark, sf_dir, "part", _VARIANT).select("p_partkey", *[e.alias(n) for n, e in (found | styled).items()])
+
+
+@_query(f"""
+WITH {_VARIANT_SQL}, {_sql('n', 'customer', _NAMES).replace('STRING', 'VARCHAR')}
+SELECT 'variant' AS kind, p_partkey AS id, regexp_replace(regexp_replace(split_part(header, '#', 1), '_(3end|5end|orf2)$', '', 'i'), '_short_?$', '', 'i') AS text, {_END_SQL} AS number, 0.0 AS share FROM v
+UNION ALL SELECT 'read', c_custkey, {_CANON.format('raw')}, CAST(coalesce(list_max(list_transform(regexp_extract_all(upper(raw), 'A+|T+'), lambda x: length(x))), 0) AS BIGINT), length(regexp_replace(upper(raw), '[^AT]', '', 'g')) / length(raw) FROM n""")
+def q_sql_functions(spark, sf_dir):
+    """The registered functions, called from SQL text."""
+    register.register(spark)
+    _columns(spark, sf_dir, "part", _VARIANT).createOrReplaceTempView("mobilome_variants")
+    _columns(spark, sf_dir, "customer", _NAMES).createOrReplaceTempView("mobilome_names")
+    return spark.sql("""SELECT 'variant' AS kind, p_partkey AS id, panel_element(header) AS text, vcf_end(pos, ref, info) AS number, 0D AS share FROM mobilome_variants
+        UNION ALL SELECT 'read', c_custkey, canonical_read_name(raw), CAST(poly_at_run(upper(raw)) AS BIGINT), poly_at_fraction(upper(raw)) FROM mobilome_names""")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

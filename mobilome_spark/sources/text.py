@@ -138,3 +138,9 @@ def fastq_names(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("k", "line"))
     word = F.regexp_extract(F.trim("line"), r"^@(\S+)", 1)
     return lines.filter(F.col("k") % 4 == 0).select(F.regexp_replace(word, ":[^:]*$", "").alias("read_name")).filter("read_name <> ''").distinct()
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, manifest): each file's JSON object as a map of its values' texts; null for a file that holds no valid object."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.select("path", F.from_json("value", "map<string,string>").alias("manifest"))

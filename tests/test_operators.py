@@ -71,3 +71,19 @@ def test_rules(spark):
     assert one(spark, rules.support_field(F.lit("SR_L=3,MEI_MAPPED=12"), "MEI_MAPPED")) == 12
     events = one(spark, rules.cigar_events(F.lit("10M4D5M2I3M"), F.lit(100)))
     assert [(e.kind, e.len, e.ref_pos) for e in events] == [("D", 4, 112), ("I", 2, 119)]
+
+
+def test_registered_functions_equal_the_builders(spark):
+    from mobilome_spark.functions import names, register, variants
+
+    texts = [None, "", " @r/1 x", "a:2/1", "chrM", "chrchr1", "1", "acgTTTnA", "AATTTTT", "L1_3END#x", "AluY_short_", "END=9;END=2", "A;END=x", "x\n"]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "s string, i long")
+    c, i = F.col("s"), F.col("i")
+    built = {
+        "canonical_read_name(s)": names.canonical_read_name(c), "chrom_style(s, true)": names.chrom_style(c, F.lit(True)), "chrom_style(s, false)": names.chrom_style(c, F.lit(False)), "revcomp(s)": seq.revcomp(c),
+        "poly_at_run(s)": seq.poly_at_run(c), "poly_at_fraction(s)": seq.poly_at_fraction(c), "normalized_clip(s)": seq.normalized_clip(c), "vcf_end(i, s, s)": variants.vcf_end(i, c, c), "panel_element(s)": variants.panel_element(c),
+    }
+    assert {k.split("(")[0] for k in built} == set(register.register(spark))
+    for row in df.select("s", *[F.struct(F.expr(call).alias("x"), column.alias("y")).alias(call) for call, column in built.items()]).collect():
+        for call in built:
+            assert row[call].x == row[call].y, (call, row.s)

@@ -109,3 +109,17 @@ def test_candidate_loci_without_evidence(spark, tmp_path):
     assert (one.window_start, one.window_end, one.split_disease_rows, one.discordant_control_rows, one.junk_flag_count) == (70, 130, 1, 0, 0)
     none = reads.filter("mapq > 99")
     assert loci.candidate_loci(evidence.split_evidence(none), evidence.discordant_evidence(none), {}).count() == 0
+
+
+def test_manifests_and_orders(spark, tmp_path):
+    for name, body in {"a": '{"status": "ok", "interval": {"start": 3}}', "b": "[1]", "c": "{broken", "d": ""}.items():
+        (tmp_path / f"{name}.json").write_text(body)
+    got = {r.path[-6]: r.manifest for r in text.manifests(spark, f"{tmp_path}/*.json").collect()}
+    assert got["a"] == {"status": "ok", "interval": '{"start":3}'} and not any(got.get(k) for k in "bcd")
+    rows = spark.createDataFrame([("chr2", 5, None), ("chrM", 1, "x"), ("chr10", 9, "y"), ("Un", 2, ""), ("chrX", 3, "z"), ("chr2", 4, "w"), (None, 1, "n")], "chrom string, pos long, note string")
+    assert [(r.chrom, r.pos) for r in sinks.in_vcf_order(rows).collect()] == [("chr2", 4), ("chr2", 5), ("chr10", 9), ("chrX", 3), ("chrM", 1), (None, 1), ("Un", 2)]
+    assert sinks.manifest_lines(rows.filter("pos = 5").select("pos", "note", "chrom")).first().value == '{"chrom":"chr2","note":null,"pos":5}'
+    sinks.write_table(rows.fillna("", ["chrom"]), str(tmp_path / "t"), order_by=("chrom", "pos"))
+    assert spark.read.parquet(str(tmp_path / "t.parquet")).count() == 7
+    loci = rows.selectExpr("chrom", "pos AS window_start", "pos AS window_end", "CAST(pos % 3 AS double) AS enrichment", "pos AS disease_rows")
+    assert [r.window_start for r in sinks.enriched_first(loci).collect()] == [5, 2, 4, 1, 1, 9, 3]
