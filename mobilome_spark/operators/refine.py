@@ -9,18 +9,21 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mobilome_spark.functions import seq
 from mobilome_spark.functions.names import canonical_read_name
 from mobilome_spark.operators.loci import KEY, SAMPLES
-from mobilome_spark.sources.scratch import written
 
 # Reasons of pairs whose reads are aligned to elements, and the least length of such reads.
 ALIGNED_REASONS, ALIGNED_LENGTH = ("interchrom", "mate_unmapped", "large_insert"), 30
 # Lengths of duplications sought with clips, mismatches allowed, clips that must agree.
 MIN_TSD, MAX_TSD, MISMATCHES, AGREEING = 4, 30, 1, 2
+#: Bases of windows that a task compares at once.
+PLACES = 1 << 20
 HIT = ("target", "target_len", "target_start", "target_end", "strand", "alnlen", "mapq", "pid", "qcov", "score")
 
 
@@ -57,48 +60,112 @@ def attach_hits(rows: DataFrame, hits: DataFrame, suffix: str = "") -> DataFrame
 # -------------------------------------------------------------------- clip-exact duplications
 
 
-def best_match(window: Column, motif: Column, centre: Column, most: int = MISMATCHES) -> Column:
-    """(mismatches, distance) of the place in ``window`` where ``motif`` fits best, nearest to
-    ``centre`` among equals; null where none has at most ``most`` mismatches."""
-    n = F.length(motif)
-    places = F.when((n > 0) & (n <= F.length(window)), F.sequence(F.lit(0), F.length(window) - n))
-    # of most + 1 pieces of the motif one fits exactly: only such places are compared base by base
-    cuts = [F.floor(n * k / (most + 1)).cast("int") for k in range(most + 2)]
-    piece = lambda i, a, b: F.substr(window, i + 1 + a, b - a) == F.substr(motif, a + 1, b - a)
-    places = F.filter(places, lambda i: reduce(or_, [piece(i, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
-    at = lambda i: F.struct(seq.hamming(F.substr(window, i + 1, n), motif).cast("int").alias("mismatches"), F.abs(i - centre).cast("int").alias("distance"))
-    return F.array_min(F.filter(F.transform(places, at), lambda x: x["mismatches"] <= most))
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All characters in a row, where each text begins, and its length."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.cumsum(sizes) - sizes, sizes
+
+
+def longest_fits(windows: list[str], centres: np.ndarray, clips: list[str], lefts: np.ndarray, caps: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(length, rank) of each row: the longest end of the clip, of ``least`` to ``cap``
+    bases without N, that fits into the window with at most ``most`` mismatches; 0 if none does.
+
+    The end is the clip's last bases where ``left``, else its first. ``rank`` holds the mismatches
+    above 40 bits for the distance from ``centre`` of the place that fits best, nearest among equals.
+    All places grow by a base at a time; those with too many mismatches go, as no longer end fits there."""
+    turned = [(w[::-1], c[::-1]) if left else (w, c) for w, c, left in zip(windows, clips, lefts.tolist(), strict=True)]
+    chars, at, sizes = _characters([w for w, _ in turned])
+    bases, first, _ = _characters([c for _, c in turned])
+    caps = np.minimum(caps, np.array([c.find("N") if "N" in c else len(c) for _, c in turned], np.int64))
+    length, rank = np.zeros(len(turned), np.int64), np.zeros(len(turned), np.int64)
+    row = np.repeat(np.arange(len(turned)), sizes)
+    place, bad = np.arange(len(row)) - at[row], np.zeros(len(row), np.int64)
+    for n in range(1, caps.max(initial=0) + 1):
+        keep = (caps[row] >= n) & (place + n <= sizes[row])
+        row, place, bad = row[keep], place[keep], bad[keep]
+        bad += chars[at[row] + place + n - 1] != bases[first[row] + n - 1]
+        keep = bad <= most
+        row, place, bad = row[keep], place[keep], bad[keep]
+        if not len(row):
+            break
+        if n >= least:
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            begin = np.where(lefts[row], sizes[row] - n - place, place)
+            length[row[starts]] = n
+            rank[row[starts]] = np.minimum.reduceat((bad << 40) + np.abs(begin - centres[row]), starts)
+    return length, rank
+
+
+def _distinct(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each distinct combination, and the number of each row's combination."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        held = c.dictionary_encode("encode")
+        code = np.unique(code * (len(held.dictionary) + 1) + held.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return first, code
+
+
+def _fitted(batch: pa.RecordBatch, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``longest_fits`` of the better of a row's two variants; equal rows are sought once."""
+    window, centre, left, cap = (batch.column(c) for c in ("window_seq", "_centre", "_left", "_cap"))
+    length, rank = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+    for variant in (batch.column("_given"), batch.column("_turned")):
+        if variant.null_count == len(batch):
+            continue
+        columns = [window, centre, left, cap, variant]
+        first, code = _distinct(columns)
+        w, c, is_left, most_n, v = (x.take(pa.array(first)).to_pylist() for x in columns)
+        sought = [i for i in range(len(first)) if w[i] is not None and v[i] is not None]
+        n, r = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        while sought:  # windows of about a million bases at once
+            few = 1 + int(np.searchsorted(np.cumsum([len(w[i]) for i in sought[1:]]), PLACES))
+            part, sought = sought[:few], sought[few:]
+            n[part], r[part] = longest_fits([w[i] for i in part], np.array([c[i] or 0 for i in part]), [v[i] for i in part], np.array([is_left[i] for i in part]), np.array([most_n[i] for i in part]), least, most)
+        n, r = n[code], r[code]
+        better = (n > length) | ((n == length) & (r < rank))
+        length, rank = np.where(better, n, length), np.where(better, r, rank)
+    return length, rank
 
 
 def clip_exact_tsd(loci: DataFrame, clips: DataFrame, least: int = MIN_TSD, longest: int = MAX_TSD, most: int = MISMATCHES, agreeing: int = AGREEING) -> DataFrame:
     """(KEY, left, right, length, source): the duplication that the clips of a locus spell out.
 
-    ``loci``: KEY, ``window_seq``, the reference around the breakpoint, and ``centre``,
-    its place in it. ``clips``: KEY, ``sample``, ``clip_side``, ``bp``, ``orientation``
+    ``loci``, a row each: KEY, ``window_seq``, the reference around the breakpoint, and
+    ``centre``, its place in it. ``clips``: KEY, ``sample``, ``clip_side``, ``bp``, ``orientation``
     and ``clip_seq``, the bases next to the breakpoint. Each clip votes for the longest
     of its ends (of both strands where the orientation is unknown) that the reference
     holds near by; at least ``agreeing`` clips must agree. The longest duplication
     wins, then votes, mismatches, distance, disease before control.
     """
-    prox = F.when(F.col("orientation") == "+", F.array("clip_seq")).when(F.col("orientation") == "-", F.array(seq.revcomp(F.col("clip_seq")))).otherwise(F.array("clip_seq", seq.revcomp(F.col("clip_seq"))))
-    # numbered and written, so that the numbers hold for every reader
-    rows = written(clips.withColumn("_clip", F.monotonically_increasing_id()), "clips").join(loci.select(*KEY, "window_seq", "centre"), KEY)
-    rows = rows.withColumn("_turn", F.when(F.col("sample") == "disease", 0).otherwise(1)).withColumn("_side", F.when(F.col("clip_side") == "L", 0).otherwise(1))
-    tried = rows.select("*", F.posexplode(prox).alias("_variant", "_prox")).filter(F.length("_prox") >= least)
-    tried = tried.withColumn("_n", F.explode(F.sequence(F.least(F.lit(longest), F.length("_prox")), F.lit(least), F.lit(-1))))
-    motif = F.when(F.col("clip_side") == "L", F.right("_prox", F.col("_n"))).otherwise(F.left("_prox", F.col("_n")))
-    tried = tried.withColumn("_motif", motif).filter(~F.col("_motif").contains("N"))
-    # clips of a breakpoint share their ends: each is sought once
-    sought = tried.select(*KEY, "window_seq", "centre", "_motif").distinct().withColumn("_m", best_match(F.col("window_seq"), F.col("_motif"), F.col("centre"), most))
-    tried = tried.join(written(sought.filter("_m IS NOT NULL").select(*KEY, "_motif", "_m"), "clip-motifs"), [*KEY, "_motif"])
+    is_left, plus, minus = (F.coalesce(F.col(c) == v, F.lit(False)) for c, v in (("clip_side", "L"), ("orientation", "+"), ("orientation", "-")))
+    # a duplication begins at 1 at least, so those of a right side are no longer than its breakpoint
+    rows = clips.filter("bp >= 1").select(
+        *KEY, "sample", "clip_side", "bp", is_left.alias("_left"), F.when(is_left, F.lit(longest)).otherwise(F.least(F.lit(longest), F.col("bp"))).cast("bigint").alias("_cap"),
+        F.when(minus, None).otherwise(F.col("clip_seq")).alias("_given"), F.when(plus, None).otherwise(seq.revcomp(F.col("clip_seq"))).alias("_turned"),
+    )
+    end = lambda c: F.when(F.col("_left"), F.right(c, F.lit(longest))).otherwise(F.left(c, F.lit(longest))).alias(c)
+    rows = rows.filter("_cap > 0").withColumns({c: end(c) for c in ("_given", "_turned")})
+    rows = rows.join(loci.select(*KEY, "window_seq", F.col("centre").cast("bigint").alias("_centre")).distinct(), KEY)
+    kept = [*KEY, "sample", "clip_side", "bp"]
+    numbers = ["_n", "mismatches", "distance"]
+
+    def vote(batches):
+        for batch in batches:
+            length, rank = _fitted(batch, max(least, 1), most)
+            found = pa.array(np.flatnonzero(length))
+            ranks = pa.array(rank & ((1 << 40) - 1), mask=batch.column("_centre").is_null().to_numpy(zero_copy_only=False))
+            out = pa.record_batch([*[batch.column(c) for c in kept], pa.array(length), pa.array(rank >> 40), ranks], [*kept, *numbers])
+            yield out.take(found)
+
+    votes = rows.mapInArrow(vote, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + "".join(f", {c} bigint" for c in numbers))
+    votes = votes.withColumn("_turn", F.when(F.col("sample") == "disease", 0).otherwise(1)).withColumn("_side", F.when(F.col("clip_side") == "L", 0).otherwise(1))
     left = F.when(F.col("clip_side") == "L", F.col("bp")).otherwise(F.col("bp") - F.col("_n") + 1).cast("bigint")
     right = F.when(F.col("clip_side") == "L", F.col("bp") + F.col("_n") - 1).otherwise(F.col("bp")).cast("bigint")
-    source = F.concat(F.lit("tsd_"), "sample", F.lit("_"), "clip_side", F.when(F.col("_m.mismatches") == 0, "_clip_exact_rescue").otherwise("_clip_near_exact_rescue"))
-    tried = tried.select(*KEY, "_clip", "_turn", "_side", "_n", "_m.mismatches", "_m.distance", "_variant", left.alias("left"), right.alias("right"), source.alias("source")).filter("left > 0 AND right >= left")
-    order = Window.partitionBy("_clip").orderBy(F.desc("_n"), "mismatches", "distance", "_variant")
-    votes = tried.withColumn("_k", F.row_number().over(order)).filter("_k = 1")
+    source = F.concat(F.lit("tsd_"), "sample", F.lit("_"), "clip_side", F.when(F.col("mismatches") == 0, "_clip_exact_rescue").otherwise("_clip_near_exact_rescue"))
+    votes = votes.select(*KEY, "_turn", "_side", *numbers, left.alias("left"), right.alias("right"), source.alias("source"))
     counted = votes.groupBy(*KEY, "left", "right", "source", "_n", "_turn", "_side").agg(F.count(F.lit(1)).alias("_votes"), F.min(F.struct("mismatches", "distance")).alias("_m"))
-    rank = F.struct((-F.col("_n")).alias("n"), (-F.col("_votes")).alias("votes"), F.col("_m.mismatches").alias("mismatches"), F.col("_m.distance").alias("distance"), F.col("_turn").alias("turn"), F.col("_side").alias("side"))
+    rank = F.struct((-F.col("_n")).alias("n"), (-F.col("_votes")).alias("votes"), F.col("_m.mismatches").alias("mismatches"), F.col("_m.distance").alias("distance"), F.col("_turn").alias("turn"), F.col("_side").alias("side"), "left")
     best = counted.filter(F.col("_votes") >= agreeing).groupBy(*KEY).agg(F.min_by(F.struct("left", "right", F.col("_n").alias("length"), "source"), rank).alias("_b"))
     return best.select(*KEY, "_b.left", "_b.right", F.col("_b.length").cast("bigint").alias("length"), "_b.source")
 
