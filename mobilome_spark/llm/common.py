@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -71,6 +72,14 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int,
     return rows.join(few, keys).unionByName(rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys, how))
 
 
+def release_memory() -> None:
+    """Give back what a task's batches took: a worker serves later stages too and would hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mobilome_spark.llm.common import join_counted, materialize
+from mobilome_spark.llm.common import join_counted, materialize, release_memory
 from mobilome_spark.llm.components import connected_components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -193,12 +193,16 @@ STAGE_SHINGLE, BANDS, ROWS = 5, 24, 5
 COMPARED = 4096
 #: Longs of the parity bitmap of a set of shingles.
 PARITY = 16
+#: Keys that are sent to all tasks at most, about 24 MB there.
+SENT = 1 << 19
 
 
-def shingle_sets(documents: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """(doc_id, text_key, key, fp, hashes, bands, parity): the distinct shingles' hashes of
-    every text in order, a key for the whole set, its SimHash, a key for each band of
-    smallest hashes, and a bitmap: bit i is set if an odd number of hashes end in i."""
+def shingle_sets(documents: DataFrame, shingle: int = STAGE_SHINGLE, whole: bool = False) -> DataFrame:
+    """(doc_id, text_key, key, fp, bands): a key for the set of distinct shingles' hashes of
+    every text, its SimHash and a key for each band of smallest hashes.
+
+    With ``whole`` (key, hashes, parity) instead: the hashes themselves in order, several times
+    the text, and a bitmap: bit i is set if an odd number of hashes end in i."""
     rng = np.random.default_rng(SEED)
     odd, plus = (rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
     odd = (odd * np.uint64(2) + np.uint64(1))[:, None]
@@ -213,6 +217,10 @@ def shingle_sets(documents: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFram
             ends = (np.cumsum(np.fromiter(map(len, words), np.int64, n)) + np.arange(n)).tolist()
             starts = [0, *[e + 1 for e in ends[: n - shingle]]]
             hashes = np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=True)), np.uint64, n - shingle + 1))
+        key = _signed(digest(hashes.tobytes(), SEED))
+        if whole:
+            odds = np.bincount((hashes & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+            return key, hashes.view(np.int64), np.packbits(odds.astype(np.uint8), bitorder="little").view("<i8")
         least, ones = np.full(BANDS * ROWS, np.iinfo(np.uint64).max), np.zeros(64, np.int64)
         for first in range(0, len(hashes), 1 << 12):  # bounds the memory of very long texts
             part = hashes[first : first + (1 << 12)]
@@ -224,24 +232,38 @@ def shingle_sets(documents: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFram
             ones += _bit_sums(part.astype("<u8"))
         fp = int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]) if n else 0
         bands = [digest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))]
-        odds = np.bincount((hashes & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
-        parity = np.packbits(odds.astype(np.uint8), bitorder="little").view("<i8")
-        return _signed(digest(hashes.tobytes(), SEED)), _signed(fp), hashes.view(np.int64), np.array(bands, np.uint64).view(np.int64), parity
+        return key, _signed(fp), np.array(bands, np.uint64).view(np.int64)
 
-    names = ["doc_id", "text_key", "key", "fp", "hashes", "bands", "parity"]
+    kept = [] if whole else ["doc_id", "text_key"]
+    kinds = {"key": pa.int64(), "hashes": pa.list_(pa.int64()), "parity": pa.list_(pa.int64())} if whole else {"key": pa.int64(), "fp": pa.int64(), "bands": pa.list_(pa.int64())}
 
     def score(batches):
         for batch in batches:
             for first in range(0, len(batch), 512):
                 part = batch.slice(first, 512)
-                found = [one(t.as_py()) for t in part.column(1)]
-                numbers = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
-                lists = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (2, 3, 4)]
-                yield pa.record_batch([part.column(0), part.column(2), *numbers, *lists], names)
+                found = [one(t.as_py()) for t in part.column(0)]
+                yield pa.record_batch([*part.columns[1:], *[pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds.values())]], [*kept, *kinds])
+        release_memory()
+
+    columns = {"doc_id": F.col("doc_id"), "text_key": text_key(F.col("text"))}
+    rows = documents.select(F.col("text").cast("binary").alias("_text"), *[columns[c].alias(c) for c in kept])
+    types = {"doc_id": documents.schema["doc_id"].dataType.simpleString(), "bands": "array<bigint>", "hashes": "array<bigint>", "parity": "array<bigint>"}
+    return rows.mapInArrow(score, ", ".join(f"{c} {types.get(c, 'bigint')}" for c in [*kept, *kinds]))
+
+
+def _texts(documents: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, hashes, parity) of the ``wanted`` keys, a row each, from a document of each.
 
-    rows = documents.select("doc_id", F.col("text").cast("binary").alias("_text"), text_key(F.col("text")).alias("text_key"))
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(score, f"doc_id {kind}, text_key bigint, key bigint, fp bigint, hashes array<bigint>, bands array<bigint>, parity array<bigint>")
+    Only those documents' hashes are made: held for all texts, they take twice the input and a
+    shuffle of as much. Up to ``SENT`` keys are sent to all tasks, so that no text is shuffled."""
+    row = lambda: F.xxhash64("doc_id", "text_key").alias("_row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    rows = sets.join(wanted, "key", "left_semi").groupBy("key").agg(least.alias("_v")).select("_v.doc_id", "_v.text_key").select(row()).distinct()
+    rows = materialize(rows, "close-wanted")
+    rows = F.broadcast(rows) if rows.count() <= SENT else rows
+    # a document that meets another's number by chance only adds a row of its own key
+    held = documents.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).withColumn("_row", row()).join(rows, "_row", "left_semi")
+    return shingle_sets(held.select("doc_id", "text"), whole=True).dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -314,7 +336,7 @@ def close_representatives(documents: DataFrame, hot: int = HOT) -> DataFrame:
     near = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same.filter("key <> b").select(F.col("key").alias("a"), "b"))
     stars = materialize(stars.unionByName(near).distinct(), "close-stars")
     wanted = stars.select(F.col("a").alias("key")).unionByName(stars.select(F.col("b").alias("key"))).distinct()
-    texts = materialize(sets.select("key", "hashes", "parity").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "close-texts")
+    texts = materialize(_texts(documents, sets, wanted), "close-texts")
     links = _verified(stars, texts)
 
     def apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mobilome_spark.llm.boosting import BoostedTrees, Isotonic
-from mobilome_spark.llm.common import materialize
+from mobilome_spark.llm.common import materialize, release_memory
 
 THRESHOLD, FOLDS, HELD_OUT = 0.7, 3, 1
 #: Labelled rows of each label that the model may be fitted on, and entries of the learned lexicon.
@@ -214,6 +214,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, model: Model | None = None
                 part = batch.slice(first, 512)
                 found = model.scores([t.as_py() for t in part.column(1)], features)
                 yield pa.record_batch([part.column(0), pa.array(found)], ["_row", "score"])
+        release_memory()
 
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns if whole or c != "text"])
     rows = documents.select(row.alias("_row"), F.coalesce("text", F.lit("")).cast("binary").alias("_text"))

@@ -126,6 +126,29 @@ def test_edited_copies_are_not_compared_pair_by_pair(spark, monkeypatch):
     assert sum(compared) < 10 * len(rows), compared
 
 
+def test_hashes_are_made_for_compared_texts_only(spark, monkeypatch):
+    """The hashes of all texts, twice the input, were written and shuffled to keep a tenth of them."""
+    from mobilome_spark.llm import simhash_dedup
+
+    rng, held, write = random.Random(9), [], simhash_dedup.materialize
+
+    def watched(df, name):
+        out = write(df, name)
+        if "hashes" in df.columns:
+            held.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "materialize", watched)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, f"{t} more") for i, t in enumerate(texts[:5])] + [(200, texts[0]), (200, texts[0]), (300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for sent in (simhash_dedup.SENT, 0):
+        monkeypatch.setattr(simhash_dedup, "SENT", sent)
+        kept = simhash_dedup.close_representatives(docs)
+        assert sorted((False, r.doc_id) for r in kept.collect()) == near_brute(rows)
+    assert held == [("close-texts", 10)] * 2
+
+
 def test_no_hot_key_meets_in_one_task(spark):
     from mobilome_spark.llm import common
     from mobilome_spark.llm.common import join_counted, materialize
