@@ -258,7 +258,8 @@ def _texts(documents: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFram
     shuffle of as much. Up to ``SENT`` keys are sent to all tasks, so that no text is shuffled."""
     row = lambda: F.xxhash64("doc_id", "text_key").alias("_row")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
-    rows = sets.join(wanted, "key", "left_semi").groupBy("key").agg(least.alias("_v")).select("_v.doc_id", "_v.text_key").select(row()).distinct()
+    # grouped first: very many documents may hold one text
+    rows = sets.groupBy("key").agg(least.alias("_v")).join(wanted, "key", "left_semi").select("_v.doc_id", "_v.text_key").select(row()).distinct()
     rows = materialize(rows, "close-wanted")
     rows = F.broadcast(rows) if rows.count() <= SENT else rows
     # a document that meets another's number by chance only adds a row of its own key
@@ -271,16 +272,19 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     A text that very many are compared with is sent to several tasks."""
     pairs = materialize(pairs.distinct(), "close-pairs")
-    total = pairs.count()
-    if not total:
+    if pairs.isEmpty():
         return pairs
-    often = materialize(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / COMPARED).cast("int")), "close-often")
-    dealt = join_counted(pairs, often, ["b"], total).withColumn("_part", F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int"))
+    # a row for each COMPARED pairs at most
+    often = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > COMPARED)
+    often = materialize(often.select("b", F.ceil(F.col("_n") / COMPARED).cast("int").alias("_parts")), "close-often")
     left = texts.select(F.col("key").alias("a"), F.col("hashes").alias("_x"))
-    right = texts.select(F.col("key").alias("b"), F.col("hashes").alias("_y")).join(often.select("b", "_parts"), "b")
-    right = right.select("b", "_y", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    right, on = texts.select(F.col("key").alias("b"), F.col("hashes").alias("_y")), ["b"]
+    if not often.isEmpty():
+        parts, often, on = F.coalesce("_parts", F.lit(1)), F.broadcast(often), ["b", "_part"]
+        pairs = pairs.join(often, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("_part"))
+        right = right.join(often, "b", "left").select("b", "_y", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
     both = F.size(F.array_intersect("_x", "_y"))
-    near = dealt.select("a", "b", "_part").join(left, "a").join(right, ["b", "_part"])
+    near = pairs.join(left, "a").join(right, on)
     return materialize(near.filter(both * 5 >= (F.size("_x") + F.size("_y") - both) * 4).select("a", "b"), "close-links")
 
 

@@ -213,3 +213,71 @@ def test_toxicity_against_brute_force(spark):
             raw += value[at - (2**model.trees.depth - 1)]
         assert abs(r.score - float(np.clip(model.calibration(np.array([raw]))[0], 0, 1))) < 1e-9
         assert r.held_out == (zlib.crc32(str(r._row.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_join_hands_on_all_rows_to_leave_hot_keys_out(spark, monkeypatch):
+    """An anti join made every row of other keys: as many rows as the input where a key was hot, none where no key was."""
+    from mobilome_spark.llm import common
+    from mobilome_spark.llm.common import join_counted, materialize
+
+    monkeypatch.setattr(common, "HOT_SHARE", 100)
+    rows = materialize(spark.range(4000).selectExpr("if(id % 11 = 0, null, if(id % 3 = 0, -1, id)) as k", "cast(id % 2 as int) as l", "id as v"), "rows")
+    table = rows.filter("k is not null").groupBy("k", "l").count().selectExpr("k", "cast(l as bigint) as l", "count as _n", "k * 2 as w")
+    table = materialize(table.filter("k <> 5"), "table")
+    assert table.filter("_n * 100 >= 4000").count() == 2
+    for how in ("inner", "left"):
+        got = join_counted(rows, table, ["k", "l"], 4000, how)
+        assert "Anti" not in plan_of(got)
+        want = [(k, v, None if k in (None, 5) else 2 * k) for v in range(4000) for k in [None if v % 11 == 0 else -1 if v % 3 == 0 else v]]
+        want = [x for x in want if how == "left" or x[2] is not None]
+        assert sorted(((r.v, r.k, r.w) for r in got.collect())) == [(v, k, w) for k, v, w in want]
+        monkeypatch.setattr(common, "NAMED", 0)  # more hot keys than are named
+        assert "Anti" in plan_of(join_counted(rows, table, ["k", "l"], 4000, how))
+        assert join_counted(rows, table, ["k", "l"], 4000, how).count() == len(want)
+        monkeypatch.undo()
+        monkeypatch.setattr(common, "HOT_SHARE", 100)
+
+
+def test_few_edges_take_one_table(spark, monkeypatch):
+    """Each round of few edges wrote four tables and ran seven jobs, each of as many tasks as there are partitions."""
+    from mobilome_spark.llm import components
+
+    rng, written, write = random.Random(12), [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: written.append(name) or write(df, name))
+    chain = list(range(-60, 60))
+    rng.shuffle(chain)
+    edges = [(x, y) for x, y in zip(chain[:90], chain[1:91], strict=True)] + [(1 << 62, -(1 << 62)), (7, 7), (-(1 << 62), 1 << 62)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(40)]
+    root = {x: x for e in edges for x in e}
+    for x, y in edges:
+        low, high = sorted((root[x], root[y]))
+        root = {k: low if r == high else r for k, r in root.items()}
+    linked = {x for x, y in edges if x != y} | {y for x, y in edges if x != y}
+    frame = spark.createDataFrame(edges, "a bigint, b bigint")
+    for most in (components.LOCAL, 0):
+        monkeypatch.setattr(components, "LOCAL", most)
+        written.clear()
+        got = [(r.node, r.root) for r in components.connected_components(frame).collect()]
+        assert sorted(got) == sorted((k, r) for k, r in root.items() if k in linked)
+        assert len(written) == 1 if most else len(written) > 3
+        assert components.connected_components(frame.filter("false")).count() == 0
+
+
+def test_pairs_of_an_often_compared_text_are_dealt_out(spark, monkeypatch):
+    from mobilome_spark.llm import simhash_dedup
+
+    rng, rows = random.Random(13), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    for n in range(60):
+        words = list(base)
+        for at in rng.sample(range(150), n % 9):
+            words[at] = f"e{rng.randrange(10**6)}"
+        rows.append((n, " ".join(words)))
+    rows += [(100 + n, " ".join(f"x{rng.randrange(10**6)}" for _ in range(20))) for n in range(10)] + [(n + 200, rows[3][1]) for n in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for compared in (4096, 7):
+        monkeypatch.setattr(simhash_dedup, "COMPARED", compared)
+        assert sorted((False, r.doc_id) for r in simhash_dedup.close_representatives(docs).collect()) == near_brute(rows)
