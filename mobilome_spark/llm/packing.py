@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mobilome_spark.llm.common import materialize
+from mobilome_spark.llm.common import materialize, release_memory
 
 CAPACITY, END = 2048, 0
 #: Gap to the dual bound at which the program ends, rounds that it ends after in any case.
@@ -66,6 +66,12 @@ def price(values: np.ndarray, capacity: int, slack: float = 0.0, rng: np.random.
     return best, pick
 
 
+@lru_cache(maxsize=1 << 16)
+def _pair(length: int, times: int) -> tuple[int, int]:
+    """One object for all configurations that hold it: a program keeps very many."""
+    return length, times
+
+
 def _filled(pick: np.ndarray, first: int, room: int) -> tuple[tuple[int, int], ...]:
     """The configuration of a piece of length ``first`` and what ``price`` puts into the room beside it."""
     out = Counter({first: 1})
@@ -73,7 +79,7 @@ def _filled(pick: np.ndarray, first: int, room: int) -> tuple[tuple[int, int], .
         if pick[room]:
             out[int(pick[room])] += 1
         room -= int(pick[room]) or 1
-    return tuple(sorted(out.items(), reverse=True))
+    return tuple(_pair(*x) for x in sorted(out.items(), reverse=True))
 
 
 def program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float = GAP) -> tuple[list[tuple[tuple[tuple[int, int], ...], float]], float, float]:
@@ -113,7 +119,9 @@ def program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float
             bound = max(bound, float(need @ values) / float(price(values, capacity)[0][capacity]))
             if total / low <= bound * (1 + gap):
                 break
-    return [(config, times / low) for config, times in taken.items()], total / low, bound
+    for config in taken:
+        taken[config] /= low
+    return list(taken.items()), total / low, bound
 
 
 def rounded(solution: list[tuple[tuple[tuple[int, int], ...], float]], left: np.ndarray) -> Counter:
@@ -334,6 +342,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     cut = cut.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(parts, (F.col("length") + 1).cast("int"))))
     cells = materialize(cut.groupBy("length", "_part").count(), "pack-cells")
     at = places(solve(counts, capacity, rounds))
+    release_memory()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("_part")) - F.col("count")
     cells = cells.select(F.col("length").alias("_l"), F.col("_part").alias("_p"), before.alias("_before"))
     order = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")

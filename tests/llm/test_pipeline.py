@@ -281,3 +281,15 @@ def test_pairs_of_an_often_compared_text_are_dealt_out(spark, monkeypatch):
     for compared in (4096, 7):
         monkeypatch.setattr(simhash_dedup, "COMPARED", compared)
         assert sorted((False, r.doc_id) for r in simhash_dedup.close_representatives(docs).collect()) == near_brute(rows)
+
+
+def test_packing_program_holds_each_pair_once():
+    """On the driver: the pairs of some hundred thousand configurations took most of its memory."""
+    import numpy as np
+
+    from mobilome_spark.llm.packing import program
+
+    counts = np.zeros(301, np.int64)
+    counts[1:300] = np.random.default_rng(14).integers(1, 400, 299)
+    held = [pair for config, _ in program(counts, 300, rounds=60)[0] for pair in config]
+    assert len(held) > 3000 and len({id(pair) for pair in held}) == len(set(held))
